@@ -81,3 +81,13 @@ def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADC
 def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast when the measured size allows it, else return ``df`` as it is."""
     return F.broadcast(df) if fits_broadcast(df, rows, size) else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition a scan that has fewer splits than the session has cores.
+
+    For small or single-file inputs ahead of heavy per-row work.  Large inputs have many
+    splits and are returned unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -71,7 +71,7 @@ def _functions() -> dict[str, tuple[str, str, str]]:
                  ELSE cast(30 + (CASE WHEN {meet} THEN size(array_intersect(q.words, n.words))
                                       ELSE size(array_intersect(q.ang_words, n.ang_words)) END) / size(q.words) * 40 AS INT)
             END"""),
-        "feed_score": ("query STRING, name STRING", "INT", "feed_score_parts(feed_parts(query), feed_parts(name))"),
+        "feed_score": ("query STRING, name STRING", "INT", "feed_score_parts(feed_parts(coalesce(query, '')), feed_parts(coalesce(name, '')))"),
     }
 
 

@@ -15,6 +15,8 @@ their rows in the table and are flagged.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,11 +35,12 @@ MAX_NESTED = 10_000
 def portal_rank(portal: Column, priority: list[str] | None = None) -> Column:
     """Position in the priority list; a name counts with or without ``-search``."""
     names = PORTAL_PRIORITY if priority is None else priority
-    name = F.regexp_replace(F.coalesce(portal, F.lit("")), r"(?U)^\s+|\s+$", "")
-    ladder = F
+    places: dict[str, int] = {}
     for at, known in enumerate(names):
-        ladder = ladder.when(name.isin(known, known.removesuffix("-search")), F.lit(at))
-    return ladder.otherwise(F.lit(len(names))) if names else F.lit(0)
+        places.setdefault(known, at)
+        places.setdefault(known.removesuffix("-search"), at)
+    name = F.regexp_replace(F.coalesce(portal, F.lit("")), r"(?U)^\s+|\s+$", "")
+    return F.coalesce(F.try_element_at(F.from_json(F.lit(json.dumps(places)), "map<string,int>"), name), F.lit(len(names)))
 
 
 def with_key(df: DataFrame, strict: bool = False) -> DataFrame:

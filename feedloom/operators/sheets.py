@@ -48,39 +48,35 @@ def layouts(sheets: DataFrame) -> DataFrame:
         .withColumn("cat", F.when(F.col("kind") == "count", C.strip_type_words(F.col("head"), C.COUNT_WORDS))
                     .when(F.col("kind") == "index", C.strip_type_words(F.col("head"), C.INDEX_WORDS)))
     )
-    # Pairing in column order within equal names is a match on (name, number).
+    # Pairing in column order within equal names is a match on (name, number): columns of the
+    # two kinds that agree on both form one group, every other column a group of its own.
+    # All steps stay on the partitioning by sheet.
     nth = Window.partitionBy("sheet", "kind", "cat").orderBy("col")
-    data = typed.filter("data").withColumn("nth", F.row_number().over(nth))
-    partner = data.filter("kind = 'index' and cat <> ''").select(
-        "sheet", "cat", "nth", F.col("col").alias("index_col"))
-    counts = data.filter("kind = 'count'").join(partner, ["sheet", "cat", "nth"], "left")
-    pairs = counts.filter("index_col is not null")
-    used = pairs.select("sheet", F.col("index_col").alias("col"))
-
-    single_name = F.replace(F.lower("head"), F.lit(" "), F.lit("_"))
-    none = F.lit(None).cast("int")
-
-    def entry(order: int, name: Column, count: Column, index: Column) -> Column:
-        return F.struct(
-            F.lit(order).alias("group"), F.col("col").alias("col"), name.alias("name"),
-            count.alias("count_col"), index.alias("index_col"),
-        ).alias("e")
-
-    plan = (
-        pairs.select("sheet", entry(0, F.translate(F.col("cat"), " -", "__"), F.col("col"), F.col("index_col")))
-        .unionByName(counts.filter("index_col is null").select("sheet", entry(1, single_name, F.col("col"), none)))
-        .unionByName(
-            data.filter("kind = 'index'").join(used, ["sheet", "col"], "left_anti")
-            .select("sheet", entry(2, single_name, none, F.col("col"))))
-        .unionByName(data.filter("kind = 'other'").select("sheet", entry(3, single_name, none, F.col("col"))))
-        .groupBy("sheet").agg(F.array_sort(F.collect_list("e")).alias("plan"))
+    own = F.concat(F.lit("="), F.col("col").cast("string"))
+    paired = F.concat_ws("#", "cat", F.row_number().over(nth).cast("string"))
+    is_count = F.col("kind") == "count"
+    groups = (
+        typed.filter("data")
+        .withColumn("pair", F.when(F.coalesce("cat", F.lit("")) != "", paired).otherwise(own))
+        .groupBy("sheet", "pair")
+        .agg(
+            F.max(F.when(is_count, F.col("col"))).alias("count_col"),
+            F.max(F.when(~is_count, F.col("col"))).alias("index_col"),
+            F.max("cat").alias("cat"), F.max(F.lower("head")).alias("head"), F.max(F.col("kind") == "other").alias("untyped"),
+        )
+    )
+    both = F.col("count_col").isNotNull() & F.col("index_col").isNotNull()
+    entry = F.struct(
+        F.when(both, 0).when(F.col("count_col").isNotNull(), 1).when(~F.col("untyped"), 2).otherwise(3).alias("group"),
+        F.coalesce("count_col", "index_col").alias("col"),
+        F.when(both, F.translate("cat", " -", "__")).otherwise(F.replace("head", F.lit(" "), F.lit("_"))).alias("name"),
+        "count_col", "index_col",
     )
+    plans = groups.groupBy("sheet").agg(F.array_sort(F.collect_list(entry)).alias("plan"))
     heads = typed.groupBy("sheet").agg(
-        F.max("header_row").alias("header_row"),
-        F.max("company_col").alias("company_col"),
-        F.max("city_col").alias("city_col"),
+        F.max("header_row").alias("header_row"), F.max("company_col").alias("company_col"), F.max("city_col").alias("city_col"),
     )
-    return heads.join(plan, "sheet", "left")
+    return heads.join(plans, "sheet", "left")
 
 
 def reshape(sheets: DataFrame, layout: DataFrame | None = None) -> DataFrame:

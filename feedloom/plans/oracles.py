@@ -301,7 +301,7 @@ ORACLES: dict[str, str] = {
             WHEN NOT contains(flat, 'and') THEN 'text layer is missing required text: '' and   ''' END AS failure,
           CAST(length(flat) AS INTEGER) AS n_flat FROM f""",
     "sql_functions": f"""WITH {_POSTINGS} SELECT k AS dedup_key, count(*) AS n,
-        CASE WHEN k LIKE 'supplier%' THEN 70 WHEN k LIKE 'kunde%' THEN 0 END AS best FROM keyed GROUP BY k""",
+        CASE WHEN k LIKE 'supplier%' THEN 70 ELSE 0 END AS best FROM keyed GROUP BY k""",
     "company_search": f"""WITH {_COMPANIES}, one AS (SELECT 'Red Bolt Machinery A/S' AS query), {_sides('n', 'company', 'companies')},
         {_sides('q', 'query', 'one')}, m AS (SELECT ord, company, city, CAST({_SCORE} AS INTEGER) AS score FROM q, n
           WHERE contains({_ang("lower(coalesce(city, ''))")}, 'kobenhavn 1'))
@@ -344,8 +344,8 @@ ORACLES: dict[str, str] = {
     "dup_names": """WITH n AS (SELECT p_partkey + 1 AS pos, CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END AS company FROM part)
         SELECT pos, company, first_pos FROM (SELECT *, first_value(pos) OVER (PARTITION BY lower(company) ORDER BY pos) AS first_pos FROM n) WHERE pos > first_pos""",
     "envelope_parse": """WITH r AS (SELECT l_orderkey AS o, l_linenumber AS t, l_partkey AS c, l_suppkey AS u,
-            row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS at FROM lineitem)
-        SELECT o AS order_no, CAST(at + CASE WHEN o % 6 = 2 THEN 3 ELSE 0 END AS INTEGER) AS pos,
+            row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS nth FROM lineitem)
+        SELECT o AS order_no, CAST(nth + CASE WHEN o % 6 = 2 THEN 3 ELSE 0 END AS INTEGER) AS pos,
           CASE WHEN t = 2 THEN 'own-board' ELSE 'board-' || (o % 4) END AS portal, 'board-' || (o % 4) AS asked_portal,
           CAST(t AS VARCHAR) AS title, CAST(c AS VARCHAR) AS company, CAST(u AS VARCHAR) AS url FROM r WHERE o % 6 < 4""",
     "posting_names": """SELECT 'Firm ' || (item_id % 7) AS company, 'Engineer - Line ' || item_id AS title, text FROM benchmark""",

@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.cluster import workspace
+from feedloom.cluster import spread, workspace
 from feedloom.functions import cells, names, text
 from feedloom.functions.sql import register_functions
 from feedloom.operators import careers, dedup, filters, lookup, profiles, report, seen, sheets, validate
@@ -313,12 +313,12 @@ def source_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- text ----------------------------------------------------------------------------
 
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return docs.select("doc_id", text.normalize_title(F.col("text")).alias("title_norm"))
 
 
 def normalize_company_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return docs.select("doc_id", text.normalize_company(F.col("text")).alias("company_norm"))
 
 
@@ -593,7 +593,7 @@ def followups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def write_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pools of three days written, pruned to the retention, read back."""
     pools = PoolTable(spark, workspace(spark, "pools"))
-    rows = _unique(views.postings(spark, sf_dir)).drop("link", "arrival", "date")
+    rows = merge_pool(views.postings(spark, sf_dir), _order()).unique.drop("link", "arrival", "date")
     for day, portal in (("2025-01-01", "indeed"), ("2025-01-31", "xing-search"), ("2025-02-10", "monster")):
         part = rows.filter(F.col("portal") == portal)
         pools.write(day, dedup.pool_stats(part), part.groupBy("portal").count(), part)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedloom.cluster import spread
+
 PORTALS = ["stepstone", "arbeitsagentur-search", " linkedin ", "xing-search", "indeed", "freehire-search", "monster"]
 MARKERS = ["", " (m/w/d)", "*", " (gn)", ":in", " (all genders)", " m/w/d"]
 FORMS = ["", " GmbH", " AG", " GmbH & Co. KG", " Gruppe"]
@@ -33,7 +35,7 @@ def pick(at: Column, values: list[str]) -> Column:
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = (
-        table(spark, sf_dir, "lineitem")
+        spread(table(spark, sf_dir, "lineitem"))
         .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     )
@@ -51,7 +53,7 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_brand").alias("profile"),
         F.to_date("l_shipdate").alias("date"),
     )
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"))
     blank = F.col("o_orderpriority") == "1-URGENT"
     title = F
     for priority, text in ORDER_TITLES.items():
@@ -134,7 +136,7 @@ def old_pool_and_new(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
 def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Company names with Nordic spelling, forms and places."""
     k = F.col("c_custkey")
-    named = table(spark, sf_dir, "customer").join(
+    named = spread(table(spark, sf_dir, "customer")).join(
         table(spark, sf_dir, "part").select("p_partkey", "p_name"), k == F.col("p_partkey")
     )
     spelled = F.when(k % 3 == 0, F.replace(F.replace("p_name", F.lit("o"), F.lit("ø")), F.lit("ae"), F.lit("æ"))).otherwise(F.col("p_name"))
