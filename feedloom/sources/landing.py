@@ -17,9 +17,16 @@ ENVELOPES = ["results", "jobs", "data"]
 POSTING_FIELDS = ["title", "company", "url", "location", "profile", "status"]
 
 
+def _plain_name(c: str) -> Column:
+    """File metadata comes percent-encoded; a literal plus sign must survive decoding."""
+    return F.coalesce(F.try_url_decode(F.replace(F.col(c), F.lit("+"), F.lit("%2B"))), F.col(c))
+
+
 def _documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.text(paths, wholetext=True).select(
-        F.col("value"), F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_path").alias("file_path")
+        F.col("value"),
+        _plain_name("_metadata.file_name").alias("file_name"),
+        _plain_name("_metadata.file_path").alias("file_path"),
     )
 
 

@@ -22,7 +22,7 @@ def test_known_scores(spark):
 def test_noise_words(spark):
     df = spark.createDataFrame([("  Novo Nordisk A/S ",), ("ABC (VG) Danmark ApS",), ("Foo, Aarhus branch",), ("XY a.m.b.a.",)], "s string")
     assert [r[0] for r in df.select(names.name_norm(F.col("s"))).collect()] == ["novonordisk", "abc", "foo", "xyamba"]
-    assert df.select(names.anglicize(F.lit("Ærø Åby Öl"))).first()[0] == "aeroaa by ol".replace("roaa by", "ro aaby")
+    assert df.select(names.anglicize(F.lit("Ærø Åby Öl"))).first()[0] == "aero aaby ol"
 
 
 WORDS = ["novo", "nordisk", "tech", "it", "ørsted", "orsted", "a", "bank", "dan", "dansk", "danske", "sø", "so", "x1", "ag"]
