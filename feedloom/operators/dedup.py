@@ -20,6 +20,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.cluster import without_keys
 from feedloom.functions import text
 
 # --- fixed values: source priority, best first ----------------------------------
@@ -70,16 +71,12 @@ def collapse_links(keyed: DataFrame, order: Column, priority: list[str] | None =
     return (
         keyed.select(
             "dedup_key",
-            F.struct("portal", "url").alias("link"),
+            F.expr("struct(portal, url) AS link"),
             F.struct(portal_rank(F.col("portal"), priority).alias("rank"), order.alias("arrival")).alias("place"),
             record.alias("record"),
         )
         .groupBy("dedup_key", "link")
-        .agg(
-            F.min("place").alias("place"),
-            F.min_by("record", "place").alias("record"),
-            F.count(F.lit(1)).alias("n_rows"),
-        )
+        .agg(F.expr("min(place) AS place"), F.expr("min_by(record, place) AS record"), F.expr("count(*) AS n_rows"))
     )
 
 
@@ -88,23 +85,19 @@ def pick_winners(links: DataFrame) -> DataFrame:
     return (
         links.groupBy("dedup_key")
         .agg(
-            F.min_by(F.struct("record", "link"), "place").alias("best"),
-            F.sum("n_rows").alias("n_rows"),
-            (F.count(F.lit(1)) - 1).alias("n_alternates"),
+            F.expr("min_by(struct(record, link), place) AS best"),
+            F.expr("sum(n_rows) AS n_rows"),
+            F.expr("count(*) - 1 AS n_alternates"),
         )
-        .select("dedup_key", "best.record.*", F.col("best.link").alias("link"), "n_rows", "n_alternates")
+        .selectExpr("dedup_key", "best.record.*", "best.link AS link", "n_rows", "n_alternates")
     )
 
 
 def alternates(links: DataFrame, winners: DataFrame) -> DataFrame:
     """The other links of each key, one row each, with their place in the group."""
     taken = winners.select("dedup_key", "link")
-    return links.select("dedup_key", "link", "place").join(taken, ["dedup_key", "link"], "left_anti").select(
-        "dedup_key",
-        F.col("link.portal").alias("portal"),
-        F.col("link.url").alias("url"),
-        F.col("place.rank").alias("rank"),
-        F.col("place.arrival").alias("arrival"),
+    return links.select("dedup_key", "link", "place").join(taken, ["dedup_key", "link"], "left_anti").selectExpr(
+        "dedup_key", "link.portal AS portal", "link.url AS url", "place.rank AS rank", "place.arrival AS arrival"
     )
 
 
@@ -113,11 +106,11 @@ def nest_alternates(winners: DataFrame, others: DataFrame, max_nested: int = MAX
 
     A key with more than ``max_nested`` alternates gets a null array and
     ``also_on_overflow``; its links are complete in the ``others`` table.  The keys in
-    question are few by arithmetic, and their rows leave before anything is collected.
+    question are few by arithmetic, and their rows leave before the shuffle on the key.
     """
     large = winners.filter(F.col("n_alternates") > max_nested).select("dedup_key")
     lists = (
-        others.join(large, "dedup_key", "left_anti")
+        without_keys(others, large, "dedup_key", ["portal", "url"])
         .groupBy("dedup_key")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "arrival", "portal", "url"))).alias("ordered"))
         .select(

@@ -13,21 +13,31 @@ from pyspark.sql import functions as F
 
 from feedloom.operators import dedup
 
-ENTRY_COLUMNS = ["stored_key", "title", "company", "url", "first_seen", "fit", "status", "portal"]
-LINK_COLUMNS = ["stored_key", "portal", "url"]
+
+def with_name_key(entries: DataFrame) -> DataFrame:
+    """Add ``name_key``: the key of company and title, null where both are missing.
+
+    Done once when an entry is stored, so that later runs read it instead of normalizing
+    the whole memory again.
+    """
+    named = F.expr("coalesce(company, '') <> '' OR coalesce(title, '') <> ''")
+    return (
+        dedup.with_key(entries)
+        .withColumn("name_key", F.when(named, F.col("dedup_key")))
+        .drop("dedup_key")
+    )
 
 
 def known_keys(entries: DataFrame) -> DataFrame:
     """Distinct keys an entry can be recognized by.
 
-    The stored key, and the key recomputed from company and title where either is
-    given (entries of old were stored under their URL).  The distinct leaves the rows
-    partitioned on the key, which the following join uses as it is.
+    The stored key, and the key of company and title where either is given (entries of old
+    were stored under their URL).  The distinct leaves the rows partitioned on the key,
+    which the following join uses as it is.
     """
-    stored = entries.select(F.col("stored_key").alias("dedup_key"))
-    named = entries.filter((F.coalesce("company", F.lit("")) != "") | (F.coalesce("title", F.lit("")) != ""))
-    recomputed = dedup.with_key(named.select("company", "title")).select("dedup_key")
-    return stored.union(recomputed).distinct()
+    keyed = entries if "name_key" in entries.columns else with_name_key(entries)
+    stored = keyed.selectExpr("stored_key AS dedup_key")
+    return stored.union(keyed.selectExpr("name_key").filter("name_key IS NOT NULL")).distinct()
 
 
 def new_only(pool: DataFrame, known: DataFrame) -> DataFrame:
@@ -65,6 +75,7 @@ def new_entries(entries: DataFrame, unique: DataFrame, today: Column) -> DataFra
         field("fit"),
         F.coalesce(field("status"), F.lit("new")).alias("status"),
         "portal",
+        F.expr("CASE WHEN coalesce(company, '') <> '' OR coalesce(title, '') <> '' THEN dedup_key END AS name_key"),
     )
 
 

@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.cluster import workspace
+from feedloom.cluster import without_keys, workspace
 from feedloom.operators import dedup, filters, report, seen
 from feedloom.sources.tables import HISTORY_SCHEMA, PoolTable, SeenStore, SnapshotTable
 
@@ -81,7 +81,7 @@ def history_rows(store: SeenStore, max_nested: int = dedup.MAX_NESTED) -> DataFr
     links = store.links()
     large = links.groupBy("stored_key").count().filter(F.col("count") > max_nested).select("stored_key")
     lists = (
-        links.join(large, "stored_key", "left_anti").groupBy("stored_key")
+        without_keys(links, large, "stored_key", ["portal", "url"]).groupBy("stored_key")
         .agg(F.array_sort(F.collect_list(F.struct("portal", "url"))).alias("also_on"))
     )
     return report.as_history(store.entries().join(lists, "stored_key", "left"))

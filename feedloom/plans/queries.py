@@ -16,7 +16,7 @@ from feedloom.plans import views
 from feedloom.plans.batch import merge_pool
 from feedloom.plans.views import pick, table
 from feedloom.sources import landing
-from feedloom.sources.tables import ENTRY_SCHEMA, HISTORY_SCHEMA, PoolTable, SeenStore, SnapshotTable, read_dataset, write_dataset
+from feedloom.sources.tables import HISTORY_SCHEMA, PoolTable, SeenStore, SnapshotTable, read_dataset, write_dataset
 from feedloom.streaming import incremental
 
 TODAY = views.SPLIT_DAY
@@ -27,10 +27,9 @@ def _order() -> Column:
 
 
 def _pool(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(unique, others) as one lazy plan."""
-    links = dedup.collapse_links(dedup.with_key(rows), _order())
-    unique = dedup.pick_winners(links)
-    return unique, dedup.alternates(links, unique)
+    """(unique, others), both from one pass over the rows."""
+    pool = merge_pool(rows, _order())
+    return pool.unique, pool.others
 
 
 def _unique(rows: DataFrame) -> DataFrame:
@@ -73,40 +72,50 @@ def portal_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- seen store ----------------------------------------------------------------------
 
-def _seen_before(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(entries, links, new pool, new alternates); some entries are stored under a URL."""
-    old, new = views.old_pool_and_new(spark, sf_dir)
-    old_unique, old_others = _pool(old)
+def _entries_of(old_unique: DataFrame) -> DataFrame:
+    """Winners as stored entries; some of them under their URL, as entries of old."""
     stored = F.when(F.col("portal") == "arbeitsagentur-search", F.col("url")).otherwise(F.col("dedup_key"))
-    entries = old_unique.groupBy(stored.alias("stored_key")).agg(
+    return old_unique.groupBy(stored.alias("stored_key")).agg(
         F.min_by(F.struct("title", "company", "url", "portal"), "arrival").alias("r")
-    ).select(
-        "stored_key", "r.title", "r.company", "r.url", F.lit("1997-12-31").alias("first_seen"),
-        F.lit(None).cast("string").alias("fit"), F.lit("new").alias("status"), "r.portal",
+    ).selectExpr(
+        "stored_key", "r.title", "r.company", "r.url", "'1997-12-31' AS first_seen",
+        "cast(null AS string) AS fit", "'new' AS status", "r.portal",
     )
-    links = old_others.select(F.col("dedup_key").alias("stored_key"), "portal", "url")
+
+
+def _memory_and_pool(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(entries, new pool) where only winners are asked for: one lazy plan each."""
+    old, new = views.old_pool_and_new(spark, sf_dir)
+    return _entries_of(_unique(old)), _unique(new)
+
+
+def _seen_before(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(entries, links, new pool, new alternates)."""
+    old, new = views.old_pool_and_new(spark, sf_dir)
+    old_unique, old_others = _pool(old)
+    links = old_others.selectExpr("dedup_key AS stored_key", "portal", "url")
     pool, others = _pool(new)
-    return entries, links, pool, others
+    return _entries_of(old_unique), links, pool, others
 
 
 def new_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries, _, pool, _ = _seen_before(spark, sf_dir)
+    entries, pool = _memory_and_pool(spark, sf_dir)
     return seen.new_only(pool, seen.known_keys(entries)).select("dedup_key", "portal", "title", "company", "url")
 
 
 def already_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries, _, pool, _ = _seen_before(spark, sf_dir)
+    entries, pool = _memory_and_pool(spark, sf_dir)
     return seen.already_seen(pool, seen.known_keys(entries)).select("dedup_key", "portal", "title", "company", "url")
 
 
 def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries, _, pool, _ = _seen_before(spark, sf_dir)
+    entries, pool = _memory_and_pool(spark, sf_dir)
     return dedup.pool_stats(seen.flag_known(pool, seen.known_keys(entries)))
 
 
 def seen_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries, _, pool, _ = _seen_before(spark, sf_dir)
-    return entries.unionByName(seen.new_entries(entries, pool, F.lit(TODAY)))
+    return entries.unionByName(seen.new_entries(entries, pool, F.lit(TODAY)).drop("name_key"))
 
 
 def seen_merge_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,8 +247,7 @@ def history_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = views.old_pool_and_new(spark, sf_dir)
 
     def rows(part: DataFrame, status: str) -> DataFrame:
-        unique, others = _pool(part)
-        entries = unique.select(
+        entries = _unique(part).select(
             F.col("dedup_key").alias("stored_key"), "title", "company", "url", "portal",
             F.date_format("date", "yyyy-MM-dd").alias("first_seen"), F.lit(status).alias("status"),
             F.when(F.col("n_rows") % 2 == 0, F.to_json(F.struct(F.col("n_rows").alias("score")))).alias("fit"),

@@ -28,6 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _choice(at: str, values: list[str]) -> str:
+    """SQL text for ``values[at]`` with positions from 0."""
+    return f"get(array({', '.join(repr(v) for v in values)}), cast({at} AS int))"
+
+
 def pick(at: Column, values: list[str]) -> Column:
     """``values[at]`` with positions from 0."""
     return F.get(F.array(*[F.lit(v) for v in values]), at.cast("int"))
@@ -36,40 +41,29 @@ def pick(at: Column, values: list[str]) -> Column:
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = (
         spread(table(spark, sf_dir, "lineitem"))
-        .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-        .join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(table(spark, sf_dir, "part"), F.expr("l_partkey = p_partkey"))
+        .join(table(spark, sf_dir, "supplier"), F.expr("l_suppkey = s_suppkey"))
     )
-    line = F.col("l_linenumber") - 1
-    from_items = items.select(
-        F.struct(
-            F.col("l_orderkey").alias("a"), F.col("l_linenumber").alias("b"), F.col("l_partkey").alias("c"),
-            F.col("l_suppkey").alias("d"), F.col("l_shipdate").alias("e"), F.col("l_returnflag").alias("f"),
-        ).alias("arrival"),
-        pick(line, PORTALS).alias("portal"),
-        F.concat("p_name", pick(line, MARKERS)).alias("title"),
-        F.concat("s_name", pick(F.col("l_partkey") % 5, FORMS)).alias("company"),
-        F.concat_ws("/", F.lit("https://jobs.example"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_orderkey") % 10).alias("url"),
-        F.concat(F.lit("NATION_"), F.col("s_nationkey")).alias("location"),
-        F.col("p_brand").alias("profile"),
-        F.to_date("l_shipdate").alias("date"),
+    from_items = items.selectExpr(
+        "struct(l_orderkey AS a, l_linenumber AS b, l_partkey AS c, l_suppkey AS d, l_shipdate AS e, l_returnflag AS f) AS arrival",
+        f"{_choice('l_linenumber - 1', PORTALS)} AS portal",
+        f"concat(p_name, {_choice('l_linenumber - 1', MARKERS)}) AS title",
+        f"concat(s_name, {_choice('l_partkey % 5', FORMS)}) AS company",
+        "concat_ws('/', 'https://jobs.example', l_partkey, l_suppkey, l_orderkey % 10) AS url",
+        "concat('NATION_', s_nationkey) AS location",
+        "p_brand AS profile",
+        "cast(l_shipdate AS date) AS date",
     )
-    orders = spread(table(spark, sf_dir, "orders"))
-    blank = F.col("o_orderpriority") == "1-URGENT"
-    title = F
-    for priority, text in ORDER_TITLES.items():
-        title = title.when(F.col("o_orderpriority") == priority, F.lit(text))
-    from_orders = orders.select(
-        F.struct(
-            F.col("o_orderkey").alias("a"), F.lit(0).alias("b"), F.col("o_custkey").alias("c"),
-            F.lit(0).cast("bigint").alias("d"), F.col("o_orderdate").alias("e"), F.col("o_orderstatus").alias("f"),
-        ).alias("arrival"),
-        F.lit("arbeitnow").alias("portal"),
-        title.alias("title"),
-        F.when(~blank, F.concat(F.lit("Kunde "), F.col("o_custkey"), F.lit(" GmbH & Co. KG"))).alias("company"),
-        F.concat(F.lit("https://board.example/"), F.col("o_orderkey")).alias("url"),
-        F.lit(None).cast("string").alias("location"),
-        F.lit(None).cast("string").alias("profile"),
-        F.to_date("o_orderdate").alias("date"),
+    titles = " ".join(f"WHEN '{priority}' THEN '{title}'" for priority, title in ORDER_TITLES.items())
+    from_orders = spread(table(spark, sf_dir, "orders")).selectExpr(
+        "struct(o_orderkey AS a, 0 AS b, o_custkey AS c, 0L AS d, o_orderdate AS e, o_orderstatus AS f) AS arrival",
+        "'arbeitnow' AS portal",
+        f"CASE o_orderpriority {titles} END AS title",
+        "CASE WHEN o_orderpriority <> '1-URGENT' THEN concat('Kunde ', o_custkey, ' GmbH & Co. KG') END AS company",
+        "concat('https://board.example/', o_orderkey) AS url",
+        "cast(null AS string) AS location",
+        "cast(null AS string) AS profile",
+        "cast(o_orderdate AS date) AS date",
     )
     return from_items.unionByName(from_orders)
 

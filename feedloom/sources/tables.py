@@ -13,9 +13,11 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedloom.operators import seen
+
 ENTRY_SCHEMA = (
     "stored_key STRING, title STRING, company STRING, url STRING, first_seen STRING, "
-    "fit STRING, status STRING, portal STRING"
+    "fit STRING, status STRING, portal STRING, name_key STRING"
 )
 LINK_SCHEMA = "stored_key STRING, portal STRING, url STRING"
 HISTORY_SCHEMA = (
@@ -88,6 +90,8 @@ class SeenStore:
 
     def append(self, batch: int, entries: DataFrame, links: DataFrame) -> None:
         """Write one batch; the same batch again replaces itself."""
+        if "name_key" not in entries.columns:
+            entries = seen.with_name_key(entries)
         entries.write.mode("overwrite").parquet(f"{self.path}/entries/batch={batch}")
         links.write.mode("overwrite").parquet(f"{self.path}/links/batch={batch}")
         self.commits.add(batch)

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from feedloom import cluster
 from feedloom.operators import dedup, report, seen
 from feedloom.plans.batch import merge_pool
 
@@ -68,13 +69,17 @@ def test_against_brute_force_with_a_hot_key(spark, seed):
         assert r["n_alternates"] == len(links)
 
 
-def test_large_groups_stay_in_the_table(spark):
+def test_large_groups_stay_in_the_table(spark, monkeypatch):
     rows = [("xing", "Hot", "Co", f"u{i}") for i in range(50)] + [("xing", "Cold", "Co", "u"), ("indeed", "Cold", "Co", "w")]
     got = run(spark, rows, max_nested=10)
     assert got["co|hot"]["also_on"] is None and got["co|hot"]["also_on_overflow"] and got["co|hot"]["n_alternates"] == 49
     assert len(got["co|cold"]["also_on"]) == 1
     pool = merge_pool(frame(spark, rows), F.col("ord"))
     assert pool.others.filter("dedup_key = 'co|hot'").count() == 49
+    monkeypatch.setattr(cluster, "fits_broadcast", lambda keys: False)
+    assert run(spark, rows, max_nested=10).keys() == got.keys()
+    scattered = cluster.without_keys(pool.others, pool.unique.filter("n_alternates > 10").select("dedup_key"), "dedup_key", ["portal", "url"], salt=3)
+    assert [r["dedup_key"] for r in scattered.collect()] == ["co|cold"]
 
 
 def test_stats(spark):
