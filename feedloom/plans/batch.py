@@ -10,20 +10,22 @@ from pyspark.sql import functions as F
 
 from feedloom.cluster import without_keys, workspace
 from feedloom.operators import dedup, filters, report, seen
-from feedloom.sources.tables import HISTORY_SCHEMA, PoolTable, SeenStore, SnapshotTable
+from feedloom.sources.tables import HISTORY_SCHEMA, PoolTable, SeenStore, SnapshotTable, discard
 
 
 class Pool(NamedTuple):
     links: DataFrame
     unique: DataFrame
     others: DataFrame
+    folder: str
 
 
 def merge_pool(postings: DataFrame, order: Column) -> Pool:
     """Keyed and collapsed once, on shared storage; winners and alternates derive from it.
 
     The heavy text work and the first shuffle therefore run a single time, and a lost
-    executor costs a re-read, not a re-run.
+    executor costs a re-read, not a re-run.  ``folder`` may be discarded when nothing reads
+    the pool any more.
     """
     spark = postings.sparkSession
     base = workspace(spark, "pool")
@@ -31,7 +33,7 @@ def merge_pool(postings: DataFrame, order: Column) -> Pool:
     links = spark.read.parquet(f"{base}/links")
     dedup.pick_winners(links).write.parquet(f"{base}/unique")
     unique = spark.read.parquet(f"{base}/unique")
-    return Pool(links, unique, dedup.alternates(links, unique))
+    return Pool(links, unique, dedup.alternates(links, unique), base)
 
 
 def run_batch(
@@ -71,6 +73,8 @@ def run_batch(
     if history is not None:
         history.replace(report.upsert(history.read(), history_rows(store)))
     pools.prune(day, retention_days)
+    for path in (pool.folder, flagged_path):
+        discard(spark, path)
 
 
 def history_rows(store: SeenStore, max_nested: int = dedup.MAX_NESTED) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedloom.functions.text import title_case
 from feedloom.operators.careers import OUTCOME_STATUSES, STAGES
 from feedloom.operators.profiles import PROFILE_SCHEMA, ProfileError
 from feedloom.operators.validate import DatasetError, _kind, collect_issues, fail_fast, root_issues
@@ -194,6 +195,17 @@ def companies_of(entries: DataFrame) -> DataFrame:
     )
 
 
+def plain_fields(entries: DataFrame) -> DataFrame:
+    """(pos, company, label, value) of entries that have nothing to act as categories."""
+    e = F.col("entry")
+    fields = F.map_filter(e.try_cast("map<string,variant>"), lambda k, _: ~k.isin("company", "city", "categories"))
+    given = F.try_variant_get(e, "$.categories", "variant").try_cast("map<string,variant>")
+    bare = (F.coalesce(F.size(given), F.lit(0)) <= 0) & ~F.exists(F.map_values(fields), lambda v: _kind(v) == "object")
+    return entries.filter(bare).select(
+        "pos", F.try_variant_get(e, "$.company", "string").alias("company"), F.explode(fields).alias("field", "v")
+    ).select("pos", "company", title_case(F.replace("field", F.lit("_"), F.lit(" "))).alias("label"), F.col("v").cast("string").alias("value"))
+
+
 def load_dataset(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
     """(metadata, companies) of a data-set document; raises for the first hard error."""
     doc, entries = read_dataset_entries(spark, path)

@@ -44,6 +44,12 @@ def subfolders(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(where) if s.isDirectory())
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table of a finished run."""
+    where, fs = _folder(spark, path)
+    fs.delete(where, True)
+
+
 class Commits:
     """Numbers of the finished batches or versions below a folder."""
 

@@ -2,7 +2,8 @@
 
 The state is the seen store, which never forgets; a watermark would make old postings
 new again.  A micro-batch sees only what was committed by earlier batches and writes
-folders named after itself, so a retry after a failure rewrites the same rows.
+folders named after itself, so a retry after a failure rewrites the same rows.  A store
+belongs to one checkpoint, whose batch numbers it uses.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from feedloom.cluster import workspace
 from feedloom.operators import dedup, seen
-from feedloom.sources.tables import SeenStore
+from feedloom.sources.tables import SeenStore, discard
 
 
 def new_postings_writer(
@@ -40,6 +41,7 @@ def new_postings_writer(
         fresh = seen.new_only(unique, seen.known_keys(entries)).drop("link")
         fresh.write.mode("overwrite").parquet(f"{output}/batch={number}")
         store.append(number, seen.new_entries(entries, unique, day), seen.new_links(stored, others))
+        discard(spark, base)
 
     return write
 

@@ -78,6 +78,12 @@ def test_dataset_document(spark, tmp_path):
         landing.load_dataset(spark, str(path))
 
 
+def test_entries_without_categories_show_plain_fields(spark):
+    docs = [{"company": "A", "city": "X", "base_pay": 5, "note": "ok"}, {"company": "B", "it": {"index": 1}, "note": "x"}, {"company": "C", "categories": {"a": {}}}]
+    entries = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs, 1)], "pos bigint, j string").select("pos", F.parse_json("j").alias("entry"))
+    assert {tuple(r) for r in landing.plain_fields(entries).collect()} == {(1, "A", "Base Pay", "5"), (1, "A", "Note", "ok")}
+
+
 def test_sheet_files_to_dataset(spark, tmp_path):
     (tmp_path / "one.csv").write_text('Title,,\nCompany,IT Count,IT Index\n"Acme, Inc",3,"1.050,5"\nB\n')
     found = sheets.reshape(landing.read_sheets(spark, str(tmp_path / "*.csv"), 3))
