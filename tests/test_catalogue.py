@@ -5,6 +5,8 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+from feedloom.plans.oracles import ORACLES
+from feedloom.plans.queries import QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 duckdb = pytest.importorskip("duckdb")
@@ -26,15 +28,17 @@ def plain(value):
 
 
 def test_every_query_has_sql():
-    assert contract.queries().keys() == contract.oracle_sql().keys()
+    assert QUERIES.keys() == ORACLES.keys()
+    assert QUERIES.items() <= contract.queries().items()
+    assert ORACLES.items() <= contract.oracle_sql().items()
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, tables, name):
-    df = contract.queries()[name](spark, SF_DIR)
+    df = QUERIES[name](spark, SF_DIR)
     names = sorted(df.columns)
     got = sorted(tuple(plain(r[c]) for c in names) for r in df.collect())
-    cursor = tables.execute(contract.oracle_sql()[name])
+    cursor = tables.execute(ORACLES[name])
     columns = [d[0] for d in cursor.description]
     assert sorted(columns) == names
     at = [columns.index(c) for c in names]
