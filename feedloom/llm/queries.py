@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import exact, mixing, sharding
+from feedloom.llm import exact, mixing, sharding, simhash
 from feedloom.llm.common import read_table, text_or_empty
 
 
@@ -15,6 +15,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op5_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact.exact_groups(read_table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -29,6 +34,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_simhash": op2_simhash,
     "op5_exact": op5_exact,
     "op9_sharding": op9_sharding,
 }
