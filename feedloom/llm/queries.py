@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import exact, mixing, sharding, simhash
+from feedloom.llm import decontamination, exact, mixing, sharding, simhash
 from feedloom.llm.common import read_table, text_or_empty
 
 
@@ -32,11 +32,18 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    pairs = decontamination.contaminated(docs, items, F.col("doc_id"), F.col("item_id"))
+    return pairs.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "coverage", "n_slots")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
     "op5_exact": op5_exact,
     "op9_sharding": op9_sharding,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLES = {
