@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import decontamination, exact, mixing, quality, sharding, simhash
+from feedloom.llm import decontamination, exact, lines, mixing, quality, sharding, simhash
 from feedloom.llm.common import read_table, text_or_empty
 
 
@@ -30,6 +30,11 @@ def op5_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = lines.drop_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(read_table(spark, sf_dir, "documents"))
     return placed.select(
@@ -48,6 +53,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_quality": op3_quality,
     "op5_exact": op5_exact,
+    "op7_lines": op7_lines,
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
 }
@@ -59,4 +65,16 @@ ORACLES = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM n""",
+    "op7_lines": """
+        WITH l AS (
+          SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                 generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+        k AS (
+          SELECT doc_id, line, pos, translate(
+                   regexp_replace(regexp_replace(line, '^[\\x20\\x09-\\x0D]+', ''), '[\\x20\\x09-\\x0D]+$', ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+        due AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+        SELECT k.doc_id, count(*) AS n_lines, count(due.key) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (due.key IS NULL), '')) AS kept_sha256
+        FROM k LEFT JOIN due USING (key) GROUP BY k.doc_id""",
 }
