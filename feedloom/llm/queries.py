@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import decontamination, exact, lines, mixing, quality, sharding, simhash
+from feedloom.llm import decontamination, exact, lines, mixing, quality, sharding, simhash, suffixes
 from feedloom.llm.common import read_table, text_or_empty
 
 
@@ -25,6 +25,13 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs.select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")
 
 
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return cut.select("doc_id", F.octet_length(text_or_empty()).cast("long").alias("n_bytes"), removed.alias("n_removed"),
+                      F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact.exact_groups(read_table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -52,6 +59,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
     "op3_quality": op3_quality,
+    "op4_suffixes": op4_suffixes,
     "op5_exact": op5_exact,
     "op7_lines": op7_lines,
     "op9_sharding": op9_sharding,
