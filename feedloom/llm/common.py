@@ -61,3 +61,15 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bounded_sample(rows: DataFrame, digest: Column, n: int) -> DataFrame:
+    """About ``n`` rows and never more, chosen by a hash, so that reruns agree.
+
+    The rows are counted first, and only those below the matching hash go on; no task ever
+    holds or sends more than its part of the sample.
+    """
+    total = rows.count()
+    if total > n:
+        rows = rows.filter(F.shiftrightunsigned(digest, 1) < int(2 ** 63 * n / total))
+    return rows.orderBy(digest).limit(n)

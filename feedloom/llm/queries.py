@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import decontamination, exact, lines, mixing, quality, sharding, simhash, suffixes
+from feedloom.llm import decontamination, exact, language, lines, mixing, pii, quality, sharding, simhash, suffixes
 from feedloom.llm.common import read_table, text_or_empty
 
 
@@ -37,11 +37,27 @@ def op5_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language.fit(read_table(spark, sf_dir, "documents"))
+    return language.identify(read_table(spark, sf_dir, "pages"), model).drop("url")
+
+
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = lines.drop_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    kinds = F.transform("base_spans", lambda s: s["kind"])
+    counts = [F.size(F.array_remove(kinds, k)) for k in pii.KINDS]
+    counts = [(F.size(kinds) - c).cast("long").alias(f"n_{k}") for c, k in zip(counts, pii.KINDS, strict=True)]
+    joined = lambda column: F.array_join(F.transform(
+        column, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", *counts, F.sha2(joined("base_spans"), 256).alias("base_sha256"),
+                        joined("all_spans").alias("spans"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(read_table(spark, sf_dir, "documents"))
     return placed.select(
@@ -61,7 +77,9 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_suffixes": op4_suffixes,
     "op5_exact": op5_exact,
+    "op6_language": op6_language,
     "op7_lines": op7_lines,
+    "op8_pii": op8_pii,
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
 }

@@ -24,7 +24,7 @@ from feedloom.llm.common import attach, scratch, text_or_empty
 
 # A boundary may miss its ideal place by this share of a shard's bytes.
 TOLERANCE = 0.005
-# Rows that one task sorts, about; an interval is divided beyond four times as many.
+# Rows of an interval, about.  One that holds four times its even share is divided.
 INTERVAL_ROWS = 20_000
 # Candidates inside an interval that is refined.
 PROBES = 256
@@ -86,12 +86,13 @@ def split_intervals(keys: DataFrame, shards: int, tolerance: float = TOLERANCE,
     total = keys.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
     bits = min(30, max(8, math.ceil(math.log2(max(1, total["rows"]) / interval_rows + 1))))
     ideal = max(total["bytes"], 1) / shards
+    many = 4 * max(16, total["rows"] / 2 ** bits)
     boundary = lambda place: F.floor(place / F.lit(ideal))
     rows = keys.select(first_cell(bits).alias("cell"), "size", "key")
     cells, rounds = scratch(_counted(rows), "cells"), []
     while True:
         after = F.col("bytes_before") + F.col("bytes")
-        heavy = (F.col("rows") > 4 * interval_rows) | (
+        heavy = (F.col("rows") > many) | (
             (F.col("bytes") > tolerance * ideal) & (boundary(F.col("bytes_before")) < boundary(after - 1)))
         wanted = scratch(
             _placed(cells).filter(heavy & (F.col("lo") < F.col("hi"))).select("cell", "lo", "hi"), "heavy")
