@@ -5,7 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from feedloom.cluster import workspace
-from feedloom.llm import mixing, sharding
+from feedloom.llm import decontamination, mixing, quality, sharding, simhash
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    return quality.good_only(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of near copies."""
+    return simhash.keep_one(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,16 +29,19 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def make_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their shard of eight and their place in it."""
+    """Documents with their size, their shard of eight and their place in it."""
     return sharding.shard(docs)
 
 
 STAGES = [
+    ("quality", keep_good),
+    ("near_copies", keep_one_copy),
+    ("leaks", drop_leaks),
     ("mixing", mix_sources),
     ("sharding", make_shards),
 ]
 
-# Neither sampling by hash nor trained scores can be written in SQL.
+# Trained scores and samples by hash can't be written in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
