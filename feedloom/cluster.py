@@ -93,19 +93,3 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def without_keys(rows: DataFrame, keys: DataFrame, on: str, scatter: list[str], salt: int = 64) -> DataFrame:
-    """Anti join for keys that are few but hold very many rows.
-
-    Measured small, the keys are broadcast and the rows leave before any shuffle.
-    Otherwise the rows of a key are scattered over ``salt`` tasks by the columns given, and
-    the keys repeated as often.
-    """
-    if fits_broadcast(keys):
-        return rows.join(F.broadcast(keys), on, "left_anti")
-    salted = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)).cast("array<bigint>")))
-    return (
-        rows.withColumn("_salt", F.pmod(F.xxhash64(*scatter), F.lit(salt)))
-        .join(salted, [on, "_salt"], "left_anti").drop("_salt")
-    )

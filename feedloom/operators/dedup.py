@@ -9,18 +9,18 @@ third of all rows never gathers in one task:
 
 The alternates of a posting stay a table of their own (``alternates``).  It is found
 with an anti join on (key, link), the partitioning that step 1 already has.  The array
-form (``nest_alternates``) is for ordinary groups; the few that exceed its bound keep
-their rows in the table and are flagged.
+form (``nest_alternates``) has one row per chunk of at most ``CHUNK`` alternates, numbered
+from 0, so that a group of any size is complete and no task holds a whole one.
 """
 
 from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedloom.cluster import without_keys
+from feedloom.cluster import checkpointed
 from feedloom.functions import text
 
 # --- fixed values: source priority, best first ----------------------------------
@@ -30,7 +30,8 @@ PORTAL_PRIORITY = [
 ]
 # --- end of fixed values ----------------------------------------------------------
 
-MAX_NESTED = 10_000
+# Alternates in one array.
+CHUNK = 1000
 
 
 def portal_rank(portal: Column, priority: list[str] | None = None) -> Column:
@@ -101,28 +102,48 @@ def alternates(links: DataFrame, winners: DataFrame) -> DataFrame:
     )
 
 
-def nest_alternates(winners: DataFrame, others: DataFrame, max_nested: int = MAX_NESTED) -> DataFrame:
-    """Winners with ``also_on`` as an array in (rank, arrival) order.
+def number_in_group(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Add ``place``: the position of a row within its key, from 0.
 
-    A key with more than ``max_nested`` alternates gets a null array and
-    ``also_on_overflow``; its links are complete in the ``others`` table.  The keys in
-    question are few by arithmetic, and their rows leave before the shuffle on the key.
+    The rows are range-partitioned by key and order and kept on shared storage.  A key may
+    span several ranges; only such keys need the counts of earlier ranges, and there are at
+    most as many of them as ranges, so they are broadcast.
     """
-    large = winners.filter(F.col("n_alternates") > max_nested).select("dedup_key")
-    lists = (
-        without_keys(others, large, "dedup_key", ["portal", "url"])
-        .groupBy("dedup_key")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "arrival", "portal", "url"))).alias("ordered"))
-        .select(
-            "dedup_key",
-            F.transform("ordered", lambda a: F.struct(a["portal"].alias("portal"), a["url"].alias("url"))).alias("also_on"),
-        )
+    keys = [F.col(key), *[F.col(c) for c in order]]
+    ranged = checkpointed(rows.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_size"))
+    earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    spanning = sizes.withColumn("_before", F.sum("_size").over(earlier)).filter("_before > 0").drop("_size")
+    inside = F.row_number().over(Window.partitionBy(key, "_part").orderBy(*keys[1:]))
+    return (
+        ranged.withColumn("_at", inside)
+        .join(F.broadcast(spanning), [key, "_part"], "left")
+        .withColumn("place", F.col("_at") - 1 + F.coalesce("_before", F.lit(0)))
+        .drop("_part", "_at", "_before")
     )
-    return winners.join(lists, "dedup_key", "left").withColumn(
-        "also_on_overflow", F.col("n_alternates") > max_nested
+
+
+def in_chunks(rows: DataFrame, key: str, order: list[str], chunk: int = CHUNK) -> DataFrame:
+    """``key, chunk_no, also_on``: all links of a key in order, at most ``chunk`` per row."""
+    numbered = number_in_group(rows, key, order)
+    return (
+        numbered.groupBy(key, F.floor(F.col("place") / chunk).cast("int").alias("chunk_no"))
+        .agg(F.array_sort(F.collect_list(F.struct("place", "portal", "url"))).alias("_ordered"))
+        .select(key, "chunk_no", F.transform(
+            "_ordered", lambda a: F.struct(a["portal"].alias("portal"), a["url"].alias("url"))).alias("also_on"))
     )
 
 
+def nest_alternates(winners: DataFrame, others: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Winners with ``also_on`` as an array in (rank, arrival) order.
+
+    A winner with more than ``chunk`` alternates has a row per chunk, ``chunk_no`` 0, 1, ...;
+    every other winner has one row, with a null array where there is no alternate.
+    """
+    chunks = in_chunks(others, "dedup_key", ["rank", "arrival", "portal", "url"], chunk)
+    return winners.join(chunks, "dedup_key", "left").withColumn("chunk_no", F.coalesce("chunk_no", F.lit(0)))
+
+
 def pool_stats(winners: DataFrame) -> DataFrame:
     """One row: input records, unique postings, collapsed, redundancy in percent.
 

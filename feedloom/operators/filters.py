@@ -66,12 +66,12 @@ def _any_literal(title_norm: Column, terms: list[str]) -> Column:
 
 def keep_titles(postings: DataFrame, exclude: list[str] | None = None, require: list[str] | None = None) -> DataFrame:
     """The same two filters with literal term lists."""
-    out = postings.withColumn("_norm", text.normalize_title(F.col("title")))
-    if exclude:
-        out = out.filter(~_any_literal(F.col("_norm"), exclude))
-    if require:
-        out = out.filter(_any_literal(F.col("_norm"), require))
-    return out.drop("_norm")
+    def kept(norm: Column) -> Column:
+        out = ~_any_literal(norm, exclude) if exclude else F.lit(True)
+        return out & _any_literal(norm, require) if require else out
+
+    # As the argument of a lambda the title is normalized once, however many terms there are.
+    return postings.filter(names.once(text.normalize_title(F.col("title")), kept))
 
 
 def in_city(city: Column, wanted: Column) -> Column:

@@ -71,8 +71,7 @@ def select_profiles(profiles: DataFrame, only: str | None = None) -> DataFrame:
         return profiles.filter(F.coalesce("enabled", F.lit(True)))
     chosen = profiles.filter(F.col("id") == only)
     if chosen.limit(1).count() == 0:
-        # The listing is for an error message; a long table is shown by its beginning.
-        ids = [r["id"] for r in profiles.select("id").distinct().orderBy("id").limit(50).collect()]
+        ids = [r["id"] for r in profiles.select("id").distinct().orderBy("id").collect()]
         raise ProfileError(f"no profile with id {only!r}. Available: " + ", ".join(map(str, ids)))
     return chosen
 

@@ -94,15 +94,20 @@ def digest_line(c_title: Column, c_company: Column, c_location: Column, c_portal
     )
 
 
+def heads(history: DataFrame) -> DataFrame:
+    """One row per entry: further chunks of links left out."""
+    return history.filter("chunk_no = 0") if "chunk_no" in history.columns else history
+
+
 def per_portal(history: DataFrame) -> DataFrame:
-    return history.groupBy("portal").agg(F.count(F.lit(1)).alias("n"))
+    return heads(history).groupBy("portal").agg(F.count(F.lit(1)).alias("n"))
 
 
 def top_companies(history: DataFrame, k: int = 10) -> DataFrame:
-    """Companies with most postings; equal counts in name order."""
+    """Companies with most postings, no name as one of them; equal counts in name order."""
     return (
-        history.groupBy("company").agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), F.asc("company")).limit(k)
+        heads(history).groupBy("company").agg(F.count(F.lit(1)).alias("n"))
+        .orderBy(F.desc("n"), F.asc_nulls_first("company")).limit(k)
     )
 
 
@@ -118,7 +123,7 @@ def source_health(reports: DataFrame) -> DataFrame:
 
 
 def newest_first(history: DataFrame, k: int) -> DataFrame:
-    return history.orderBy(F.desc("first_seen"), F.asc("stored_key")).limit(k)
+    return heads(history).orderBy(F.desc("first_seen"), F.asc("stored_key")).limit(k)
 
 
 def shortlist(entries: DataFrame, k: int) -> DataFrame:
@@ -140,12 +145,16 @@ def cap_per_request(postings: DataFrame, limit: int, order: Column, max_age: int
 
 
 def as_history(entries: DataFrame, nested: DataFrame | None = None) -> DataFrame:
-    """History rows: nested values as JSON text, null where there is nothing."""
+    """History rows: nested values as JSON text, null where there is nothing.
+
+    An entry with several chunks of links has several rows; ``chunk_no`` 0 stands for it.
+    """
+    chunk = F.coalesce("chunk_no", F.lit(0)) if "chunk_no" in entries.columns else F.lit(0)
     also = F.when(F.size("also_on") > 0, F.to_json("also_on")) if "also_on" in entries.columns else F.lit(None).cast("string")
     return entries.select(
         F.col("stored_key").alias("dedup_key"), "title", "company", "url", "portal", "first_seen", "status",
         F.to_json("fit").alias("fit") if dict(entries.dtypes)["fit"] not in ("string",) else F.col("fit"),
-        also.alias("also_on"),
+        also.alias("also_on"), chunk.cast("int").alias("chunk_no"),
     )
 
 

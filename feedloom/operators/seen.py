@@ -36,8 +36,7 @@ def known_keys(entries: DataFrame) -> DataFrame:
     which the following join uses as it is.
     """
     keyed = entries if "name_key" in entries.columns else with_name_key(entries)
-    stored = keyed.selectExpr("stored_key AS dedup_key")
-    return stored.union(keyed.selectExpr("name_key").filter("name_key IS NOT NULL")).distinct()
+    return keyed.select(F.explode(F.array_compact(F.array("stored_key", "name_key"))).alias("dedup_key")).distinct()
 
 
 def new_only(pool: DataFrame, known: DataFrame) -> DataFrame:

@@ -98,7 +98,7 @@ def reshape(sheets: DataFrame, layout: DataFrame | None = None) -> DataFrame:
             lambda p: F.struct(
                 p["name"].alias("name"),
                 F.struct(
-                    number(p["count_col"]).cast("bigint").alias("count"),
+                    number(p["count_col"]).try_cast("bigint").alias("count"),
                     number(p["index_col"]).alias("index"),
                 ).alias("value"),
             ),

@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.cluster import without_keys, workspace
+from feedloom.cluster import workspace
 from feedloom.operators import dedup, filters, report, seen
 from feedloom.sources.tables import HISTORY_SCHEMA, PoolTable, SeenStore, SnapshotTable, discard
 
@@ -62,7 +62,8 @@ def run_batch(
     flagged_path = workspace(spark, "flagged")
     seen.flag_known(pool.unique, known).write.parquet(flagged_path)
     flagged = spark.read.parquet(flagged_path)
-    nested = dedup.nest_alternates(flagged.filter("not is_known").drop("is_known"), pool.others)
+    fresh = flagged.filter("not is_known").drop("is_known")
+    nested = dedup.nest_alternates(fresh, pool.others.join(fresh.select("dedup_key"), "dedup_key", "left_semi"))
     added = seen.new_entries(store.entries(before=batch), pool.unique, F.lit(day.isoformat()))
     n_added = added.count() if remember else 0
     stats = dedup.pool_stats(flagged).withColumn("seen_entries_added", F.lit(n_added).cast("long"))
@@ -77,18 +78,10 @@ def run_batch(
         discard(spark, path)
 
 
-def history_rows(store: SeenStore, max_nested: int = dedup.MAX_NESTED) -> DataFrame:
-    """History form of the store; alternates as JSON text for ordinary groups.
-
-    A key with more than ``max_nested`` links keeps them in the store's link table only.
-    """
-    links = store.links()
-    large = links.groupBy("stored_key").count().filter(F.col("count") > max_nested).select("stored_key")
-    lists = (
-        without_keys(links, large, "stored_key", ["portal", "url"]).groupBy("stored_key")
-        .agg(F.array_sort(F.collect_list(F.struct("portal", "url"))).alias("also_on"))
-    )
-    return report.as_history(store.entries().join(lists, "stored_key", "left"))
+def history_rows(store: SeenStore, chunk: int = dedup.CHUNK) -> DataFrame:
+    """History form of the store; all links as JSON text, ``chunk`` of them per row."""
+    links = dedup.in_chunks(store.links(), "stored_key", ["portal", "url"], chunk)
+    return report.as_history(store.entries().join(links, "stored_key", "left"))
 
 
 def new_history(store: SeenStore, path: str) -> SnapshotTable:

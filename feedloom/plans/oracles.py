@@ -36,21 +36,21 @@ postings AS (
       WHEN '5-LOW' THEN 'data engineer' ELSE '' END
   FROM orders
 ),
-keyed AS (SELECT *, c_norm || '|' || t_norm AS k FROM postings)"""
+keyed AS MATERIALIZED (SELECT *, c_norm || '|' || t_norm AS k FROM postings)"""
 
 
 def _winners(name: str, where: str = "true") -> str:
     """CTEs ``<name>`` (one row per key) and ``<name>_links`` (its other links)."""
+    place = "{'rank': rank, 'a': a, 'b': b, 'c': c, 'd': d, 'e': e, 'f': f}"
+    record = "{'title': title, 'company': company, 'location': location, 'profile': profile, 'day': \"day\"}"
     return f"""
-{name}_rows AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY rank, a, b, c, d, e, f) AS rn,
-    count(*) OVER (PARTITION BY k) AS n_rows FROM keyed WHERE {where}),
-{name}_pairs AS (SELECT *, row_number() OVER (PARTITION BY k, portal, url ORDER BY rank, a, b, c, d, e, f) AS nth
-    FROM {name}_rows),
-{name}_best AS (SELECT * FROM {name}_rows WHERE rn = 1),
-{name}_links AS (SELECT p.* FROM {name}_pairs p JOIN {name}_best w ON p.k = w.k
-    WHERE nth = 1 AND NOT (p.portal = w.portal AND p.url = w.url)),
-{name} AS (SELECT w.*, coalesce(n, 0) AS n_alternates FROM {name}_best w
-    LEFT JOIN (SELECT k, count(*) AS n FROM {name}_links GROUP BY k) x ON w.k = x.k)"""
+{name}_pairs AS MATERIALIZED (SELECT k, portal, url, count(*) AS n, min(o) AS o, arg_min(r, o) AS r
+    FROM (SELECT k, portal, url, {place} AS o, {record} AS r FROM keyed WHERE {where}) GROUP BY k, portal, url),
+{name}_best AS MATERIALIZED (SELECT k, min(o) AS o, arg_min({{'portal': portal, 'url': url, 'r': r}}, o) AS w,
+    CAST(sum(n) AS BIGINT) AS n_rows, count(*) - 1 AS n_alternates FROM {name}_pairs GROUP BY k),
+{name} AS (SELECT k, w.portal AS portal, w.url AS url, w.r.title AS title, w.r.company AS company, w.r.location AS location,
+    w.r.profile AS profile, w.r."day" AS "day", o.a AS a, n_rows, n_alternates FROM {name}_best),
+{name}_links AS (SELECT p.k, p.portal, p.url, p.o, p.o.rank AS rank FROM {name}_pairs p JOIN {name}_best w ON p.k = w.k WHERE p.o <> w.o)"""
 
 
 _POOL = f"WITH {_POSTINGS}, {_winners('win')}"
@@ -59,8 +59,9 @@ _SPLIT = (
     f"{_winners('new', chr(34) + 'day' + chr(34) + ' >= DATE ' + chr(39) + '1998-01-01' + chr(39))}, "
     "stored AS (SELECT *, CASE WHEN portal = 'arbeitsagentur-search' THEN url ELSE k END AS stored_key FROM old)"
 )
-_NESTED = """nested AS (SELECT k, string_agg(portal || '@' || url, ' ' ORDER BY rank, a, b, c, d, e, f) AS line,
-    string_agg(portal, ', ' ORDER BY rank, a, b, c, d, e, f) AS portals FROM win_links GROUP BY k)"""
+_NESTED = """places AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY o, portal, url) - 1 AS place FROM win_links),
+nested AS (SELECT k, place // 1000 AS chunk_no, string_agg(portal || '@' || url, ' ' ORDER BY place) AS line,
+    string_agg(portal, ', ' ORDER BY place) AS portals FROM places GROUP BY ALL)"""
 
 
 def _escaped(x: str) -> str:
@@ -169,7 +170,8 @@ flagged AS (SELECT k.*, NOT (coalesce(n, 0) % 3 <> 0 AND contains(t_norm, coales
     AND (n IS NULL OR n % 2 <> 0 OR contains(t_norm, high) OR contains(t_norm, other)) AS keep
   FROM keyed k LEFT JOIN brands ON profile = id)"""
 _REPORT = f"""{_FLAGGED},
-counts AS (SELECT profile, portal, count(*) AS n, count(*) FILTER (WHERE keep) AS kept FROM flagged WHERE profile IS NOT NULL GROUP BY ALL),
+listed AS (SELECT id, n FROM brands UNION ALL SELECT 'orders board', 3),
+counts AS (SELECT coalesce(profile, 'orders board') AS profile, portal, count(*) AS n, count(*) FILTER (WHERE keep) AS kept FROM flagged GROUP BY ALL),
 boards AS (SELECT DISTINCT portal FROM counts UNION ALL SELECT 'jobindex'),
 report AS (
   SELECT id AS profile, b.portal,
@@ -179,8 +181,8 @@ report AS (
       WHEN c.n IS NULL THEN 'no result landed' WHEN c.n % 5 = 0 THEN 'timed out after 120s' END AS detail,
     CASE WHEN b.portal <> 'monster' AND c.n % 5 <> 0 THEN c.n END AS returned,
     CASE WHEN b.portal <> 'monster' AND c.n % 5 <> 0 THEN c.kept END AS kept
-  FROM brands CROSS JOIN boards b LEFT JOIN counts c ON c.profile = id AND c.portal = b.portal WHERE brands.n % 5 <> 4
-  UNION ALL SELECT id, NULL, 'disabled', NULL, NULL, NULL FROM brands WHERE n % 5 = 4)"""
+  FROM listed CROSS JOIN boards b LEFT JOIN counts c ON c.profile = id AND c.portal = b.portal WHERE listed.n % 5 <> 4
+  UNION ALL SELECT id, NULL, 'disabled', NULL, NULL, NULL FROM listed WHERE n % 5 = 4)"""
 _FANOUT = """
 lists AS (SELECT *, CASE c_custkey % 6 WHEN 1 THEN ['arbeitsagentur-search', 'stepstone-search', 'xing-search']
     WHEN 2 THEN ['arbeitsagentur-search'] WHEN 3 THEN ['stepstone-search', 'freehire-search', 'xing-search']
@@ -218,19 +220,19 @@ outcomes AS (SELECT *, CASE n % 7 WHEN 0 THEN 'in_progress' WHEN 1 THEN 'hired'
 ORACLES: dict[str, str] = {
     "dedup_pool": f"""{_POOL} SELECT k AS dedup_key, portal, title, company, url, location, n_rows, n_alternates FROM win""",
     "also_on_links": f"""{_POOL} SELECT k AS dedup_key, portal, url, rank FROM win_links""",
-    "also_on_nested": f"""{_POOL}, {_NESTED} SELECT win.k AS dedup_key, CASE WHEN n_alternates <= 10000 THEN line END AS also_on,
-        n_alternates > 10000 AS also_on_overflow FROM win LEFT JOIN nested ON win.k = nested.k""",
+    "also_on_nested": f"""{_POOL}, {_NESTED} SELECT win.k AS dedup_key, CAST(coalesce(chunk_no, 0) AS INTEGER) AS chunk_no, line AS also_on
+        FROM win LEFT JOIN nested ON win.k = nested.k""",
     "pool_stats": f"""WITH {_POSTINGS}, s AS (SELECT count(*) AS i, count(DISTINCT k) AS u FROM keyed)
         SELECT i AS input_records, u AS unique_jobs, i - u AS duplicates_collapsed, round_even(100.0 * (i - u) / i, 1)::DOUBLE AS redundancy_pct FROM s""",
     "strict_title_keys": f"""WITH {_POSTINGS} SELECT replace(k, 'syste etwork', 'system network') AS dedup_key, count(*) AS n FROM keyed GROUP BY 1""",
     "portal_priority": f"""WITH {_POSTINGS} SELECT portal, count(*) AS n, max(rank) AS rank FROM keyed GROUP BY portal""",
-    "new_postings": f"""{_SPLIT} SELECT k AS dedup_key, portal, title, company, url FROM new WHERE k NOT IN (SELECT k FROM old)""",
-    "already_seen": f"""{_SPLIT} SELECT k AS dedup_key, portal, title, company, url FROM new WHERE k IN (SELECT k FROM old)""",
+    "new_postings": f"""{_SPLIT} SELECT k AS dedup_key, portal, title, company, url FROM new WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.k = new.k)""",
+    "already_seen": f"""{_SPLIT} SELECT k AS dedup_key, portal, title, company, url FROM new SEMI JOIN old USING (k)""",
     "run_stats": f"""{_SPLIT}, s AS (SELECT CAST(sum(n_rows) AS BIGINT) AS i, count(*) AS u, count(*) FILTER (WHERE k IN (SELECT k FROM old)) AS seen FROM new)
         SELECT i AS input_records, u AS unique_jobs, u - seen AS "new", seen AS already_seen, i - u AS duplicates_collapsed,
           round_even(100.0 * (i - u) / i, 1)::DOUBLE AS redundancy_pct FROM s""",
     "seen_merge": f"""{_SPLIT} SELECT stored_key, title, company, url, '1997-12-31' AS first_seen, NULL::VARCHAR AS fit, 'new' AS status, portal FROM stored
-        UNION ALL SELECT k, title, company, url, '1998-01-01', NULL, 'new', portal FROM new WHERE k NOT IN (SELECT stored_key FROM stored)""",
+        UNION ALL SELECT k, title, company, url, '1998-01-01', NULL, 'new', portal FROM new ANTI JOIN stored ON new.k = stored.stored_key""",
     "seen_merge_links": f"""{_SPLIT} SELECT k AS stored_key, portal, url FROM old_links UNION SELECT k, portal, url FROM new_links""",
     "rank_writeback": """WITH s AS (SELECT doc_id, max(quality) AS q, max(toxic) AS t FROM labels GROUP BY doc_id)
         SELECT CAST(d.doc_id AS VARCHAR) AS stored_key, CASE WHEN q IS NULL THEN 'new' ELSE 'ranked' END AS status,
@@ -269,20 +271,20 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT id, 'warning', 'profile ''' || id || ''' has a term that matches every title' FROM p WHERE k % 10 = 3
         UNION ALL SELECT id, 'error', 'duplicate profile id ''' || id || '''' FROM p WHERE id <> '' GROUP BY id HAVING count(*) > 1""",
     "history_upsert": f"""{_SPLIT}, both_loads AS (
-          SELECT *, 'new' AS status FROM new UNION ALL SELECT *, 'old' FROM old WHERE k NOT IN (SELECT k FROM new))
+          SELECT *, 'new' AS status FROM new UNION ALL SELECT *, 'old' FROM old ANTI JOIN new USING (k))
         SELECT k AS dedup_key, title, company, url, portal, strftime("day", '%Y-%m-%d') AS first_seen, status,
-          CASE WHEN n_rows % 2 = 0 THEN '{{"score":' || n_rows || '}}' END AS fit, NULL::VARCHAR AS also_on FROM both_loads""",
+          CASE WHEN n_rows % 2 = 0 THEN '{{"score":' || n_rows || '}}' END AS fit, NULL::VARCHAR AS also_on, CAST(0 AS INTEGER) AS chunk_no FROM both_loads""",
     "recent_7d": f"""{_POOL} SELECT company, title, strftime("day", '%Y-%m-%d') AS first_seen, k AS dedup_key FROM win WHERE "day" >= DATE '2001-10-24'""",
     "per_portal": f"""{_POOL} SELECT portal, count(*) AS n FROM win GROUP BY portal""",
-    "top_employers": f"""{_POOL} SELECT company, count(*) AS n FROM win WHERE company IS NOT NULL GROUP BY company ORDER BY n DESC, company LIMIT 10""",
+    "top_employers": f"""{_POOL} SELECT company, count(*) AS n FROM win GROUP BY company ORDER BY n DESC, company NULLS FIRST LIMIT 10""",
     "newest_first": f"""{_POOL} SELECT k AS stored_key, strftime("day", '%Y-%m-%d') AS first_seen, company FROM win ORDER BY "day" DESC, k LIMIT 25""",
     "shortlist": f"""{_POOL} SELECT k AS stored_key, strftime("day", '%Y-%m-%d') AS first_seen, portal FROM win WHERE portal <> 'indeed' ORDER BY "day" DESC, k LIMIT 25""",
     "request_cap": f"""WITH {_POSTINGS}, r AS (SELECT *, row_number() OVER (PARTITION BY profile, portal ORDER BY a, b, c, d, e, f) AS place
-          FROM keyed WHERE profile IS NOT NULL AND "day" >= DATE '2001-10-24')
+          FROM keyed WHERE "day" >= DATE '2001-10-24')
         SELECT profile, portal, CAST(place AS INTEGER) AS place, title, company, url FROM r WHERE place <= 25""",
     "digest_groups": f"""{_POOL} SELECT coalesce(profile, 'unassigned') AS profile, count(*) AS jobs, min(a) AS first_order FROM win GROUP BY 1""",
-    "digest_rows": f"""{_POOL}, {_NESTED} SELECT win.k AS dedup_key, coalesce(profile, 'unassigned') AS profile, {_escaped('url')} AS url,
-          CASE WHEN n_alternates <= 10000 THEN 'also on ' || portals END AS also_note,
+    "digest_rows": f"""{_POOL}, {_NESTED} SELECT win.k AS dedup_key, CAST(coalesce(chunk_no, 0) AS INTEGER) AS chunk_no,
+          coalesce(profile, 'unassigned') AS profile, {_escaped('url')} AS url, 'also on ' || portals AS also_note,
           '  - ' || {_escaped("coalesce(title, '(untitled)')")} || ' — ' || {_escaped("coalesce(company, '—')")} || ' — '
             || coalesce(location, '—') || ' [' || portal || ']' AS line
         FROM win LEFT JOIN nested ON win.k = nested.k""",
@@ -364,8 +366,8 @@ ORACLES: dict[str, str] = {
         SELECT tracked, ranked, tracked || ' tracked, ' || ranked || ' ranked' AS header FROM c""",
     "followups": """WITH a AS (SELECT user_id, DATE '2024-02-10' - CAST(max(ts) AS DATE) AS days, count(*) FILTER (WHERE event_type = 'error') AS sent FROM events GROUP BY user_id)
         SELECT user_id, CAST(days AS INTEGER) AS days_quiet, days >= 10 AND sent < 2 AS nudge_due, days >= 30 AS stale FROM a""",
-    "write_roundtrip": f"""{_POOL} SELECT CASE portal WHEN 'xing-search' THEN '2025-01-31' ELSE '2025-02-10' END AS "day", count(*) AS postings,
-        CAST(sum(n_rows) AS BIGINT) AS records FROM win WHERE portal IN ('xing-search', 'monster') GROUP BY 1""",
+    "write_roundtrip": f"""{_POOL} SELECT CASE length(k) % 3 WHEN 1 THEN '2025-01-31' ELSE '2025-02-10' END AS "day", count(*) AS postings,
+        CAST(sum(n_rows) AS BIGINT) AS records FROM win WHERE length(k) % 3 <> 0 GROUP BY 1""",
     "incremental_stream": """WITH e AS (SELECT *, CAST(least(hour(ts) // 8, 2) AS INTEGER) AS wave FROM events),
         f AS (SELECT *, min(wave) OVER (PARTITION BY user_id, event_type) AS first_wave FROM e),
         g AS (SELECT user_id, event_type, wave, min(event_id) AS event_id, count(*) AS n_rows FROM f WHERE wave = first_wave GROUP BY ALL)

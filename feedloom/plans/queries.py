@@ -16,7 +16,9 @@ from feedloom.plans import views
 from feedloom.plans.batch import merge_pool
 from feedloom.plans.views import pick, table
 from feedloom.sources import landing
-from feedloom.sources.tables import HISTORY_SCHEMA, PoolTable, SeenStore, SnapshotTable, read_dataset, write_dataset
+from feedloom.sources.tables import (
+    HISTORY_SCHEMA, PoolTable, SeenStore, SnapshotTable, read_dataset, subfolders, write_dataset,
+)
 from feedloom.streaming import incremental
 
 TODAY = views.SPLIT_DAY
@@ -53,7 +55,7 @@ def also_on_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = merge_pool(views.postings(spark, sf_dir), _order())
     nested = dedup.nest_alternates(pool.unique, pool.others)
     line = F.array_join(F.transform("also_on", lambda a: F.concat_ws("@", a["portal"], a["url"])), " ")
-    return nested.select("dedup_key", line.alias("also_on"), "also_on_overflow")
+    return nested.select("dedup_key", "chunk_no", line.alias("also_on"))
 
 
 def pool_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +116,7 @@ def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seen_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries, _, pool, _ = _seen_before(spark, sf_dir)
+    entries, pool = _memory_and_pool(spark, sf_dir)
     return entries.unionByName(seen.new_entries(entries, pool, F.lit(TODAY)).drop("name_key"))
 
 
@@ -183,8 +185,11 @@ def literal_title_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _run_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    rows = views.postings(spark, sf_dir).filter("profile is not null")
+    rows = views.postings(spark, sf_dir).withColumn("profile", F.coalesce("profile", F.lit(views.ORDERS_PROFILE)))
     found = views.brand_profiles(spark, sf_dir)
+    found = found.unionByName(spark.range(1).select(
+        F.lit(views.ORDERS_PROFILE).alias("id"), F.lit(True).alias("enabled"), F.lit("orders").alias("query"),
+        *[F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("location", "exclude_titles", "require_any")]))
     on = profiles.select_profiles(found)
     base = {"portals": views.PORTALS + ["jobindex"]}
     pairs = profiles.fan_out(on.withColumn("portals", F.lit(None).cast("array<string>")), base).select(
@@ -269,7 +274,7 @@ def per_portal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top_employers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.top_companies(_history(spark, sf_dir).filter("company is not null"))
+    return report.top_companies(_history(spark, sf_dir))
 
 
 def newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,7 +289,7 @@ def shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def request_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.postings(spark, sf_dir).filter("profile is not null")
+    rows = views.postings(spark, sf_dir)
     capped = report.cap_per_request(rows, 25, _order(), 7, F.lit("2001-10-31").cast("date"))
     return capped.select("profile", "portal", "place", "title", "company", "url")
 
@@ -298,7 +303,7 @@ def digest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = merge_pool(views.postings(spark, sf_dir), _order())
     shown = report.digest_rows(dedup.nest_alternates(pool.unique, pool.others))
     line = report.digest_line(*[F.col(c) for c in ("title", "company", "location", "portal")])
-    return shown.select("dedup_key", "profile", "url", "also_note", line.alias("line"))
+    return shown.select("dedup_key", "chunk_no", "profile", "url", "also_note", line.alias("line"))
 
 
 def html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -602,8 +607,8 @@ def write_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pools of three days written, pruned to the retention, read back."""
     pools = PoolTable(spark, workspace(spark, "pools"))
     rows = merge_pool(views.postings(spark, sf_dir), _order()).unique.drop("link", "arrival", "date")
-    for day, portal in (("2025-01-01", "indeed"), ("2025-01-31", "xing-search"), ("2025-02-10", "monster")):
-        part = rows.filter(F.col("portal") == portal)
+    for third, day in enumerate(("2025-01-01", "2025-01-31", "2025-02-10")):
+        part = rows.filter(F.length("dedup_key") % 3 == third)
         pools.write(day, dedup.pool_stats(part), part.groupBy("portal").count(), part)
     pools.prune(date(2025, 3, 2), 30)
     return pools.read("new").groupBy(F.col("date").cast("string").alias("day")).agg(
@@ -611,19 +616,25 @@ def write_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def incremental_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events land in three waves; each (user, type) is reported once, in its first wave."""
+    """Events land in three waves; each (user, type) is reported once, in its first wave.
+
+    The events are read once and split by wave; a run of the stream follows each landing.
+    """
     base = workspace(spark, "stream")
-    events = table(spark, sf_dir, "events")
-    hour = F.hour("ts")
-    for wave in range(3):
-        part = events.filter(F.least(F.floor(hour / 8), F.lit(2)) == wave).select(
-            "event_id", F.col("event_type").alias("title"), F.concat(F.lit("User "), F.col("user_id")).alias("company"),
-            F.concat(F.lit("https://e.example/"), F.col("event_id")).alias("url"), F.lit("events").alias("portal"), F.lit(wave).alias("wave"))
-        part.coalesce(1).write.mode("append").parquet(f"{base}/landing")
-    arrivals = incremental.file_arrivals(
-        spark, f"{base}/landing", "event_id BIGINT, title STRING, company STRING, url STRING, portal STRING, wave INT", files_per_batch=1)
+    wave = F.least(F.floor(F.hour("ts") / 8), F.lit(2)).cast("int")
+    table(spark, sf_dir, "events").select(
+        "event_id", F.col("event_type").alias("title"), F.concat(F.lit("User "), F.col("user_id")).alias("company"),
+        F.concat(F.lit("https://e.example/"), F.col("event_id")).alias("url"), F.lit("events").alias("portal"),
+        wave.alias("wave"), wave.alias("part"),
+    ).write.partitionBy("part").parquet(f"{base}/waves")
+    schema = "event_id BIGINT, title STRING, company STRING, url STRING, portal STRING, wave INT"
     store = SeenStore(spark, f"{base}/seen")
-    incremental.run_available(arrivals, store, f"{base}/new", f"{base}/checkpoint", F.col("event_id"), F.lit("2024-01-01"))
+    for part in subfolders(spark, f"{base}/waves"):
+        if not part.startswith("part="):
+            continue
+        spark.read.schema(schema).parquet(f"{base}/waves/{part}").write.mode("append").parquet(f"{base}/landing")
+        arrivals = incremental.file_arrivals(spark, f"{base}/landing", schema)
+        incremental.run_available(arrivals, store, f"{base}/new", f"{base}/checkpoint", F.col("event_id"), F.lit("2024-01-01"))
     return incremental.reported(spark, f"{base}/new", store).select("dedup_key", "title", "company", "wave", "event_id", "n_rows")
 
 

@@ -22,6 +22,8 @@ ORDER_TITLES = {
     "5-LOW": "Da­ta Engineer:in",
 }
 SPLIT_DAY = "1998-01-01"
+# The board fed from orders has no profile of its own; reports list it under this one.
+ORDERS_PROFILE = "orders board"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,7 +72,7 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def brand_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A search profile per brand, term lists taken from the names of its parts."""
-    number = F.regexp_extract("p_brand", r"(\d+)", 1).cast("int")
+    number = F.regexp_extract("p_brand", r"(\d+)", 1).try_cast("int")
     first, last = F.split("p_name", " ")[0], F.split("p_name", " ")[1]
     return (
         table(spark, sf_dir, "part").groupBy("p_brand", number.alias("n"))

@@ -53,7 +53,8 @@ def extract_records(payloads: DataFrame) -> DataFrame:
         chosen = chosen.when(_truthy(f), f)
     listed = F.coalesce(doc.try_cast("array<variant>"), chosen.otherwise(F.lit(None)).try_cast("array<variant>"))
     rows = payloads.withColumn("_rows", listed).select("source_no", "portal", F.posexplode("_rows").alias("pos", "row"))
-    own = F.nullif(F.try_variant_get("row", "$.portal", "string"), F.lit(""))
+    given = F.try_variant_get("row", "$.portal", "variant")
+    own = F.when(_truthy(given), F.try_variant_get("row", "$.portal", "string"))
     return rows.filter(_kind(F.col("row")) == "object").select(
         F.struct("source_no", "pos").alias("arrival"),
         F.coalesce(own, "portal").alias("portal"),
@@ -63,8 +64,10 @@ def extract_records(payloads: DataFrame) -> DataFrame:
     )
 
 
-def read_results(spark: SparkSession, inputs: dict[str, str] | list[str]) -> DataFrame:
-    """Posting rows of result files.
+def read_results(spark: SparkSession, inputs: dict[str, str] | list[str], skip_unreadable: bool = False) -> DataFrame:
+    """Posting rows of result files; an unreadable one is an error that names it.
+
+    With ``skip_unreadable`` such files give no rows; ``read_result_log`` lists them.
 
     ``{portal: path}`` names the source of each path; in a list of paths (or globs) the
     file stem does.  The order of the inputs is the order of arrival.
@@ -83,9 +86,11 @@ def read_results(spark: SparkSession, inputs: dict[str, str] | list[str]) -> Dat
     docs = parts[0]
     for more in parts[1:]:
         docs = docs.unionByName(more)
-    return extract_records(docs.select(
-        F.struct("a", "file_name").alias("source_no"), "portal", F.try_parse_json("value").alias("payload")
-    ))
+    payload = F.try_parse_json("value")
+    if not skip_unreadable:
+        problem = F.concat(F.lit("unparseable output: "), F.col("file_name"))
+        payload = F.coalesce(payload, F.when(payload.isNull(), F.raise_error(problem)).cast("variant"))
+    return extract_records(docs.select(F.struct("a", "file_name").alias("source_no"), "portal", payload.alias("payload")))
 
 
 def read_result_log(spark: SparkSession, inputs: list[str]) -> DataFrame:
@@ -220,21 +225,25 @@ def load_dataset(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
     return meta.asDict(), companies_of(entries)
 
 
-def read_sheets(spark: SparkSession, path: str, width: int, delimiter: str = ",") -> DataFrame:
+def read_sheets(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
     """Sheets exported as delimited text, one file each: (sheet, row, cells).
 
-    ``width`` is the largest number of columns.  A spreadsheet has a fixed maximum of rows,
-    so reading one file whole is bounded; the rows are spread right after.
+    Every row has the cells it has (ragged rows allowed); a quoted cell may hold delimiters,
+    doubled quotes and line breaks.  A spreadsheet has a fixed maximum of rows, so reading one
+    file whole is bounded; the rows are spread right after.
     """
-    columns = ", ".join(f"c{i} STRING" for i in range(width))
+    sep = "\\" + delimiter if delimiter in "|.^$*+?()[{" else delimiter
+    # Runs outside quotes, then quoted parts with what follows them; possessive, so linear.
+    record = r'[^"\r\n]*+(?:"[^"]*+"[^"\r\n]*+)*+(?:\r?\n|\r|$)'
+    cell = rf'{sep}([^"{sep}]*+(?:"[^"]*+"[^"{sep}]*+)*+)'
+    records = F.filter(F.regexp_extract_all("value", F.lit(record), F.lit(0)), lambda r: r != "")
     lines = _documents(spark, path).select(
-        F.regexp_extract("file_name", r"^(.*?)(?:\.[^.]*)?$", 1).alias("sheet"),
-        F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("at", "line"),
-    )
-    parsed = F.from_csv("line", columns, {"sep": delimiter})
-    return lines.withColumn("p", parsed).select(
-        "sheet", (F.col("at") + 1).alias("row"), F.array(*[F.col(f"p.c{i}") for i in range(width)]).alias("cells")
-    )
+        F.regexp_extract("file_name", r"^(.*?)(?:\.[^.]*)?$", 1).alias("sheet"), F.posexplode(records).alias("at", "line"))
+    raw = F.regexp_extract_all(F.concat(F.lit(delimiter), F.regexp_replace("line", r"(?:\r?\n|\r)$", "")), F.lit(cell), F.lit(1))
+    bare = lambda c: F.when(
+        c.rlike('(?s)^".*"$'), F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c)
+    cells = F.transform(raw, lambda c: F.nullif(bare(c), F.lit("")))
+    return lines.select("sheet", (F.col("at") + 1).alias("row"), cells.alias("cells"))
 
 
 def split_posting_name(df: DataFrame, file_name: str) -> DataFrame:

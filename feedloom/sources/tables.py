@@ -22,7 +22,7 @@ ENTRY_SCHEMA = (
 LINK_SCHEMA = "stored_key STRING, portal STRING, url STRING"
 HISTORY_SCHEMA = (
     "dedup_key STRING, title STRING, company STRING, url STRING, portal STRING, "
-    "first_seen STRING, status STRING, fit STRING, also_on STRING"
+    "first_seen STRING, status STRING, fit STRING, also_on STRING, chunk_no INT"
 )
 
 

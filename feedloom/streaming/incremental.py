@@ -77,5 +77,7 @@ def file_arrivals(spark: SparkSession, path: str, schema: str, fmt: str = "parqu
 def reported(spark: SparkSession, output: str, store: SeenStore) -> DataFrame:
     """New postings of all committed batches."""
     last = store.commits.last()
+    if last is None:
+        return spark.createDataFrame([], "dedup_key STRING, batch INT")
     rows = spark.read.parquet(output)
     return rows.filter(F.col("batch") <= F.lit(-1 if last is None else last))

@@ -47,4 +47,4 @@ def test_query(spark, tables, name):
 
 
 def test_entry(spark):
-    assert contract.entry(spark).columns == ["dedup_key", "also_on", "also_on_overflow"]
+    assert contract.entry(spark).columns == ["dedup_key", "chunk_no", "also_on"]

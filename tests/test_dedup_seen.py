@@ -3,7 +3,6 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from feedloom import cluster
 from feedloom.operators import dedup, report, seen
 from feedloom.plans.batch import merge_pool
 
@@ -69,17 +68,16 @@ def test_against_brute_force_with_a_hot_key(spark, seed):
         assert r["n_alternates"] == len(links)
 
 
-def test_large_groups_stay_in_the_table(spark, monkeypatch):
-    rows = [("xing", "Hot", "Co", f"u{i}") for i in range(50)] + [("xing", "Cold", "Co", "u"), ("indeed", "Cold", "Co", "w")]
-    got = run(spark, rows, max_nested=10)
-    assert got["co|hot"]["also_on"] is None and got["co|hot"]["also_on_overflow"] and got["co|hot"]["n_alternates"] == 49
-    assert len(got["co|cold"]["also_on"]) == 1
+def test_large_groups_keep_every_link(spark):
+    rows = [("xing", "Hot", "Co", f"u{i:05}") for i in range(25_000)] + [("xing", "Cold", "Co", "u"), ("indeed", "Cold", "Co", "w")]
     pool = merge_pool(frame(spark, rows), F.col("ord"))
-    assert pool.others.filter("dedup_key = 'co|hot'").count() == 49
-    monkeypatch.setattr(cluster, "fits_broadcast", lambda keys: False)
-    assert run(spark, rows, max_nested=10).keys() == got.keys()
-    scattered = cluster.without_keys(pool.others, pool.unique.filter("n_alternates > 10").select("dedup_key"), "dedup_key", ["portal", "url"], salt=3)
-    assert [r["dedup_key"] for r in scattered.collect()] == ["co|cold"]
+    nested = dedup.nest_alternates(pool.unique, pool.others)
+    hot = nested.filter("dedup_key = 'co|hot'").orderBy("chunk_no").collect()
+    assert [r["chunk_no"] for r in hot] == list(range(25)) and {r["n_alternates"] for r in hot} == {24_999}
+    assert [len(r["also_on"]) for r in hot] == [1000] * 24 + [999]
+    assert [a["url"] for r in hot for a in r["also_on"]] == [f"u{i:05}" for i in range(1, 25_000)]
+    (cold,) = nested.filter("dedup_key = 'co|cold'").collect()
+    assert cold["chunk_no"] == 0 and len(cold["also_on"]) == 1
 
 
 def test_stats(spark):

@@ -86,7 +86,7 @@ def test_entries_without_categories_show_plain_fields(spark):
 
 def test_sheet_files_to_dataset(spark, tmp_path):
     (tmp_path / "one.csv").write_text('Title,,\nCompany,IT Count,IT Index\n"Acme, Inc",3,"1.050,5"\nB\n')
-    found = sheets.reshape(landing.read_sheets(spark, str(tmp_path / "*.csv"), 3))
+    found = sheets.reshape(landing.read_sheets(spark, str(tmp_path / "*.csv")))
     out = str(tmp_path / "set")
     write_dataset(sheets.as_dataset(found), out, source="one")
     meta, companies = read_dataset(spark, out)
@@ -201,4 +201,28 @@ def test_history_json(spark):
                                     "stored_key string, title string, company string, url string, portal string, first_seen string, status string, fit string, also_on array<struct<portal:string,url:string>>")
     rows = {r["dedup_key"]: r for r in report.as_history(entries).collect()}
     assert json.loads(rows["k"]["also_on"]) == [{"portal": "x", "url": "y"}] and rows["j"]["also_on"] is None
-    assert dedup.MAX_NESTED > 0
+
+
+def test_wide_ragged_and_quoted_sheet_rows(spark, tmp_path):
+    text = '"Salary\nIndex",Company,a,"b ""x"", y"\r\n1,,3\r\n\r\n,"",z,,last\n1e300,"Acme"\n'
+    (tmp_path / "w.csv").write_text(text, newline="")
+    rows = {r["row"]: r["cells"] for r in landing.read_sheets(spark, str(tmp_path / "w.csv")).collect()}
+    assert rows[1] == ["Salary\nIndex", "Company", "a", 'b "x", y'] and rows[2] == ["1", None, "3"]
+    assert [rows[k] for k in sorted(rows)][-2:] == [[None, None, "z", None, "last"], ["1e300", "Acme"]]
+    (tmp_path / "big.csv").write_text("Company,IT Count,IT Index\nAcme,1e300,1e300\n")
+    found = sheets.reshape(landing.read_sheets(spark, str(tmp_path / "big.csv"))).first()
+    assert found["categories"]["it"]["count"] is None and found["categories"]["it"]["index"] == 1e300
+
+
+def test_unreadable_result_files_stop_the_scan(spark, tmp_path):
+    (tmp_path / "good.json").write_text('[{"title": "A", "portal": false}, {"title": "B", "portal": 0}, {"title": "C", "portal": "own"}]')
+    (tmp_path / "bad.json").write_text('[{"title": ')
+    paths = [str(tmp_path / "good.json"), str(tmp_path / "bad.json")]
+    with pytest.raises(Exception, match="unparseable output: bad.json"):
+        landing.read_results(spark, paths).collect()
+    got = landing.read_results(spark, paths, skip_unreadable=True).collect()
+    assert {(r["title"], r["portal"]) for r in got} == {("A", "good"), ("B", "good"), ("C", "own")}
+
+
+def test_nothing_reported_yet(spark, tmp_path):
+    assert incremental.reported(spark, str(tmp_path / "out"), SeenStore(spark, str(tmp_path / "store"))).count() == 0
