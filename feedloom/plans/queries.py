@@ -191,7 +191,7 @@ def _run_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
         F.lit(views.ORDERS_PROFILE).alias("id"), F.lit(True).alias("enabled"), F.lit("orders").alias("query"),
         *[F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("location", "exclude_titles", "require_any")]))
     on = profiles.select_profiles(found)
-    base = {"portals": views.PORTALS + ["jobindex"]}
+    base = {"portals": [*views.PORTALS, "arbeitnow", "jobindex"]}
     pairs = profiles.fan_out(on.withColumn("portals", F.lit(None).cast("array<string>")), base).select(
         F.col("id").alias("profile"), "portal")
     portals = rows.select("portal").distinct().withColumn("enabled", F.col("portal") != "monster")
