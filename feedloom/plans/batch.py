@@ -57,6 +57,8 @@ def run_batch(
     kept = filters.flag_titles(collected, profiles).filter("keep").drop("keep")
     pool = merge_pool(kept, order)
     batch = store.next_batch()
+    if remember:
+        store.commits.claim(batch, store.writer)
     known = seen.known_keys(store.entries(before=batch))
 
     flagged_path = workspace(spark, "flagged")

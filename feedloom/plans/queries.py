@@ -17,7 +17,7 @@ from feedloom.plans.batch import merge_pool
 from feedloom.plans.views import pick, table
 from feedloom.sources import landing
 from feedloom.sources.tables import (
-    HISTORY_SCHEMA, PoolTable, SeenStore, SnapshotTable, read_dataset, subfolders, write_dataset,
+    HISTORY_SCHEMA, LINK_SCHEMA, PoolTable, SeenStore, SnapshotTable, read_dataset, subfolders, write_dataset,
 )
 from feedloom.streaming import incremental
 
@@ -126,12 +126,18 @@ def seen_merge_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rank_writeback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as entries, labels as scores."""
+    """Documents as entries, labels as scores, through a store: old ranks first, new ones on top."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    store = SeenStore(spark, workspace(spark, "ranked"))
+    text_of = lambda name: F.lit(None).cast("string").alias(name)
     entries = docs.select(
-        F.col("doc_id").cast("string").alias("stored_key"), F.lit("new").alias("status"),
-        F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("old gap"))).alias("gaps"),
-    )
+        F.col("doc_id").cast("string").alias("stored_key"), F.substring("text", 1, 40).alias("title"),
+        F.col("source").alias("company"), text_of("url"), F.lit(TODAY).alias("first_seen"), text_of("fit"),
+        F.lit("new").alias("status"), text_of("portal"))
+    store.append(0, entries, spark.createDataFrame([], LINK_SCHEMA))
+    store.append_ranks(docs.filter("doc_id % 2 = 0").select(
+        F.col("doc_id").cast("string").alias("stored_key"), F.lit(None).cast("int").alias("rank_score"), text_of("rank_verdict"),
+        F.lit(None).cast("array<string>").alias("strengths"), F.array(F.lit("old gap")).alias("gaps"), F.lit("new").alias("status")))
     scores = labels.groupBy("doc_id").agg(F.max("quality").alias("q"), F.max("toxic").alias("t")).select(
         F.col("doc_id").cast("string").alias("stored_key"),
         (F.lit(40) + F.col("q") * 50 - F.col("t") * 20).alias("rank_score"),
@@ -140,15 +146,15 @@ def rank_writeback(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("q") == 0, F.array(F.lit("new gap"), F.lit("tone"))).alias("gaps"),
         F.lit("ranked").alias("status"),
     )
-    ranked = seen.write_ranks(entries, scores)
-    return ranked.select(
+    store.append_ranks(scores.withColumn("rank_score", F.col("rank_score").cast("int")))
+    return store.ranked().select(
         "stored_key", "status", "rank_score", "rank_verdict",
         F.array_join("strengths", ",").alias("strengths"), F.array_join("gaps", ",").alias("gaps"),
     )
 
 
 def seen_import(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries written as JSON and read back with all their shapes."""
+    """Entries written as JSON, imported into a store, and read back from it with all fields."""
     unique = _unique(views.postings(spark, sf_dir))
     fit = F.when(F.col("n_rows") % 3 == 0, F.lit("strong")).when(F.col("n_rows") % 3 == 1, F.lit(None))
     entry = F.to_json(F.struct(
@@ -160,11 +166,12 @@ def seen_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.from_json("value", "k string, e string")
     rows = spark.read.text(path).select(line.alias("l")).select(
         F.col("l.k").alias("stored_key"), F.try_parse_json("l.e").alias("entry"))
-    found = landing.seen_entries(rows)
-    return found.select(
-        "stored_key", "title", "company", "url", "first_seen", "fit", "portal", "rank_score",
-        F.size("also_on").alias("n_also_on"), F.col("also_on")[0]["url"].alias("also_url"),
-    )
+    store = SeenStore(spark, workspace(spark, "imported"))
+    store.import_entries(landing.seen_entries(rows))
+    links = store.links().groupBy("stored_key").agg(
+        F.count(F.lit(1)).cast("int").alias("n_also_on"), F.min("url").alias("also_url"))
+    return store.ranked().join(links, "stored_key").select(
+        "stored_key", "title", "company", "url", "first_seen", "fit", "portal", "rank_score", "n_also_on", "also_url")
 
 
 # --- filters and profiles ------------------------------------------------------------
@@ -628,7 +635,7 @@ def incremental_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         wave.alias("wave"), wave.alias("part"),
     ).write.partitionBy("part").parquet(f"{base}/waves")
     schema = "event_id BIGINT, title STRING, company STRING, url STRING, portal STRING, wave INT"
-    store = SeenStore(spark, f"{base}/seen")
+    store = SeenStore(spark, f"{base}/seen", writer=f"{base}/checkpoint")
     for part in subfolders(spark, f"{base}/waves"):
         if not part.startswith("part="):
             continue

@@ -8,8 +8,10 @@ no reader looks at, and running it again with the same batch gives the same stat
 
 from __future__ import annotations
 
+import uuid
 from datetime import date, timedelta
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,11 @@ ENTRY_SCHEMA = (
     "fit STRING, status STRING, portal STRING, name_key STRING"
 )
 LINK_SCHEMA = "stored_key STRING, portal STRING, url STRING"
+RANK_SCHEMA = (
+    "stored_key STRING, rank_score INT, rank_verdict STRING, strengths ARRAY<STRING>, gaps ARRAY<STRING>, status STRING"
+)
+# Versions of a snapshot that stay readable.
+KEEP_VERSIONS = 2
 HISTORY_SCHEMA = (
     "dedup_key STRING, title STRING, company STRING, url STRING, portal STRING, "
     "first_seen STRING, status STRING, fit STRING, also_on STRING, chunk_no INT"
@@ -50,8 +57,16 @@ def discard(spark: SparkSession, path: str) -> None:
     fs.delete(where, True)
 
 
+class AlreadyClaimed(RuntimeError):
+    """Another writer is working on this batch or version."""
+
+
 class Commits:
-    """Numbers of the finished batches or versions below a folder."""
+    """Numbers of the finished batches or versions below a folder.
+
+    A number belongs to the writer that creates its claim file first, which the file system
+    decides.  The same writer may claim it again, so a repeated batch replaces itself.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -64,17 +79,47 @@ class Commits:
             done = done.filter(F.col("number") < before)
         return done.agg(F.max("number")).first()[0]
 
+    def _claim_file(self, number: int):
+        return _folder(self.spark, f"{self.path}-claims/{number}")
+
+    def claim(self, number: int, writer: str) -> None:
+        where, fs = self._claim_file(number)
+        try:
+            out = fs.create(where, False)
+        except Py4JJavaError:
+            if not fs.exists(where):
+                raise
+            stream = fs.open(where)
+            owner = stream.readUTF()
+            stream.close()
+            if owner != writer:
+                raise AlreadyClaimed(f"{self.path}: number {number} belongs to writer {owner}") from None
+            return
+        out.writeUTF(writer)
+        out.close()
+
+    def release(self, number: int) -> None:
+        """Give up the claim of a writer that died before it committed."""
+        where, fs = self._claim_file(number)
+        fs.delete(where, False)
+
     def add(self, number: int) -> None:
         row = self.spark.range(number, number + 1, 1, 1).select(F.col("id").alias("number"))
         row.write.mode("overwrite").parquet(f"{self.path}/at={number}")
 
 
 class SeenStore:
-    """Append-only memory of everything reported: ``entries`` and ``links``."""
+    """Append-only memory of everything reported: ``entries``, ``links`` and ``ranks``.
 
-    def __init__(self, spark: SparkSession, path: str):
+    ``writer`` names who appends (a streaming query passes its checkpoint, so that it may
+    repeat its own batches after a restart); by default every store object is its own writer.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, writer: str | None = None):
         self.spark, self.path = spark, path.rstrip("/")
+        self.writer = writer or uuid.uuid4().hex
         self.commits = Commits(spark, f"{self.path}/commits")
+        self.rank_commits = Commits(spark, f"{self.path}/rank-commits")
 
     def _read(self, part: str, schema: str, before: int | None) -> DataFrame:
         last = self.commits.last(before)
@@ -95,7 +140,8 @@ class SeenStore:
         return 0 if last is None else last + 1
 
     def append(self, batch: int, entries: DataFrame, links: DataFrame) -> None:
-        """Write one batch; the same batch again replaces itself."""
+        """Write one batch; the same batch again replaces itself, another writer's fails."""
+        self.commits.claim(batch, self.writer)
         if "name_key" not in entries.columns:
             entries = seen.with_name_key(entries)
         entries.write.mode("overwrite").parquet(f"{self.path}/entries/batch={batch}")
@@ -103,8 +149,40 @@ class SeenStore:
         self.commits.add(batch)
 
 
+    def append_ranks(self, scores: DataFrame) -> int:
+        """Write scores (columns of ``RANK_SCHEMA``, one row per key) as the latest of their keys."""
+        last = self.rank_commits.last()
+        batch = 0 if last is None else last + 1
+        self.rank_commits.claim(batch, self.writer)
+        names = self.spark.createDataFrame([], RANK_SCHEMA).columns
+        scores.select(*names).write.mode("overwrite").parquet(f"{self.path}/ranks/batch={batch}")
+        self.rank_commits.add(batch)
+        return batch
+
+    def ranks(self) -> DataFrame:
+        """The latest scores of every key."""
+        last = self.rank_commits.last()
+        empty = self.spark.createDataFrame([], RANK_SCHEMA)
+        if last is None:
+            return empty
+        rows = self.spark.read.schema(f"{RANK_SCHEMA}, batch BIGINT").parquet(f"{self.path}/ranks").filter(F.col("batch") <= last)
+        latest = rows.groupBy("stored_key").agg(F.max_by(F.struct(*empty.columns[1:]), "batch").alias("r"))
+        return latest.select("stored_key", "r.*")
+
+    def ranked(self) -> DataFrame:
+        """Entries with their rank fields; a merge of entries can't lose them."""
+        return seen.write_ranks(self.entries(), self.ranks())
+
+    def import_entries(self, found: DataFrame) -> None:
+        """Take in an existing store (rows of ``landing.seen_entries``): entries, links, ranks."""
+        names = [c for c in self.spark.createDataFrame([], ENTRY_SCHEMA).columns if c != "name_key"]
+        self.append(self.next_batch(), found.select(*names), seen.explode_links(found))
+        fields = [c for c in self.spark.createDataFrame([], RANK_SCHEMA).columns if c not in ("stored_key", "status")]
+        self.append_ranks(found.filter(F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(1)) for c in fields]).isNotNull()))
+
+
 class SnapshotTable:
-    """A table that is replaced as a whole, version by version."""
+    """A table that is replaced as a whole, version by version; old versions are removed."""
 
     def __init__(self, spark: SparkSession, path: str, schema: str):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
@@ -119,8 +197,13 @@ class SnapshotTable:
     def replace(self, rows: DataFrame) -> int:
         last = self.commits.last()
         version = 0 if last is None else last + 1
+        self.commits.claim(version, uuid.uuid4().hex)
         rows.write.mode("overwrite").parquet(f"{self.path}/data/version={version}")
         self.commits.add(version)
+        for name in subfolders(self.spark, f"{self.path}/data"):
+            number = name.removeprefix("version=")
+            if number.isdigit() and int(number) <= version - KEEP_VERSIONS:
+                discard(self.spark, f"{self.path}/data/{name}")
         return version
 
 

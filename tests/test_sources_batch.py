@@ -9,7 +9,9 @@ from feedloom.operators.profiles import ProfileError
 from feedloom.operators.validate import DatasetError
 from feedloom.plans.batch import merge_pool, new_history, run_batch
 from feedloom.sources import landing
-from feedloom.sources.tables import PoolTable, SeenStore, read_dataset, write_dataset
+from feedloom.sources.tables import (
+    LINK_SCHEMA, AlreadyClaimed, PoolTable, SeenStore, SnapshotTable, read_dataset, subfolders, write_dataset,
+)
 from feedloom.streaming import incremental
 
 JOB = {"title": "Data Engineer", "company": "Acme GmbH", "url": "u1"}
@@ -226,3 +228,49 @@ def test_unreadable_result_files_stop_the_scan(spark, tmp_path):
 
 def test_nothing_reported_yet(spark, tmp_path):
     assert incremental.reported(spark, str(tmp_path / "out"), SeenStore(spark, str(tmp_path / "store"))).count() == 0
+
+
+ENTRY = "stored_key string, title string, company string, url string, first_seen string, fit string, status string, portal string"
+
+
+def test_one_writer_per_batch(spark, tmp_path):
+    one, two = SeenStore(spark, str(tmp_path / "s")), SeenStore(spark, str(tmp_path / "s"))
+    row = lambda k: spark.createDataFrame([(k, "T", "C", "u", "2025-01-01", None, "new", "x")], ENTRY)
+    none = spark.createDataFrame([], LINK_SCHEMA)
+    batch = one.next_batch()
+    assert two.next_batch() == batch
+    one.append(batch, row("a"), none)
+    with pytest.raises(AlreadyClaimed):
+        two.append(batch, row("b"), none)
+    one.append(batch, row("a"), none)
+    assert [r["stored_key"] for r in two.entries().collect()] == ["a"]
+    two.append(two.next_batch(), row("b"), none)
+    assert sorted(r["stored_key"] for r in one.entries().collect()) == ["a", "b"]
+    one.commits.claim(7, "dead")
+    one.commits.release(7)
+    two.append(7, row("c"), none)
+
+
+def test_imported_ranks_survive_merges_and_newer_scores_win(spark, tmp_path):
+    path = tmp_path / "seen.json"
+    path.write_text(json.dumps({"seen": {"k|t": {"title": "T", "company": "K", "also_on": [{"portal": "x", "url": "u"}], "rank_score": 60,
+                                                 "rank_verdict": "apply", "gaps": ["g", "h"], "status": "ranked"}, "j|s": {"title": "S", "status": "new"}}}))
+    store = SeenStore(spark, str(tmp_path / "store"))
+    store.import_entries(landing.read_seen_document(spark, str(path)))
+    assert [tuple(r) for r in store.links().collect()] == [("k|t", "x", "u")]
+    store.append(store.next_batch(), spark.createDataFrame([("n|n", "N", "N", "u", "2025-01-01", None, "new", "x")], ENTRY), spark.createDataFrame([], LINK_SCHEMA))
+    rows = {r["stored_key"]: r for r in store.ranked().collect()}
+    assert rows["k|t"]["rank_score"] == 60 and rows["k|t"]["gaps"] == ["g", "h"] and rows["k|t"]["status"] == "ranked"
+    assert rows["j|s"]["rank_score"] is None and rows["j|s"]["status"] == "new"
+    assert [r["stored_key"] for r in report.shortlist(store.ranked(), 5).collect()] == ["n|n", "j|s"]
+    store.append_ranks(spark.createDataFrame([("k|t", 30, "skip", None, ["z"], "ranked")],
+                                             "stored_key string, rank_score int, rank_verdict string, strengths array<string>, gaps array<string>, status string"))
+    newer = {r["stored_key"]: r for r in store.ranked().collect()}["k|t"]
+    assert newer["rank_score"] == 30 and newer["gaps"] == ["z"]
+
+
+def test_old_versions_of_a_snapshot_go(spark, tmp_path):
+    table = SnapshotTable(spark, str(tmp_path / "t"), "k INT")
+    for k in range(5):
+        table.replace(spark.createDataFrame([(k,)], "k int"))
+    assert table.read().first()["k"] == 4 and subfolders(spark, str(tmp_path / "t/data")) == ["version=3", "version=4"]
