@@ -48,7 +48,9 @@ UNITS = frozenset("""
     eur euro euros usd dollar dollars cent cents gbp yen franc francs
     v volt volts w watt watts kw kwh hz khz mhz ghz kb mb gb tb j joule joules n newton newtons
 """.split())
-_TOKEN = re.compile(r"[$€£¥]?\d+(?:[.,]\d+)*[%°]?|[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?\n]")
+# Letters by range; what lies between the ranges is punctuation and symbols.
+_LETTERS = "[a-zA-ZÀ-ÖØ-öø-\u1fff\u2c00-\u2dff\u3040-\ud7ff\uf900-\ufdff\U00010000-\U0010ffff]+"
+_TOKEN = re.compile(rf"{_LETTERS}(?:['’]{_LETTERS})*|[.!?\n]|[$€£¥]?\d+(?:[.,]\d+)*[%°]?")
 _WORD, _NUMBER, _UNIT, _CAPITAL, _STOP = range(5)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PLACEHOLDERS = {_NUMBER: "<num>", _UNIT: "<unit>", _CAPITAL: "<name>"}
@@ -64,45 +66,53 @@ def _hash(token: str) -> int:
     return xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"), 42)
 
 
-class _Tokens(dict):
-    """Raw token -> (hash, kind); forgets everything when it has grown large."""
+class _Vocabulary(dict):
+    """Raw token -> number; hash and kind of each number in arrays.  Starts anew when it has grown large."""
 
-    def __missing__(self, raw: str) -> tuple[int, int]:
-        if len(self) > 500_000:
-            self.clear()
-        low = raw.lower()
+    LIMIT = 500_000
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.hashes, self.kinds = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.int8)
+
+    def __missing__(self, raw: str) -> int:
+        number, low = len(self), raw.lower()
+        if number == len(self.hashes):
+            self.hashes, self.kinds = (np.concatenate((a, np.zeros_like(a))) for a in (self.hashes, self.kinds))
         if raw[-1].isdigit() or raw[0] in "$€£¥" or raw[-1] in "%°":
-            found = (_hash(_PLACEHOLDERS[_NUMBER]), _NUMBER)
+            found = _hash(_PLACEHOLDERS[_NUMBER]), _NUMBER
         elif raw in ".!?\n":
-            found = (0, _STOP)
+            found = 0, _STOP
         elif low in UNITS:
-            found = (_hash(low), _UNIT)
+            found = _hash(low), _UNIT
         elif raw[0].isupper() and len(raw) > 1 and raw[1:] == low[1:]:
-            found = (_hash(low), _CAPITAL)
+            found = _hash(low), _CAPITAL
         else:
-            found = (_hash(low), _WORD)
-        self[raw] = found
-        return found
+            found = _hash(low), _WORD
+        self.hashes[number], self.kinds[number] = found
+        self[raw] = number
+        return number
 
 
-_KNOWN = _Tokens()
+_KNOWN = _Vocabulary()
 
 
-def canonical(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens, their kinds, the mask of names, and the hashes with names kept and replaced."""
+def canonical(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Raw tokens, and of those that are no stops: places, kinds, mask of names, hashes with names kept and replaced."""
+    if len(_KNOWN) > _Vocabulary.LIMIT:
+        _KNOWN.clear()
     raw = _TOKEN.findall(text or "")
-    known = [_KNOWN[t] for t in raw]
-    kinds = np.fromiter((k for _, k in known), np.int8, len(raw))
-    hashes = np.fromiter((h for h, _ in known), np.uint64, len(raw))
-    before = np.concatenate((np.array([_STOP], np.int8), kinds[:-1])) if len(raw) else kinds
+    numbers = np.fromiter(map(_KNOWN.__getitem__, raw), np.int64, len(raw))
+    kinds, hashes = _KNOWN.kinds[numbers], _KNOWN.hashes[numbers]
+    before = np.concatenate((np.array([_STOP], np.int8), kinds[:-1]))[:len(raw)]
     names = (kinds == _CAPITAL) & (before != _STOP)
     units = (kinds == _UNIT) & (before == _NUMBER)
     hashes[units] = _hash(_PLACEHOLDERS[_UNIT])
-    kinds = np.where((kinds == _NUMBER), _NUMBER, np.where(units, _UNIT, _WORD)).astype(np.int8)
-    keep = np.fromiter((k != _STOP for _, k in known), bool, len(raw))
-    tokens = [t for t, k in zip(raw, keep.tolist(), strict=True) if k]
+    places = np.flatnonzero(kinds != _STOP)
+    kinds = np.where(kinds == _NUMBER, _NUMBER, np.where(units, _UNIT, _WORD)).astype(np.int8)
+    hashes, names = hashes[places], names[places]
     replaced = np.where(names, np.uint64(_hash(_PLACEHOLDERS[_CAPITAL])), hashes)
-    return tokens, kinds[keep], names[keep], hashes[keep], replaced[keep]
+    return raw, places, kinds[places], names, hashes, replaced
 
 
 def _rolled(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -117,10 +127,10 @@ def _rolled(hashes: np.ndarray, size: int) -> np.ndarray:
 
 def _windows(text: str | None, sizes: list[int], wanted: np.ndarray | None) -> list[dict]:
     """The windows of a text, or those whose hash is in ``wanted`` (sorted)."""
-    tokens, kinds, names, kept, replaced = canonical(text)
+    raw, places, kinds, names, kept, replaced = canonical(text)
     out = []
     for size in sizes:
-        if len(tokens) < size:
+        if len(places) < size:
             continue
         plain = _rolled(kept, size)
         forms = [(plain, np.ones(len(plain), bool), False)]
@@ -135,11 +145,11 @@ def _windows(text: str | None, sizes: list[int], wanted: np.ndarray | None) -> l
             for i in np.flatnonzero(here).tolist():
                 template, slots = [], []
                 for k in range(i, i + size):
-                    kind = _CAPITAL if typed_names and names[k] else int(kinds[k])
-                    template.append(_PLACEHOLDERS.get(kind, tokens[k].lower()))
+                    kind, token = _CAPITAL if typed_names and names[k] else int(kinds[k]), raw[places[k]].lower()
+                    template.append(_PLACEHOLDERS.get(kind, token))
                     if kind != _WORD:
-                        slots.append(f"{kind}:{tokens[k].lower()}")
-                out.append({"pos": i, "n_tokens": len(tokens), "hash": int(hashes[i].astype(np.int64)),
+                        slots.append(f"{kind}:{token}")
+                out.append({"pos": i, "n_tokens": len(places), "hash": int(hashes[i].astype(np.int64)),
                             "template": " ".join(template), "slots": slots})
     return out
 
@@ -151,7 +161,7 @@ def item_windows(items: DataFrame, text: str = "text", window: int = WINDOW) ->
     def cut(texts: pa.Array) -> pa.Array:
         rows = []
         for t in texts.to_pylist():
-            n = len(canonical(t)[0])
+            n = len(canonical(t)[1])
             rows.append(_windows(t, [min(window, n)], None) if n else [])
         return pa.array(rows, pa.list_(WINDOWS))
 
