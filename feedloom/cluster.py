@@ -81,7 +81,11 @@ def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADC
 
 
 def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast when the measured size allows it, else return ``df`` as it is."""
+    """Hint a broadcast when the measured size allows it.
+
+    ``df`` is kept on shared storage first, so measuring doesn't compute it a second time.
+    """
+    df = checkpointed(df)
     return F.broadcast(df) if fits_broadcast(df, rows, size) else df
 
 

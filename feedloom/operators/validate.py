@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-JSON_NAMES = {"STRING": "str", "BOOLEAN": "bool", "VOID": "NoneType", "BIGINT": "int"}
 
 
 class DatasetError(ValueError):

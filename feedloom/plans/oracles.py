@@ -308,7 +308,8 @@ ORACLES: dict[str, str] = {
         {_sides('q', 'query', 'one')}, m AS (SELECT ord, company, city, CAST({_SCORE} AS INTEGER) AS score FROM q, n
           WHERE contains({_ang("lower(coalesce(city, ''))")}, 'kobenhavn 1'))
         SELECT * FROM m WHERE score >= 30""",
-    "company_match": f"""{_MATCHED} SELECT query_id, ord, company, score FROM matched WHERE score >= 30""",
+    "company_match": f"""{_MATCHED} SELECT query_id, ord, company, score FROM matched WHERE score >= 30
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, company, ord) <= 10""",
     "company_top3": f"""{_MATCHED}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, company, ord) AS place
         FROM matched WHERE score >= 30) SELECT query_id, CAST(place AS INTEGER) AS place, ord, score FROM r WHERE place <= 3""",
     "company_ranking": f"""{_MATCHED} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, company, ord) AS place, ord, score

@@ -365,8 +365,9 @@ def company_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def company_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best companies per query."""
     found = lookup.match_companies(views.company_queries(spark, sf_dir), views.companies(spark, sf_dir))
-    return found.select("query_id", "ord", "company", "score")
+    return lookup.top_matches(found, 10, F.col("ord")).select("query_id", "ord", "company", "score")
 
 
 def company_top3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from feedloom.functions import names
+from feedloom.functions import cells, names
 from feedloom.operators import filters, lookup
 
 
@@ -37,6 +37,10 @@ def test_blocking_loses_nothing_and_repeats_nothing(spark, shuffle):
     rnd = random.Random(3)
     queries = spark.createDataFrame([(i, q) for i, q in enumerate(names_of(rnd, 60))], "query_id int, query string")
     companies = spark.createDataFrame([(i, c) for i, c in enumerate(names_of(rnd, 150))], "ord int, company string")
+    for floor in (30, 70, 71, 80, 100):
+        found = lookup.match_companies(queries, companies, min_score=floor, force_shuffle=shuffle).select("query_id", "ord", "score").collect()
+        every = lookup.match_companies(queries, companies, force_shuffle=shuffle).filter(F.col("score") >= floor)
+        assert sorted(map(tuple, found)) == sorted(map(tuple, every.select("query_id", "ord", "score").collect()))
     got = lookup.match_companies(queries, companies, force_shuffle=shuffle).select("query_id", "ord", "score").collect()
     everything = queries.crossJoin(companies).withColumn("score", names.match_score(F.col("query"), F.col("company")))
     want = everything.filter("score >= 30").select("query_id", "ord", "score").collect()
@@ -79,3 +83,18 @@ def test_benchmark_rows(spark):
     assert (rows["hidden"]["index_shown"], rows["hidden"]["diff_pct"]) == ("N/A*", None)
     zero = {r["category"]: r for r in lookup.benchmark_rows(df, 0).collect()}
     assert zero["base_pay"]["diff_pct"] is None and zero["base_pay"]["diff_shown"] == ""
+
+
+def test_patterns_are_not_multiplied(spark):
+    """The normalization stands in the plan once per row, however often its result is used."""
+    df = spark.createDataFrame([("A", "t", "c")], "company string, title string, city string")
+    count = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace")
+    one = count(filters.keep_titles(df, exclude=["red"]))
+    assert 0 < one == count(filters.keep_titles(df, exclude=["red", "blue"], require=["x", "y", "z"]))
+    assert count(lookup.search_company(df, "Novo Nordisk")) <= 60
+
+
+def test_ambiguous_numbers(spark):
+    values = ["1,234.56", "1.234,56", "12.5", "1,234", "", None]
+    rows = spark.createDataFrame([(v,) for v in values], "v string").select(cells.is_ambiguous_number(F.col("v"))).collect()
+    assert [r[0] for r in rows] == [True, False, False, False, False, False]
