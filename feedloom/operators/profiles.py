@@ -47,6 +47,9 @@ def profile_issues(profiles: DataFrame) -> DataFrame:
         F.explode(F.array_compact(F.array(
             F.when(blank, issue("error", F.lit("every profile needs an 'id'"))),
             F.when(~blank & unusable, issue("error", F.concat(name, F.lit(" needs a 'query' or a 'location'")))),
+            *([F.when(F.size("ill_typed") > 0, issue("error", F.concat(
+                name, F.lit(" has a field of the wrong type: "), F.array_join("ill_typed", ", "))))]
+              if "ill_typed" in profiles.columns else []),
             F.when(F.size(loose) > 0, issue("warning", F.concat(name, F.lit(" has a term that matches every title")))),
         ))).alias("i"),
     ).select("id", "i.severity", "i.message")

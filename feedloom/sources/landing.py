@@ -6,12 +6,14 @@ VARIANT and unfolded with typed look-ups, so unknown fields and odd shapes pass
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.functions.text import title_case
 from feedloom.operators.careers import OUTCOME_STATUSES, STAGES
-from feedloom.operators.profiles import PROFILE_SCHEMA, ProfileError
+from feedloom.operators.profiles import PROFILE_SCHEMA, ProfileError, require_valid
 from feedloom.operators.validate import DatasetError, _kind, collect_issues, fail_fast, root_issues
 
 ENVELOPES = ["results", "jobs", "data"]
@@ -107,7 +109,7 @@ def _only_document(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
-    """Profiles of a JSON document ``{profiles: [...]}``."""
+    """Profiles of a JSON document ``{profiles: [...]}``; the first error in them is raised."""
     doc = _only_document(spark, path)
     listed = F.try_variant_get("doc", "$.profiles", "variant")
     bad = doc.filter(F.col("doc").isNull() | (_kind(listed) != "array")).limit(1).count()
@@ -116,18 +118,24 @@ def read_profiles(spark: SparkSession, path: str) -> DataFrame:
     rows = doc.select(F.posexplode(listed.try_cast("array<variant>")).alias("place", "p"))
     if rows.filter(_kind(F.col("p")) != "object").limit(1).count():
         raise ProfileError(f"{path}: every profile must be an object")
-    return profile_rows(rows)
+    return require_valid(profile_rows(rows)).drop("ill_typed")
 
 
 def profile_rows(rows: DataFrame) -> DataFrame:
-    """Typed profiles of (place, p VARIANT)."""
-    return rows.select("place", F.col("p").try_cast(f"struct<{_struct_fields(PROFILE_SCHEMA)}>").alias("p")).select("place", "p.*")
+    """Typed profiles of (place, p VARIANT).
+
+    ``ill_typed`` names the fields that are given but not of their type (they read as null);
+    ``profile_issues`` reports them.
+    """
+    typed = rows.select("place", "p", F.col("p").try_cast(f"struct<{_struct_fields(PROFILE_SCHEMA)}>").alias("t"))
+    given = lambda f: F.coalesce(_kind(F.try_variant_get("p", f"$.{f}", "variant")) != "null", F.lit(False))
+    fields = [f.split()[0] for f in re.split(r", (?=\w+ [A-Z])", PROFILE_SCHEMA)]
+    wrong = F.array_compact(F.array(*[F.when(given(f) & F.col(f"t.{f}").isNull(), F.lit(f)) for f in fields]))
+    return typed.select("place", "t.*", wrong.alias("ill_typed"))
 
 
 def _struct_fields(ddl: str) -> str:
     """DDL column list as struct fields (``name: type``)."""
-    import re
-
     return re.sub(r"(^|, )(\w+) ([A-Z])", r"\1\2: \3", ddl)
 
 

@@ -46,7 +46,8 @@ def test_profile_document(spark, tmp_path):
     row = landing.read_profiles(spark, str(path)).first()
     assert (row["id"], row["portals"], row["limit"], row["enabled"]) == ("a", ["+y"], 5, None)
     assert row["portal_overrides"]["y"]["b"].toPython() is True
-    for bad in ({"profiles": {}}, [], {"profiles": ["x"]}):
+    for bad in ({"profiles": {}}, [], {"profiles": ["x"]}, {"profiles": [{"id": "a"}]}, {"profiles": [{"id": "a", "query": "x"}] * 2},
+                {"profiles": [{"id": "a", "query": "x", "portals": "not a list"}]}):
         path.write_text(json.dumps(bad))
         with pytest.raises(ProfileError):
             landing.read_profiles(spark, str(path))
