@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.llm.common import bounded_sample
+
 PASSAGE_WORDS = 50
 FIT_DOCUMENTS = 6000
 FIT_BYTES = 100_000
@@ -192,7 +194,7 @@ def fit_sample(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: s
     """Passages and labels of a bounded sample outside the held-out fifth."""
     usable = labels.filter(F.col(label).isNotNull() & ~held_out(F.col(doc_id))).groupBy(F.col(doc_id).alias("id")).agg(
         (F.avg(F.col(label).cast("double")) >= 0.5).alias("y"))
-    chosen = usable.filter(F.col("id").isNotNull()).orderBy(F.xxhash64("id"), "id").limit(documents)
+    chosen = bounded_sample(usable.filter(F.col("id").isNotNull()), F.xxhash64("id"), documents)
     texts = docs.filter(F.octet_length(text) <= FIT_BYTES).select(F.col(doc_id).alias("id"), F.col(text).alias("t"))
 
     @F.arrow_udf("binary")
