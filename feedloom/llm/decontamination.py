@@ -6,10 +6,11 @@ word inside a sentence.  Five-token windows of the documents are hash-joined wit
 benchmark, in two forms (names kept as words, names replaced).  A match counts when
 
 * its template is equal token by token, not just by hash;
-* its slots are consistent: within one place of the document, each value of the item's slots
-  stands for one value of the document's, and the other way round;
+* its slots are consistent: at one offset between document and item, each value of the item's
+  slots stands for one value of the document's, and the other way round;
 * the matching windows cover at least 0.8 of the item's tokens, in one place of about the
-  item's length.
+  item's length.  A place may unite several offsets, as words may be added or left out; windows
+  of an item that repeats itself match at wrong offsets too, so every offset is judged alone.
 
 So a question with other numbers, names or units is found, and one whose values are mixed up
 is not.  An item shorter than a window is one window of its own length.
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import attach, scratch
@@ -180,6 +181,12 @@ def _matching(docs: DataFrame, text: Column, hashes: np.ndarray, sizes: list[int
     return docs.withColumn("w", F.explode(hits(text))).select("doc", "w.*")
 
 
+def _mixed_up(values: Column) -> Column:
+    """Whether a value of one side has two partners on the other, so that no reading is consistent."""
+    sides = [F.size(F.array_distinct(values.getField(s))) for s in ("item_slots", "slots")]
+    return F.least(*sides) < F.size(values)
+
+
 def contaminated(docs: DataFrame, items: DataFrame, doc: Column, item: Column, text: str = "text",
                  item_text: str = "text", window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """Pairs ``doc, item, coverage, n_slots`` (``doc`` and ``item`` as the columns given).
@@ -209,27 +216,28 @@ def contaminated(docs: DataFrame, items: DataFrame, doc: Column, item: Column, t
     mine = bench.select("hash", "template", "item_key", "item", F.col("n_tokens").alias("length"),
                         F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
     pairs = attach(found, mine, ["hash", "template"])
+    # Windows at one offset are one alignment; it is judged alone, and a wrong offset has no say about the right one.
+    alignment = ["doc", "item_key", "item", "length", "start"]
+    aligned = (
+        pairs.select("doc", "item_key", "item", "length", (F.col("pos") - F.col("item_pos")).alias("start"),
+                     F.struct("item_pos", "item_slots", F.arrays_zip("item_slots", "slots").alias("values")).alias("hit"))
+        .groupBy(*alignment).agg(F.collect_set("hit").alias("hits"))
+    )
+    judged = aligned.withColumn("values", F.array_distinct(F.flatten("hits.values"))).withColumn(
+        "mixed_up", _mixed_up(F.col("values")))
+    kept = F.filter("hits", lambda h: ~F.col("mixed_up") | (F.size(h["item_slots"]) == 0))
     # A place is a stretch of the item's length; two sets of stretches, so that one holds a copy whole.
-    start = F.col("pos") - F.col("item_pos")
     half = F.col("length").cast("double") / 2
-    places = F.array(*[F.struct(F.lit(k).alias("set"), F.floor((start + half * k) / F.col("length")).alias("at"))
+    places = F.array(*[F.struct(F.lit(k).alias("set"), F.floor((F.col("start") + half * k) / F.col("length")).alias("at"))
                        for k in (0, 1)])
-    pairs = pairs.select("doc", "item_key", "item", "length", "item_pos", "slots", "item_slots",
-                         F.explode(places).alias("place"))
-    place = ["doc", "item_key", "place"]
-    slots = F.explode(F.arrays_zip("item_slots", "slots"))
-    values = pairs.filter(F.size("slots") > 0).select(*place, slots.alias("v")).select(*place, "v.*").distinct()
-    # A value with two partners on the other side belongs to no consistent reading.
-    mixed_up = values.withColumn("_a", F.count(F.lit(1)).over(Window.partitionBy(*place, "item_slots"))).withColumn(
-        "_b", F.count(F.lit(1)).over(Window.partitionBy(*place, "slots")))
-    verdict = mixed_up.groupBy(*place).agg(
-        F.max(F.greatest("_a", "_b")).alias("worst"), F.count_distinct("item_slots").alias("n_slots"))
-    judged = pairs.join(verdict, place, "left").filter((F.size("slots") == 0) | (F.col("worst") == 1))
-    spans = F.collect_set("item_pos").alias("at")
+    placed = judged.select("doc", "item_key", "item", "length", F.explode(places).alias("place"), kept.alias("hits"))
     covered = F.size(F.array_distinct(F.flatten(F.transform(
         F.col("at"), lambda p: F.sequence(p, p + F.least(F.col("length"), F.lit(window)) - 1)))))
     return (
-        judged.groupBy(*place, "item", "length").agg(spans, F.max(F.coalesce("n_slots", F.lit(0))).alias("n_slots"))
+        placed.select("doc", "item_key", "item", "length", "place", F.explode("hits").alias("hit"))
+        .groupBy("doc", "item_key", "item", "length", "place").agg(
+            F.collect_set("hit.item_pos").alias("at"),
+            F.size(F.array_distinct(F.flatten(F.collect_set("hit.item_slots")))).alias("n_slots"))
         .withColumn("coverage", covered / F.col("length"))
         .filter(F.col("coverage") >= coverage)
         .groupBy("doc", "item_key", "item").agg(F.max("coverage").alias("coverage"),

@@ -105,6 +105,17 @@ def test_parameters_may_change_but_must_be_consistent(spark):
     assert {d for d, _ in got} == {0, 1, 2} and all(v > 0.9 for v in got.values())
 
 
+@pytest.mark.parametrize("item, changed", [
+    ("what is the next number in the sequence 2 4 8 16 32 64 128", "what is the next number in the sequence 3 9 27 81 243 729 2187"),
+    ("the four planks measure 5 cm 7 cm 9 cm 11 cm in the list of the yard",
+     "the four planks measure 2 in 4 in 3 in 12 in in the list of the yard"),
+])
+def test_items_that_repeat_a_slot_template(spark, item, changed):
+    added = item.replace(" the ", " really the ", 1)  # from there on at another offset
+    got = leaks(spark, [item, "so. " + item + " 256 512", changed, added], [item], coverage=0.7)
+    assert {d for d, _ in got} == {0, 1, 2, 3} and got[0, 0] == got[1, 0] == got[2, 0] == 1.0
+
+
 def slow_coverage(text, item, window=5):
     tokens = lambda t: re.findall(r"[^\W\d_]+", t.lower())
     a, b = tokens(text), tokens(item)
