@@ -116,6 +116,17 @@ def test_items_that_repeat_a_slot_template(spark, item, changed):
     assert {d for d, _ in got} == {0, 1, 2, 3} and got[0, 0] == got[1, 0] == got[2, 0] == 1.0
 
 
+def test_new_values_may_collide(spark):
+    item = "on a farm there are 4 cows and 6 goats and the farmer sells 4 of them at the market in town"
+    texts = [
+        item.replace("4", "8").replace("6", "8"),               # different values became equal
+        item.replace("4 of", "7 of").replace("4 cows", "9 cows"),  # equal values became different
+        item.replace("4", "6").replace("6 goats", "9 goats"),   # a new value equals another one of the item
+        item.replace("4 of", "6 of"),                           # a copy that contradicts what it keeps
+    ]
+    assert leaks(spark, texts, [item]) == {(0, 0): 1.0, (1, 0): 1.0, (2, 0): 1.0}
+
+
 def slow_coverage(text, item, window=5):
     tokens = lambda t: re.findall(r"[^\W\d_]+", t.lower())
     a, b = tokens(text), tokens(item)
