@@ -2,13 +2,15 @@
 
 Texts become sequences of template tokens: words in lower case, ``<num>`` for numbers (with a
 currency or per cent sign), ``<unit>`` for a unit after a number, ``<name>`` for a capitalised
-word inside a sentence.  Five-token windows of the documents are hash-joined with those of the
-benchmark, in two forms (names kept as words, names replaced).  A match counts when
+word.  Five-token windows of the documents are hash-joined with those of the benchmark, in three
+forms: names kept as words; names inside a sentence replaced; all capitalised words replaced,
+first words included, and number words as well.  A match counts when
 
 * its template is equal token by token, not just by hash;
 * its slots are not mixed up: where a document keeps most values of the item (at one offset, of
   one kind), none of the kept values stands for another one too or is replaced elsewhere.  New
-  values may be equal for different ones of the item, and differ for equal ones;
+  values may be equal for different ones of the item, and differ for equal ones.  Where the form
+  with the most slots is mixed up, the forms with fewer count alone;
 * the matching windows cover at least 0.8 of the item's tokens, in one place of about the
   item's length.  A place may unite several offsets, as words may be added or left out; windows
   of an item that repeats itself match at wrong offsets too, so every offset is judged alone.
@@ -50,24 +52,33 @@ UNITS = frozenset("""
     eur euro euros usd dollar dollars cent cents gbp yen franc francs
     v volt volts w watt watts kw kwh hz khz mhz ghz kb mb gb tb j joule joules n newton newtons
 """.split())
+# Number words and their values; compound ones are several tokens.
+COUNTS = {w: str(n) for n, w in enumerate("""
+    zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen
+    eighteen nineteen twenty
+""".split())} | {w: str(10 * n) for n, w in enumerate("thirty forty fifty sixty seventy eighty ninety".split(), 3)} | {
+    "hundred": "100", "thousand": "1000", "million": "1000000", "billion": "1000000000"}
 # Letters by range; what lies between the ranges is punctuation and symbols.
 _LETTERS = "[a-zA-ZÀ-ÖØ-öø-\u1fff\u2c00-\u2dff\u3040-\ud7ff\uf900-\ufdff\U00010000-\U0010ffff]+"
 _TOKEN = re.compile(rf"{_LETTERS}(?:['’]{_LETTERS})*|[.!?\n]|[$€£¥]?\d+(?:[.,]\d+)*[%°]?")
-_WORD, _NUMBER, _UNIT, _CAPITAL, _STOP = range(5)
+_WORD, _NUMBER, _UNIT, _CAPITAL, _STOP, _COUNT, _CAPITAL_COUNT = range(7)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PLACEHOLDERS = {_NUMBER: "<num>", _UNIT: "<unit>", _CAPITAL: "<name>"}
 
 WINDOWS = pa.struct([
     ("pos", pa.int32()), ("n_tokens", pa.int32()), ("hash", pa.int64()), ("template", pa.string()),
-    ("slots", pa.list_(pa.string())),
+    ("slots", pa.list_(pa.string())), ("form", pa.int32()),
 ])
-_WINDOW_TYPE = "array<struct<pos:int,n_tokens:int,hash:bigint,template:string,slots:array<string>>>"
+_WINDOW_TYPE = "array<struct<pos:int,n_tokens:int,hash:bigint,template:string,slots:array<string>,form:int>>"
 
 
 def _hash(token: str) -> int:
     return xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"), 42)
 
 
+_PLACEHOLDER_HASHES = {kind: np.uint64(_hash(token)) for kind, token in _PLACEHOLDERS.items()}
+
+
 class _Vocabulary(dict):
     """Raw token -> number; hash and kind of each number in arrays.  Starts anew when it has grown large."""
 
@@ -88,7 +99,9 @@ class _Vocabulary(dict):
         elif low in UNITS:
             found = _hash(low), _UNIT
         elif raw[0].isupper() and len(raw) > 1 and raw[1:] == low[1:]:
-            found = _hash(low), _CAPITAL
+            found = _hash(low), _CAPITAL_COUNT if low in COUNTS else _CAPITAL
+        elif low in COUNTS:
+            found = _hash(low), _COUNT
         else:
             found = _hash(low), _WORD
         self.hashes[number], self.kinds[number] = found
@@ -99,22 +112,35 @@ class _Vocabulary(dict):
 _KNOWN = _Vocabulary()
 
 
-def canonical(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Raw tokens, and of those that are no stops: places, kinds, mask of names, hashes with names kept and replaced."""
+def canonical(text: str | None) -> tuple[list[str], np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Raw tokens, places of those that are no stops, and their kinds and hashes in the three forms.
+
+    The forms: names kept; names inside a sentence replaced; all capitalised words and number words replaced.
+    """
     if len(_KNOWN) > _Vocabulary.LIMIT:
         _KNOWN.clear()
     raw = _TOKEN.findall(text or "")
     numbers = np.fromiter(map(_KNOWN.__getitem__, raw), np.int64, len(raw))
     kinds, hashes = _KNOWN.kinds[numbers], _KNOWN.hashes[numbers]
     before = np.concatenate((np.array([_STOP], np.int8), kinds[:-1]))[:len(raw)]
-    names = (kinds == _CAPITAL) & (before != _STOP)
-    units = (kinds == _UNIT) & (before == _NUMBER)
-    hashes[units] = _hash(_PLACEHOLDERS[_UNIT])
     places = np.flatnonzero(kinds != _STOP)
-    kinds = np.where(kinds == _NUMBER, _NUMBER, np.where(units, _UNIT, _WORD)).astype(np.int8)
-    hashes, names = hashes[places], names[places]
-    replaced = np.where(names, np.uint64(_hash(_PLACEHOLDERS[_CAPITAL])), hashes)
-    return raw, places, kinds[places], names, hashes, replaced
+    kinds, hashes, before = kinds[places], hashes[places], before[places]
+    capitals, counts = (kinds == _CAPITAL) | (kinds == _CAPITAL_COUNT), kinds >= _COUNT
+    after_count = (kinds == _UNIT) & (before >= _COUNT)
+
+    def typed(form: tuple[np.ndarray, np.ndarray], *slots: tuple[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        of, by = form[0].copy(), form[1].copy()
+        for kind, here in slots:
+            of[here], by[here] = kind, _PLACEHOLDER_HASHES[kind]
+        return of, by
+
+    words = np.where(kinds == _NUMBER, _NUMBER, _WORD).astype(np.int8), hashes
+    plain = typed(words, (_UNIT, (kinds == _UNIT) & (before == _NUMBER)))
+    forms = [plain]
+    for slots in ([(_CAPITAL, capitals & (before != _STOP))],
+                  [(_CAPITAL, capitals & ~counts), (_NUMBER, counts), (_UNIT, after_count)]):
+        forms.append(typed(plain, *slots) if any(here.any() for _, here in slots) else plain)
+    return raw, places, forms
 
 
 def _rolled(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -129,35 +155,38 @@ def _rolled(hashes: np.ndarray, size: int) -> np.ndarray:
 
 def _windows(text: str | None, sizes: list[int], wanted: np.ndarray | None) -> list[dict]:
     """The windows of a text, or those whose hash is in ``wanted`` (sorted)."""
-    raw, places, kinds, names, kept, replaced = canonical(text)
+    raw, places, forms = canonical(text)
     out = []
     for size in sizes:
         if len(places) < size:
             continue
-        plain = _rolled(kept, size)
-        forms = [(plain, np.ones(len(plain), bool), False)]
-        if names.any():
-            typed = _rolled(replaced, size)
-            forms.append((typed, typed != plain, True))
-        for hashes, here, typed_names in forms:
+        done = []
+        for form, (kinds, tokens) in enumerate(forms):
+            if form and tokens is forms[0][1]:
+                continue
+            hashes = _rolled(tokens, size)
+            here = np.ones(len(hashes), bool)
+            for other in done:
+                here &= hashes != other
+            done.append(hashes)
             if wanted is not None:
                 at = np.searchsorted(wanted, hashes)
                 at[at == len(wanted)] = 0
-                here = here & (wanted[at] == hashes)
+                here &= wanted[at] == hashes
             for i in np.flatnonzero(here).tolist():
                 template, slots = [], []
                 for k in range(i, i + size):
-                    kind, token = _CAPITAL if typed_names and names[k] else int(kinds[k]), raw[places[k]].lower()
+                    kind, token = int(kinds[k]), raw[places[k]].lower()
                     template.append(_PLACEHOLDERS.get(kind, token))
                     if kind != _WORD:
-                        slots.append(f"{kind}:{token}")
+                        slots.append(f"{kind}:{COUNTS.get(token, token) if kind == _NUMBER else token}")
                 out.append({"pos": i, "n_tokens": len(places), "hash": int(hashes[i].astype(np.int64)),
-                            "template": " ".join(template), "slots": slots})
+                            "template": " ".join(template), "slots": slots, "form": form})
     return out
 
 
 def item_windows(items: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """``item`` (all columns), ``pos, n_tokens, hash, template, slots``: all windows of every item."""
+    """``item`` (all columns), ``pos, n_tokens, hash, template, slots, form``: all windows of every item."""
 
     @F.arrow_udf(_WINDOW_TYPE)
     def cut(texts: pa.Array) -> pa.Array:
@@ -207,7 +236,7 @@ def contaminated(docs: DataFrame, items: DataFrame, doc: Column, item: Column, t
                        "item_text", window)
     bench = scratch(cut.select(
         F.xxhash64("item").alias("item_key"), F.col("item.item_id").alias("item"), "pos", "n_tokens", "hash", "template",
-        "slots"), "windows")
+        "slots", "form"), "windows")
     distinct = bench.select("hash").distinct()
     sizes = sorted(r["size"] for r in bench.select(F.least("n_tokens", F.lit(window)).alias("size")).distinct().collect())
     blocks = max(1, -(-distinct.count() // BLOCK))
@@ -224,18 +253,22 @@ def contaminated(docs: DataFrame, items: DataFrame, doc: Column, item: Column, t
             "doc", "item", F.lit(0.0).alias("coverage"), F.lit(0).cast("long").alias("n_slots"))
     found = scratch(found, "hits")
     mine = bench.select("hash", "template", "item_key", "item", F.col("n_tokens").alias("length"),
-                        F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
+                        F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), F.col("form").alias("item_form"))
     pairs = attach(found, mine, ["hash", "template"])
     # Windows at one offset are one alignment; it is judged alone, and a wrong offset has no say about the right one.
     alignment = ["doc", "item_key", "item", "length", "start"]
     aligned = (
         pairs.select("doc", "item_key", "item", "length", (F.col("pos") - F.col("item_pos")).alias("start"),
-                     F.struct("item_pos", "item_slots", F.arrays_zip("item_slots", "slots").alias("values")).alias("hit"))
+                     F.struct(F.greatest("form", "item_form").alias("form"), "item_pos", "item_slots",
+                              F.arrays_zip("item_slots", "slots").alias("values")).alias("hit"))
         .groupBy(*alignment).agg(F.collect_set("hit").alias("hits"))
     )
-    judged = aligned.withColumn("values", F.array_distinct(F.flatten("hits.values"))).withColumn(
-        "mixed_up", _mixed_up(F.col("values")))
-    kept = F.filter("hits", lambda h: ~F.col("mixed_up") | (F.size(h["item_slots"]) == 0))
+    # The form with the most slots that is not mixed up, together with those before it.
+    upto = [F.array_distinct(F.flatten(F.filter("hits", lambda h: h["form"] <= form).getField("values")))  # noqa: B023
+            for form in range(3)]
+    judged = aligned.withColumns({f"values_{k}": v for k, v in enumerate(upto)}).withColumn(
+        "level", F.coalesce(*[F.when(~_mixed_up(F.col(f"values_{k}")), F.lit(k)) for k in (2, 1, 0)], F.lit(-1)))
+    kept = F.filter("hits", lambda h: (h["form"] <= F.col("level")) | (F.size(h["item_slots"]) == 0))
     # A place is a stretch of the item's length; two sets of stretches, so that one holds a copy whole.
     half = F.col("length").cast("double") / 2
     places = F.array(*[F.struct(F.lit(k).alias("set"), F.floor((F.col("start") + half * k) / F.col("length")).alias("at"))

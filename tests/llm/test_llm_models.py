@@ -127,6 +127,19 @@ def test_new_values_may_collide(spark):
     assert leaks(spark, texts, [item]) == {(0, 0): 1.0, (1, 0): 1.0, (2, 0): 1.0}
 
 
+def test_first_words_and_number_words(spark):
+    names = "Tom has 3 apples. Ann has 5 pears. Sam eats 2 of them."
+    words = "she buys three apples and walks two km home before she eats four of them again"
+    asks = "How many of the apples that Tom has does he eat before Ann comes home"
+    got = leaks(spark, [
+        names.replace("Tom", "Bob").replace("Ann", "Eve").replace("Sam", "Joe").replace("3", "7"),
+        words.replace("three", "seven").replace("two km", "nine miles").replace("four", "5"),
+        asks.replace("How", "Tell me how").replace("Tom", "Bob").replace("Ann", "Eve"),
+        names.replace("apples", "plums").replace("pears", "figs"),
+    ], [names, words, asks])
+    assert got == {(0, 0): 1.0, (1, 1): 1.0, (2, 2): 1.0}
+
+
 def slow_coverage(text, item, window=5):
     tokens = lambda t: re.findall(r"[^\W\d_]+", t.lower())
     a, b = tokens(text), tokens(item)
