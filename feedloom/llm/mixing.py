@@ -126,10 +126,11 @@ def mix_parameters(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     scaled = scratch(
         base.join(scales, "_key", "left").withColumn("_scale", F.coalesce("_scale", F.lit(0.0))), "scales")
 
-    # Where in the rank each source reaches its target.
+    # Where in the rank each source reaches its target; whole copies may do, and empty rows take no place.
+    short = F.col("_due") > 0
     ranked = (
-        attach(sizes.select(key_of("source").alias("_key"), "size", "uniform"),
-               scaled.select("_key", "_scale"), "_key")
+        attach(sizes.filter(F.col("size") > 0).select(key_of("source").alias("_key"), "size", "uniform"),
+               scaled.filter(short).select("_key", "_scale"), "_key")
         .withColumn("_rank", _rank(F.col("_scale"), F.col("size"), F.col("uniform"), tilt))
         .withColumn("_interval", _interval(F.col("_rank")))
     )
@@ -145,7 +146,8 @@ def mix_parameters(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
         .select("_key", "_at.*")
     )
     cuts = scratch(
-        scaled.join(reached, "_key", "left").withColumn("_cut", F.coalesce("_cut", F.lit(INTERVALS))), "cuts")
+        scaled.join(reached, "_key", "left").withColumn(
+            "_cut", F.when(short, F.coalesce("_cut", F.lit(INTERVALS))).otherwise(F.lit(-1))), "cuts")
 
     # Inside that interval the rows are sorted; the sum that comes nearest to the target wins.
     inside = Window.partitionBy("_key").orderBy("_rank", "uniform").rowsBetween(Window.unboundedPreceding, -1)

@@ -171,6 +171,16 @@ def test_mix(spark):
     assert Counter(r["doc_id"] for r in mix.collect()) == +copies
 
 
+def test_capped_sources_of_mostly_empty_texts(spark):
+    rows = [(i, "three more words" if i % 20 == 0 else (None, "", " ")[i % 3], "en", f"src{i % 5}", 0) for i in range(300)]
+    rows += [(i, "w " * 500, "en", "src9", 0) for i in range(300, 320)]
+    docs = frame(spark, rows + [(400 + k, "one for each", "en", f"src{k}", 0) for k in range(5)])
+    capped = [r for r in mixing.mix(docs).collect() if r["source"] != "src9"]
+    assert {r["copies"] for r in capped} == {3} and all(r["target"] == 3 * r["source_size"] for r in capped)
+    params = mixing.mix_parameters(mixing.sized(docs).select("source", "size", "uniform"))
+    assert {r["_cut"] for r in params.collect() if r["_key"] != "=src9"} == {-1}
+
+
 def test_mix_prefers_long_documents(spark):
     rows = [(i, "w " * (4 if i % 2 else 64), "en", "a" if i < 900 else "b", 0) for i in range(1000)]
     got = mixing.mix(frame(spark, rows), weights=(1.0, 1.0)).filter("source = 'a'").collect()
