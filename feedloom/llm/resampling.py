@@ -25,7 +25,7 @@ other.  Kept columns named like a result are left out.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -135,21 +135,59 @@ class _Known(dict):
         super().__init__()
         self.buckets, self.bytes = buckets, 0
 
-    def of(self, features: list[bytes]) -> np.ndarray:
+    def learn(self, features: set[bytes]) -> None:
+        """Take in the features that aren't known yet; their checksums are taken together."""
         if len(self) > KNOWN or self.bytes > KNOWN_BYTES:
             self.clear()
             self.bytes = 0
-        new = list(set(features).difference(self))
+        new = [f for f in features if f not in self]
         self.update(zip(new, (checksums(new) % np.uint32(self.buckets)).tolist(), strict=True))
         self.bytes += sum(map(len, new))
+
+    def of(self, features: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, features), np.uint32, len(features))
 
 
-def _scan(text: bytes | None, known: _Known, max_run: int) -> tuple[int, int, bytes]:
-    """Number of words and of features, and the buckets as bytes."""
+def _together(texts: Iterable[bytes | None]) -> Iterator[list[bytes]]:
+    """Texts in runs of about ``STRETCH`` bytes; a longer one comes alone."""
+    run, size = [], 0
+    for text in texts:
+        text = text or b""
+        if len(text) >= STRETCH:
+            if run:
+                yield run
+            yield [text]
+            run, size = [], 0
+            continue
+        run.append(text)
+        size += len(text)
+        if size >= STRETCH:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
+def _scan(texts: Iterable[bytes | None], known: _Known, max_run: int) -> Iterator[tuple[int, int, bytes]]:
+    """For every text the number of words and of features, and the buckets as bytes."""
+    for run in _together(texts):
+        if len(run) == 1:
+            yield _long(run[0], known, max_run)
+            continue
+        words = [text.translate(_FOLD).split() for text in run]
+        features = [_runs(w, [], max_run) for w in words]
+        known.learn(set().union(*features))
+        for w, f in zip(words, features, strict=True):
+            yield len(w), len(f), known.of(f).tobytes()
+
+
+def _long(text: bytes, known: _Known, max_run: int) -> tuple[int, int, bytes]:
+    """The same for one text, a stretch at a time."""
     n_words, parts, tail = 0, [], []
-    for words in _stretches((text or b"").translate(_FOLD)):
-        parts.append(known.of(_runs(words, tail, max_run)))
+    for words in _stretches(text.translate(_FOLD)):
+        features = _runs(words, tail, max_run)
+        known.learn(set(features))
+        parts.append(known.of(features))
         n_words += len(words)
         tail = (tail + words)[-(max_run - 1):] if max_run > 1 else []
     found = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
@@ -168,8 +206,10 @@ def featurize(docs: DataFrame, text: str, buckets: int, max_run: int, keep: list
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = _Known(buckets)
         for texts in batches:
-            rows = [_scan(t.as_buffer().to_pybytes() if t.is_valid else None, known, max_run) for t in texts]
-            yield pa.array([dict(zip(("n_words", "n_features", "buckets"), r, strict=True)) for r in rows], _SCANNED)
+            data = (t.as_buffer().to_pybytes() if t.is_valid else None for t in texts)
+            columns = list(zip(*_scan(data, known, max_run), strict=True)) or [(), (), ()]
+            yield pa.StructArray.from_arrays(
+                [pa.array(c, f.type) for c, f in zip(columns, _SCANNED, strict=True)], fields=list(_SCANNED))
 
     row = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(0).alias("_"))
     scanned = docs.select(row.alias("row"), scan(F.col(text).cast("string")).alias("f"))

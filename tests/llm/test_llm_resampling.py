@@ -52,13 +52,13 @@ def test_checksums_of_every_width():
 
 @pytest.mark.parametrize("max_run", [1, 3])
 def test_stretches_of_words_give_all_runs(max_run, monkeypatch):
-    text = ("One two, THREE " * 40 + "é" * 300 + " end").encode()
-    whole = resampling._scan(text, resampling._Known(997), max_run)
+    texts = [("One two, THREE " * 40 + "é" * 300 + " end").encode(), b"", None, b"a b a", b"one"]
+    whole = list(resampling._scan(texts, resampling._Known(997), max_run))
     monkeypatch.setattr(resampling, "STRETCH", 16)
     monkeypatch.setattr(resampling, "KNOWN", 2)
-    cut = resampling._scan(text, resampling._Known(997), max_run)
+    cut = list(resampling._scan(texts, resampling._Known(997), max_run))
     bag = lambda found: Counter(np.frombuffer(found[2], np.uint32).tolist())
-    assert cut[:2] == whole[:2] and bag(cut) == bag(whole)
+    assert len(whole) == len(texts) and [(c[:2], bag(c)) for c in cut] == [(w[:2], bag(w)) for w in whole]
 
 
 @pytest.mark.parametrize("max_run", [1, 2])
