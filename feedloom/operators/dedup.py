@@ -153,9 +153,13 @@ def pool_stats(winners: DataFrame) -> DataFrame:
     split = []
     if "is_known" in winners.columns:
         split = [F.count_if(~F.col("is_known")).alias("new"), F.count_if("is_known").alias("already_seen")]
+    return with_redundancy(winners.agg(n_in.cast("long").alias("input_records"), n_out.alias("unique_jobs"), *split))
+
+
+def with_redundancy(stats: DataFrame) -> DataFrame:
+    """Add how many records were collapsed, and their share."""
     return (
-        winners.agg(n_in.cast("long").alias("input_records"), n_out.alias("unique_jobs"), *split)
-        .withColumn("duplicates_collapsed", F.col("input_records") - F.col("unique_jobs"))
+        stats.withColumn("duplicates_collapsed", F.col("input_records") - F.col("unique_jobs"))
         .withColumn("redundancy_pct", redundancy_pct(F.col("duplicates_collapsed"), F.col("input_records")))
     )
 

@@ -39,6 +39,14 @@ def known_keys(entries: DataFrame) -> DataFrame:
     return keyed.select(F.explode(F.array_compact(F.array("stored_key", "name_key"))).alias("dedup_key")).distinct()
 
 
+def recognized_keys(entries: DataFrame) -> DataFrame:
+    """``dedup_key, is_entry``: the same keys, and whether an entry is stored under the very key."""
+    forms = F.array(F.struct(F.col("stored_key").alias("dedup_key"), F.lit(True).alias("is_entry")),
+                    F.struct(F.col("name_key").alias("dedup_key"), F.lit(False).alias("is_entry")))
+    return entries.select(F.inline(forms)).filter("dedup_key IS NOT NULL").groupBy("dedup_key").agg(
+        F.max("is_entry").alias("is_entry"))
+
+
 def new_only(pool: DataFrame, known: DataFrame) -> DataFrame:
     """Pool rows whose key is not known."""
     return pool.join(known.select("dedup_key"), "dedup_key", "left_anti")
@@ -63,11 +71,15 @@ def new_entries(entries: DataFrame, unique: DataFrame, today: Column) -> DataFra
     Matched on the stored key alone: a posting known only through an old URL entry
     gains an entry under its normalized key here.
     """
+    return entry_rows(unique.join(entries.select(F.col("stored_key").alias("dedup_key")), "dedup_key", "left_anti"), today)
+
+
+def entry_rows(unique: DataFrame, today: Column) -> DataFrame:
+    """Pool rows as entries."""
     def field(name: str, kind: str = "string") -> Column:
         return F.col(name) if name in unique.columns else F.lit(None).cast(kind).alias(name)
 
-    fresh = unique.join(entries.select(F.col("stored_key").alias("dedup_key")), "dedup_key", "left_anti")
-    return fresh.select(
+    return unique.select(
         F.col("dedup_key").alias("stored_key"),
         "title", "company", "url",
         today.cast("string").alias("first_seen"),

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from contextlib import nullcontext
 from datetime import date
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.cluster import workspace
+from feedloom.cluster import checkpointed, workspace
 from feedloom.operators import dedup, filters, report, seen
-from feedloom.sources.tables import HISTORY_SCHEMA, PoolTable, SeenStore, SnapshotTable, discard
+from feedloom.sources.tables import HISTORY_SCHEMA, KeyedTable, PoolTable, SeenStore, discard
 
 
 class Pool(NamedTuple):
@@ -43,48 +44,59 @@ def run_batch(
     run_report: DataFrame,
     store: SeenStore,
     pools: PoolTable,
-    history: SnapshotTable | None = None,
+    history: KeyedTable | None = None,
     today: date | None = None,
     remember: bool = True,
     retention_days: int = 30,
 ) -> None:
     """Filter, collapse, split off what is new, write the pool, grow the memory.
 
-    ``remember=False`` is a preview: it writes the pool and leaves the memory alone.
+    ``remember=False`` is a preview: it writes the pool and leaves the memory alone.  The
+    numbers of the run are observed while the flagged pool is written, and the history takes in
+    what the run touched, not the whole memory.
     """
     day = today or date.today()
     spark = collected.sparkSession
     kept = filters.flag_titles(collected, profiles).filter("keep").drop("keep")
     pool = merge_pool(kept, order)
     batch = store.next_batch()
-    if remember:
-        store.commits.claim(batch, store.writer)
-    known = seen.known_keys(store.entries(before=batch))
-
-    flagged_path = workspace(spark, "flagged")
-    seen.flag_known(pool.unique, known).write.parquet(flagged_path)
-    flagged = spark.read.parquet(flagged_path)
-    fresh = flagged.filter("not is_known").drop("is_known")
-    nested = dedup.nest_alternates(fresh, pool.others.join(fresh.select("dedup_key"), "dedup_key", "left_semi"))
-    added = seen.new_entries(store.entries(before=batch), pool.unique, F.lit(day.isoformat()))
-    n_added = added.count() if remember else 0
-    stats = dedup.pool_stats(flagged).withColumn("seen_entries_added", F.lit(n_added).cast("long"))
-
-    pools.write(day.isoformat(), stats, run_report, nested.drop("link"))
-    if remember:
-        store.append(batch, added, seen.new_links(store.links(before=batch), pool.others))
-    if history is not None:
-        history.replace(report.upsert(history.read(), history_rows(store)))
+    with store.commits.turn(batch, store.writer) if remember else nullcontext():
+        flagged_path = workspace(spark, "flagged")
+        seen_now, numbers = store.flag(pool.unique, before=batch), Observation()
+        seen_now.observe(
+            numbers, F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"), F.count(F.lit(1)).alias("n_keys"),
+            F.count_if("is_known").alias("n_known"), F.count_if(~F.col("has_entry")).alias("n_added"),
+        ).write.parquet(flagged_path)
+        flagged = spark.read.parquet(flagged_path)
+        fresh = flagged.filter("NOT is_known").drop("is_known", "has_entry")
+        nested = dedup.nest_alternates(fresh, pool.others.join(fresh.select("dedup_key"), "dedup_key", "left_semi"))
+        pools.write(day.isoformat(), run_stats(spark, numbers.get, remember), run_report, nested.drop("link"))
+        if remember:
+            added = seen.entry_rows(flagged.filter("NOT has_entry"), F.lit(day.isoformat()))
+            store.append(batch, added, store.fresh_links(pool.others, before=batch))
+    if remember and history is not None:
+        # From where the last load got to, so a run that died before its load is made up for.
+        touched = checkpointed(store.keys_since(history.note().get("through", -1)))
+        history.upsert(history_rows(store, keys=touched), {"through": batch})
     pools.prune(day, retention_days)
     for path in (pool.folder, flagged_path):
         discard(spark, path)
 
 
-def history_rows(store: SeenStore, chunk: int = dedup.CHUNK) -> DataFrame:
-    """History form of the store; all links as JSON text, ``chunk`` of them per row."""
-    links = dedup.in_chunks(store.links(), "stored_key", ["portal", "url"], chunk)
-    return report.as_history(store.entries().join(links, "stored_key", "left"))
+def run_stats(spark: SparkSession, numbers: dict, remember: bool) -> DataFrame:
+    """The observed numbers of a run as its one row of statistics."""
+    count = lambda n: F.lit(int(n)).cast("long")
+    one = spark.range(1).select(
+        count(numbers["n_rows"]).alias("input_records"), count(numbers["n_keys"]).alias("unique_jobs"),
+        count(numbers["n_keys"] - numbers["n_known"]).alias("new"), count(numbers["n_known"]).alias("already_seen"))
+    return dedup.with_redundancy(one).withColumn("seen_entries_added", count(numbers["n_added"] if remember else 0))
 
 
-def new_history(store: SeenStore, path: str) -> SnapshotTable:
-    return SnapshotTable(store.spark, path, HISTORY_SCHEMA)
+def history_rows(store: SeenStore, chunk: int = dedup.CHUNK, keys: DataFrame | None = None) -> DataFrame:
+    """History form of the store, or of some of its keys; all links as JSON text, ``chunk`` of them per row."""
+    entries, links = (store.entries(), store.links()) if keys is None else store.of_keys(keys)
+    return report.as_history(entries.join(dedup.in_chunks(links, "stored_key", ["portal", "url"], chunk), "stored_key", "left"))
+
+
+def new_history(store: SeenStore, path: str) -> KeyedTable:
+    return KeyedTable(store.spark, path, HISTORY_SCHEMA, "dedup_key")

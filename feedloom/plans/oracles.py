@@ -351,6 +351,21 @@ ORACLES: dict[str, str] = {
         SELECT o AS order_no, CAST(nth + CASE WHEN o % 6 = 2 THEN 3 ELSE 0 END AS INTEGER) AS pos,
           CASE WHEN t = 2 THEN 'own-board' ELSE 'board-' || (o % 4) END AS portal, 'board-' || (o % 4) AS asked_portal,
           CAST(t AS VARCHAR) AS title, CAST(c AS VARCHAR) AS company, CAST(u AS VARCHAR) AS url FROM r WHERE o % 6 < 4""",
+    "result_files": """WITH r AS (SELECT l_orderkey // 400 AS d, l_linenumber AS t, l_partkey AS c, l_suppkey AS u,
+            row_number() OVER (PARTITION BY l_orderkey // 400 ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS nth FROM lineitem)
+        SELECT CAST(nth + CASE WHEN d % 6 = 2 THEN 3 ELSE 0 END AS INTEGER) AS pos, CASE WHEN t = 2 THEN 'own-board' ELSE 'board-' || (d % 4) END AS portal,
+          'board-' || (d % 4) AS asked_portal, CAST(t AS VARCHAR) AS title, CAST(c AS VARCHAR) AS company, CAST(u AS VARCHAR) AS url FROM r WHERE d % 6 < 4""",
+    "posting_files": """SELECT 'Firm ' || (item_id % 7) AS company, 'Engineer - Line ' || item_id AS title, text || chr(10) AS text FROM benchmark""",
+    "outcome_files": """SELECT 'firm_' || s_suppkey AS application,
+          (['in_progress', 'hired', 'offer_declined', 'rejected', 'no_response', 'interview_only'])[CAST(s_suppkey % 7 + 1 AS INTEGER)] AS status,
+          s_suppkey % 7 = 6 AS status_unknown, '2025-0' || (s_suppkey % 9 + 1) || '-11' AS date_resolved,
+          array_to_string((['Phone screen', 'Technical interview', 'Case interview', 'Final round', 'Offer received'])[1:CAST(s_suppkey % 6 AS INTEGER)], ',') AS stages
+        FROM supplier""",
+    "sheet_files": """WITH c AS (SELECT *, c_custkey AS k, 'sheet_' || c_nationkey || '_' || (c_custkey // 1000) AS sheet FROM customer)
+        SELECT DISTINCT sheet, 1 AS "row", 'Company|City "of" seat|Text' AS cells FROM c
+        UNION ALL SELECT sheet, CAST(row_number() OVER (PARTITION BY sheet ORDER BY k) + 1 AS INTEGER),
+          CASE k % 5 WHEN 0 THEN c_name WHEN 1 THEN '5" pipe ' || k WHEN 2 THEN 'say "hi"' || chr(10) || k WHEN 3 THEN 'a, ' || k ELSE '~' END
+          || '|' || c_mktsegment || '|' || CASE k % 3 WHEN 0 THEN '6" rod' WHEN 1 THEN 'xtail' || k ELSE '~' END FROM c""",
     "posting_names": """SELECT 'Firm ' || (item_id % 7) AS company, 'Engineer - Line ' || item_id AS title, text FROM benchmark""",
     "outcome_documents": f"""WITH {_OUTCOMES} SELECT application, status, status IS NULL AS status_unknown, '2025-0' || (n % 9 + 1) || '-11' AS date_resolved,
         array_to_string((['Phone screen', 'Technical interview', 'Case interview', 'Final round', 'Offer received'])[1:turn + 1], ',') AS stages FROM outcomes""",

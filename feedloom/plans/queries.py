@@ -17,7 +17,7 @@ from feedloom.plans.batch import merge_pool
 from feedloom.plans.views import pick, table
 from feedloom.sources import landing
 from feedloom.sources.tables import (
-    HISTORY_SCHEMA, LINK_SCHEMA, PoolTable, SeenStore, SnapshotTable, read_dataset, subfolders, write_dataset,
+    HISTORY_SCHEMA, LINK_SCHEMA, KeyedTable, PoolTable, SeenStore, read_dataset, subfolders, write_dataset,
 )
 from feedloom.streaming import incremental
 
@@ -255,7 +255,7 @@ def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def history_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two loads into the snapshot table, the second overlapping the first."""
+    """Two loads into the keyed table, the second overlapping the first."""
     old, new = views.old_pool_and_new(spark, sf_dir)
 
     def rows(part: DataFrame, status: str) -> DataFrame:
@@ -266,10 +266,10 @@ def history_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         return report.as_history(entries)
 
-    store = SnapshotTable(spark, workspace(spark, "history"), HISTORY_SCHEMA)
-    store.replace(report.upsert(store.read(), rows(old, "old")))
-    store.replace(report.upsert(store.read(), rows(new, "new")))
-    return store.read()
+    history = KeyedTable(spark, workspace(spark, "history"), HISTORY_SCHEMA, "dedup_key")
+    history.upsert(rows(old, "old"))
+    history.upsert(rows(new, "new"))
+    return history.read()
 
 
 def recent_7d(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -414,6 +414,62 @@ def salary_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("company", "category", F.round("diff_pct", 4).alias("diff_pct"), F.lit(base["baseline_description"]).alias("note"))
 
 
+# --- files ---------------------------------------------------------------------------
+
+def _land(spark: SparkSession, docs: DataFrame, what: str) -> str:
+    """Documents (name, value) as files, each in the folder of its name; returns where."""
+    path = workspace(spark, what)
+    docs.write.partitionBy("name").option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+def result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items landed as result files, one for 400 order numbers, in folders of four boards."""
+    doc = F.floor(F.col("l_orderkey") / 400)
+    item = F.struct(
+        F.col("l_linenumber").alias("title"), F.col("l_partkey").alias("company"), F.col("l_suppkey").alias("url"),
+        F.when(F.col("l_linenumber") == 2, F.lit("own-board")).alias("portal"))
+    packed = table(spark, sf_dir, "lineitem").groupBy(doc.alias("doc")).agg(F.sort_array(F.collect_list(item)).alias("rows"))
+    files = packed.select(F.concat(F.lit("board-"), F.col("doc") % 4).alias("name"), _payload(F.col("doc"), F.to_json("rows")).alias("value"))
+    found = landing.read_results(spark, [_land(spark, files, "result-files")], named_by="folder")
+    return found.select(F.col("arrival.pos").alias("pos"), "portal", "asked_portal", "title", "company", "url")
+
+
+def posting_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark texts landed as posting texts in folders named ``<company> - <title>``."""
+    name = F.concat(F.lit("Firm "), F.col("item_id") % 7, F.lit(" - Engineer - Line "), F.col("item_id"))
+    path = _land(spark, table(spark, sf_dir, "benchmark").select(name.alias("name"), F.col("text").alias("value")), "posting-files")
+    return landing.read_posting_texts(spark, path, named_by="folder")
+
+
+def outcome_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers landed as outcome notes, one folder each."""
+    k = F.col("s_suppkey")
+    docs = table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("firm_"), k).alias("name"), _outcome_note(k, k % 6 - 1, F.col("s_name")).alias("value"))
+    return landing.read_outcomes(spark, _land(spark, docs, "outcome-files")).select(
+        "application", "status", "status_unknown", F.col("date_resolved").cast("string").alias("date_resolved"),
+        F.array_join(F.map_keys(F.map_filter("stages", lambda _, v: v)), ",").alias("stages"))
+
+
+def sheet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers landed as delimited sheets of at most 1,000 rows, with quotes of every kind."""
+    k = F.col("c_custkey")
+    name = F.concat_ws("_", F.lit("sheet"), "c_nationkey", F.floor(k / 1000))
+    key = k.cast("string")
+    first = (
+        F.when(k % 5 == 0, F.col("c_name")).when(k % 5 == 1, F.concat(F.lit('5" pipe '), key))
+        .when(k % 5 == 2, F.concat(F.lit('"say ""hi""\n'), key, F.lit('"'))).when(k % 5 == 3, F.concat(F.lit('"a, '), key, F.lit('"')))
+    ).otherwise(F.lit(""))
+    last = F.when(k % 3 == 0, F.lit('6" rod')).when(k % 3 == 1, F.concat(F.lit('"x"tail'), key)).otherwise(F.lit(""))
+    lines = table(spark, sf_dir, "customer").groupBy(name.alias("name"), "c_nationkey").agg(
+        F.sort_array(F.collect_list(F.struct(k.alias("k"), F.concat_ws(",", first, "c_mktsegment", last).alias("line")))).alias("rows"))
+    end = F.when(F.col("c_nationkey") % 2 == 0, F.lit("\r\n")).otherwise(F.lit("\n"))
+    value = F.concat_ws("", F.lit('Company,"City ""of"" seat",Text'), F.transform("rows", lambda r: F.concat(end, r["line"])))
+    path = _land(spark, lines.select("name", value.alias("value")), "sheet-files")
+    return landing.read_sheets(spark, path, named_by="folder").select("sheet", "row", F.array_join("cells", "|", "~").alias("cells"))
+
+
 # --- sheets and data sets ------------------------------------------------------------
 
 def _sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -516,6 +572,17 @@ def dup_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.duplicate_names(named)
 
 
+def _payload(k: Column, rows: Column) -> Column:
+    """Rows (JSON text) in one of the payload shapes, two of which have none."""
+    with_junk = F.concat(F.lit('["junk", 5, null, '), F.substr(rows, F.lit(2)))
+    return (
+        F.when(k % 6 == 0, rows).when(k % 6 == 1, F.concat(F.lit('{"meta": {}, "results": '), rows, F.lit("}")))
+        .when(k % 6 == 2, F.concat(F.lit('{"results": [], "jobs": '), with_junk, F.lit("}")))
+        .when(k % 6 == 3, F.concat(F.lit('{"jobs": null, "data": '), rows, F.lit("}")))
+        .when(k % 6 == 4, F.lit('"just text"')).otherwise(F.concat(F.lit('{"results": {"a": 1}, "data": '), rows, F.lit("}")))
+    )
+
+
 def envelope_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items packed per order into the payload shapes, unpacked again."""
     k = F.col("l_orderkey")
@@ -523,16 +590,9 @@ def envelope_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linenumber").alias("title"), F.col("l_partkey").alias("company"), F.col("l_suppkey").alias("url"),
         F.when(F.col("l_linenumber") == 2, F.lit("own-board")).when(F.col("l_linenumber") == 3, F.lit("")).alias("portal"))
     packed = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(item)).alias("rows"))
-    rows = F.to_json("rows")
-    with_junk = F.concat(F.lit('["junk", 5, null, '), F.substr(rows, F.lit(2)))
-    payload = (
-        F.when(k % 6 == 0, rows).when(k % 6 == 1, F.concat(F.lit('{"meta": {}, "results": '), rows, F.lit("}")))
-        .when(k % 6 == 2, F.concat(F.lit('{"results": [], "jobs": '), with_junk, F.lit("}")))
-        .when(k % 6 == 3, F.concat(F.lit('{"jobs": null, "data": '), rows, F.lit("}")))
-        .when(k % 6 == 4, F.lit('"just text"')).otherwise(F.concat(F.lit('{"results": {"a": 1}, "data": '), rows, F.lit("}")))
-    )
     payloads = packed.select(
-        k.alias("source_no"), F.concat(F.lit("board-"), k % 4).alias("portal"), F.try_parse_json(payload).alias("payload"))
+        k.alias("source_no"), F.concat(F.lit("board-"), k % 4).alias("portal"),
+        F.try_parse_json(_payload(k, F.to_json("rows"))).alias("payload"))
     found = landing.extract_records(payloads)
     return found.select(
         F.col("arrival.source_no").alias("order_no"), F.col("arrival.pos").alias("pos"), "portal", "asked_portal", "title", "company", "url")
@@ -555,16 +615,19 @@ def outcome_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns written as outcome notes."""
-    n = F.col("conv_id") + F.col("turn")
+    note = _outcome_note(F.col("conv_id") + F.col("turn"), F.col("turn"), F.col("text"))
+    docs = table(spark, sf_dir, "conversations").select(F.concat_ws("_", F.lit("firm"), "conv_id", "turn").alias("application"), note.alias("value"))
+    return landing.parse_outcome(docs)
+
+
+def _outcome_note(n: Column, stages: Column, text: Column) -> Column:
     def box(stage: str, at: int) -> Column:
-        return F.concat(F.lit("- ["), F.when(F.col("turn") >= at, F.lit("x")).otherwise(F.lit(" ")), F.lit(f"] {stage}\n"))
-    note = F.concat(
+        return F.concat(F.lit("- ["), F.when(stages >= at, F.lit("x")).otherwise(F.lit(" ")), F.lit(f"] {stage}\n"))
+    return F.concat(
         F.lit("# Outcome: Firm — Role\n\n**Status:** "), pick(n % 7, careers.OUTCOME_STATUSES + ["ghosted"]),
         F.lit("\n\n**Date resolved:** 2025-0"), (n % 9 + 1), F.lit("-11\n\n## Interview stages reached\n"),
-        *[box(stage, at) for at, stage in enumerate(careers.STAGES)], F.lit("\n## Notes\n"), F.col("text"),
+        *[box(stage, at) for at, stage in enumerate(careers.STAGES)], F.lit("\n## Notes\n"), text,
     )
-    docs = table(spark, sf_dir, "conversations").select(F.concat_ws("_", F.lit("firm"), "conv_id", "turn").alias("application"), note.alias("value"))
-    return landing.parse_outcome(docs)
 
 
 def outcome_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -657,7 +720,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         normalize_text, normalize_company_text, text_layer_check, sql_functions,
         company_search, company_match, company_top3, company_ranking, salary_benchmark, salary_dataset,
         sheet_layouts, sheet_reshape, parse_numbers, validate_issues, dataset_import, dup_names, envelope_parse,
-        posting_names, outcome_documents, outcome_funnel, gap_sources, skill_gaps, gap_header, followups,
+        result_files, posting_files, outcome_files, sheet_files, posting_names, outcome_documents, outcome_funnel, gap_sources, skill_gaps, gap_header, followups,
         write_roundtrip, incremental_stream,
     )
 }

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,12 +26,22 @@ def _plain_name(c: str) -> Column:
     return F.coalesce(F.try_url_decode(F.replace(F.col(c), F.lit("+"), F.lit("%2B"))), F.col(c))
 
 
-def _documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    return spark.read.text(paths, wholetext=True).select(
+def _documents(spark: SparkSession, paths: str | list[str], named_by: str = "file") -> DataFrame:
+    """Whole files with ``stem``, the name they are known by.
+
+    ``named_by`` the ``file`` (without its ending) or the ``folder`` it lies in; of a folder that a
+    partitioned job wrote (``sheet=north``) the value counts.  Spark packs small files into tasks
+    by their bytes, and lists them in parallel, so a landing folder may hold very many.
+    """
+    docs = spark.read.option("recursiveFileLookup", "true").text(paths, wholetext=True).select(
         F.col("value"),
         _plain_name("_metadata.file_name").alias("file_name"),
         _plain_name("_metadata.file_path").alias("file_path"),
     )
+    if named_by == "folder":
+        stem = F.regexp_extract("file_path", r"([^/]+)/[^/]+$", 1)
+        return docs.withColumn("stem", F.regexp_replace(stem, r"^\w+=", ""))
+    return docs.withColumn("stem", F.regexp_extract("file_name", r"^(.*?)(?:\.[^.]*)?$", 1))
 
 
 def _truthy(v: Column) -> Column:
@@ -66,23 +77,24 @@ def extract_records(payloads: DataFrame) -> DataFrame:
     )
 
 
-def read_results(spark: SparkSession, inputs: dict[str, str] | list[str], skip_unreadable: bool = False) -> DataFrame:
+def read_results(spark: SparkSession, inputs: dict[str, str] | list[str], skip_unreadable: bool = False,
+                 named_by: str = "file") -> DataFrame:
     """Posting rows of result files; an unreadable one is an error that names it.
 
     With ``skip_unreadable`` such files give no rows; ``read_result_log`` lists them.
 
     ``{portal: path}`` names the source of each path; in a list of paths (or globs) the
-    file stem does.  The order of the inputs is the order of arrival.
+    file stem does, or the folder's name.  The order of the inputs is the order of arrival.
     """
     if isinstance(inputs, dict):
         parts = [
-            _documents(spark, path).select(F.lit(i).alias("a"), F.col("file_name"), F.lit(p).alias("portal"), "value")
+            _documents(spark, path).select(F.lit(i).alias("a"), F.col("file_path"), F.col("file_name"), F.lit(p).alias("portal"), "value")
             for i, (p, path) in enumerate(inputs.items())
         ]
     else:
-        stem = F.regexp_extract("file_name", r"^(.*?)(?:\.[^.]*)?$", 1)
         parts = [
-            _documents(spark, path).select(F.lit(i).alias("a"), F.col("file_name"), stem.alias("portal"), "value")
+            _documents(spark, path, named_by).select(
+                F.lit(i).alias("a"), F.col("file_path"), F.col("file_name"), F.col("stem").alias("portal"), "value")
             for i, path in enumerate(inputs)
         ]
     docs = parts[0]
@@ -92,14 +104,13 @@ def read_results(spark: SparkSession, inputs: dict[str, str] | list[str], skip_u
     if not skip_unreadable:
         problem = F.concat(F.lit("unparseable output: "), F.col("file_name"))
         payload = F.coalesce(payload, F.when(payload.isNull(), F.raise_error(problem)).cast("variant"))
-    return extract_records(docs.select(F.struct("a", "file_name").alias("source_no"), "portal", payload.alias("payload")))
+    return extract_records(docs.select(F.struct("a", "file_name", "file_path").alias("source_no"), "portal", payload.alias("payload")))
 
 
-def read_result_log(spark: SparkSession, inputs: list[str]) -> DataFrame:
+def read_result_log(spark: SparkSession, inputs: list[str], named_by: str = "file") -> DataFrame:
     """(portal, error) of each landed file; an unreadable document is an error."""
-    stem = F.regexp_extract("file_name", r"^(.*?)(?:\.[^.]*)?$", 1)
-    return _documents(spark, inputs).select(
-        stem.alias("portal"),
+    return _documents(spark, inputs, named_by).select(
+        F.col("stem").alias("portal"),
         F.when(F.try_parse_json("value").isNull(), F.lit("unparseable output")).alias("error"),
     )
 
@@ -233,25 +244,57 @@ def load_dataset(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
     return meta.asDict(), companies_of(entries)
 
 
-def read_sheets(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
-    """Sheets exported as delimited text, one file each: (sheet, row, cells).
+def read_sheet_records(spark: SparkSession, path: str | list[str], delimiter: str = ",", named_by: str = "file") -> DataFrame:
+    """Records of sheets exported as delimited text, one file each: (sheet, row, cells, unclosed).
 
-    Every row has the cells it has (ragged rows allowed); a quoted cell may hold delimiters,
-    doubled quotes and line breaks.  A spreadsheet has a fixed maximum of rows, so reading one
-    file whole is bounded; the rows are spread right after.
+    A quote opens only at the start of a cell; then delimiters, line breaks and doubled quotes belong
+    to the cell, up to the closing quote.  Anywhere else a quote is a character like others, and so
+    is one that opens a cell and is never closed: ``unclosed`` numbers such cells of the record.
+    Every character belongs to a record, and the text is read once.  A spreadsheet has a fixed
+    maximum of rows, so reading one file whole is bounded; the rows are spread right after.
     """
-    sep = "\\" + delimiter if delimiter in "|.^$*+?()[{" else delimiter
-    # Runs outside quotes, then quoted parts with what follows them; possessive, so linear.
-    record = r'[^"\r\n]*+(?:"[^"]*+"[^"\r\n]*+)*+(?:\r?\n|\r|$)'
-    cell = rf'{sep}([^"{sep}]*+(?:"[^"]*+"[^"{sep}]*+)*+)'
-    records = F.filter(F.regexp_extract_all("value", F.lit(record), F.lit(0)), lambda r: r != "")
-    lines = _documents(spark, path).select(
-        F.regexp_extract("file_name", r"^(.*?)(?:\.[^.]*)?$", 1).alias("sheet"), F.posexplode(records).alias("at", "line"))
-    raw = F.regexp_extract_all(F.concat(F.lit(delimiter), F.regexp_replace("line", r"(?:\r?\n|\r)$", "")), F.lit(cell), F.lit(1))
-    bare = lambda c: F.when(
-        c.rlike('(?s)^".*"$'), F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c)
-    cells = F.transform(raw, lambda c: F.nullif(bare(c), F.lit("")))
-    return lines.select("sheet", (F.col("at") + 1).alias("row"), cells.alias("cells"))
+    sep = re.escape(delimiter)
+    cell = (rf'(?:"([^"]*+(?:""[^"]*+)*+)"([^{sep}\r\n]*+)|([^{sep}\r\n]*+))({sep}|\r\n|\r|\n|\Z)')
+
+    @F.arrow_udf("array<struct<cells:array<string>,unclosed:array<int>>>")
+    def split(texts: pa.Array) -> pa.Array:
+        pattern = re.compile(cell)
+        kind = pa.list_(pa.struct([("cells", pa.list_(pa.string())), ("unclosed", pa.list_(pa.int32()))]))
+
+        def records(text: str) -> list[dict]:
+            out, cells, unclosed, at = [], [], [], 0
+            while at < len(text):
+                m = pattern.match(text, at)
+                at = m.end()
+                if m[1] is not None:
+                    value = m[1].replace('""', '"') + m[2]
+                else:
+                    value = m[3]
+                    if value.startswith('"'):
+                        unclosed.append(len(cells))
+                cells.append(value or None)
+                if m[4] != delimiter:
+                    out.append({"cells": cells, "unclosed": unclosed})
+                    cells, unclosed = [], []
+            if cells:  # the text ends with a delimiter
+                out.append({"cells": [*cells, None], "unclosed": unclosed})
+            return out
+
+        return pa.array([records(t.as_py() or "") for t in texts], kind)
+
+    lines = _documents(spark, path, named_by).select(F.col("stem").alias("sheet"), F.posexplode(split("value")).alias("at", "r"))
+    return lines.select("sheet", (F.col("at") + 1).alias("row"), "r.cells", "r.unclosed")
+
+
+def read_sheets(spark: SparkSession, path: str | list[str], delimiter: str = ",", named_by: str = "file") -> DataFrame:
+    """Sheets exported as delimited text: (sheet, row, cells); every row has the cells it has."""
+    return read_sheet_records(spark, path, delimiter, named_by).drop("unclosed")
+
+
+def sheet_issues(spark: SparkSession, path: str | list[str], delimiter: str = ",", named_by: str = "file") -> DataFrame:
+    """(sheet, row, cell, message) of quotes that are opened and never closed; cells count from 1."""
+    found = read_sheet_records(spark, path, delimiter, named_by).select("sheet", "row", F.explode("unclosed").alias("at"))
+    return found.select("sheet", "row", (F.col("at") + 1).alias("cell"), F.lit("quote is never closed; read as it stands").alias("message"))
 
 
 def split_posting_name(df: DataFrame, file_name: str) -> DataFrame:
@@ -263,9 +306,12 @@ def split_posting_name(df: DataFrame, file_name: str) -> DataFrame:
     })
 
 
-def read_posting_texts(spark: SparkSession, path: str) -> DataFrame:
+def read_posting_texts(spark: SparkSession, path: str, named_by: str = "file") -> DataFrame:
     """Posting texts of a drop folder: (company, title, text); the text is untrusted data."""
-    return split_posting_name(_documents(spark, path), "file_name").select("company", "title", F.col("value").alias("text"))
+    docs = _documents(spark, path, named_by)
+    if named_by == "folder":
+        docs = docs.withColumn("file_name", F.concat("stem", F.lit(".txt")))
+    return split_posting_name(docs, "file_name").select("company", "title", F.col("value").alias("text"))
 
 
 def parse_outcome(df: DataFrame, value: str = "value") -> DataFrame:
@@ -287,5 +333,5 @@ def parse_outcome(df: DataFrame, value: str = "value") -> DataFrame:
 
 def read_outcomes(spark: SparkSession, path: str) -> DataFrame:
     """Outcome documents ``<company>_<role>/outcome.md`` as one row per application."""
-    docs = _documents(spark, path).withColumn("application", F.regexp_extract("file_path", r"([^/]+)/[^/]+$", 1))
+    docs = _documents(spark, path, "folder").withColumnRenamed("stem", "application")
     return parse_outcome(docs).drop("value", "file_name", "file_path")

@@ -1,9 +1,9 @@
 """Tables the jobs keep: pools per date, the seen store, versioned snapshots, data sets.
 
 Plain Parquet folders on shared storage.  Nothing is ever rewritten in place while it is
-being read: a store grows by batch folders, a snapshot by version folders, and a small
-commit table - written last - says what counts.  A job that dies half-way leaves folders
-no reader looks at, and running it again with the same batch gives the same state.
+being read: a store grows by batch folders, a snapshot by version folders, a keyed table by
+buckets, and a manifest - written last - says what counts.  A job that dies half-way leaves
+folders no reader looks at, and running it again with the same batch gives the same state.
 """
 
 from __future__ import annotations
@@ -11,163 +11,227 @@ from __future__ import annotations
 import uuid
 from datetime import date, timedelta
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedloom.cluster import checkpointed
 from feedloom.operators import seen
+from feedloom.sources import membership
+from feedloom.sources.keyed import BUCKETS, KeyedTable, read_bucketed, with_keys, write_bucketed
+from feedloom.sources.manifest import GRACE, KEEP, TTL, AlreadyClaimed, Commits, StaleWriter, Turn
+from feedloom.sources.storage import discard, subfolders
+
+__all__ = [
+    "HISTORY_SCHEMA", "LINK_SCHEMA", "AlreadyClaimed", "KeyedTable", "PoolTable", "SeenStore", "SnapshotTable", "StaleWriter",
+    "discard", "read_dataset", "subfolders", "write_dataset",
+]
 
 ENTRY_SCHEMA = (
     "stored_key STRING, title STRING, company STRING, url STRING, first_seen STRING, "
     "fit STRING, status STRING, portal STRING, name_key STRING"
 )
 LINK_SCHEMA = "stored_key STRING, portal STRING, url STRING"
+KEY_SCHEMA = "dedup_key STRING, is_entry BOOLEAN"
 RANK_SCHEMA = (
     "stored_key STRING, rank_score INT, rank_verdict STRING, strengths ARRAY<STRING>, gaps ARRAY<STRING>, status STRING"
 )
 # Versions of a snapshot that stay readable.
 KEEP_VERSIONS = 2
+# Folders of one size that are merged into one of the next.
+FANOUT = 8
 HISTORY_SCHEMA = (
     "dedup_key STRING, title STRING, company STRING, url STRING, portal STRING, "
     "first_seen STRING, status STRING, fit STRING, also_on STRING, chunk_no INT"
 )
 
 
-def _folder(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    where, fs = _folder(spark, path)
-    return fs.exists(where)
-
-
-def subfolders(spark: SparkSession, path: str) -> list[str]:
-    where, fs = _folder(spark, path)
-    if not fs.exists(where):
-        return []
-    return sorted(s.getPath().getName() for s in fs.listStatus(where) if s.isDirectory())
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete an intermediate table of a finished run."""
-    where, fs = _folder(spark, path)
-    fs.delete(where, True)
-
-
-class AlreadyClaimed(RuntimeError):
-    """Another writer is working on this batch or version."""
-
-
-class Commits:
-    """Numbers of the finished batches or versions below a folder.
-
-    A number belongs to the writer that creates its claim file first, which the file system
-    decides.  The same writer may claim it again, so a repeated batch replaces itself.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def last(self, before: int | None = None) -> int | None:
-        if not exists(self.spark, self.path):
-            return None
-        done = self.spark.read.schema("number BIGINT").parquet(self.path)
-        if before is not None:
-            done = done.filter(F.col("number") < before)
-        return done.agg(F.max("number")).first()[0]
-
-    def _claim_file(self, number: int):
-        return _folder(self.spark, f"{self.path}-claims/{number}")
-
-    def claim(self, number: int, writer: str) -> None:
-        where, fs = self._claim_file(number)
-        try:
-            out = fs.create(where, False)
-        except Py4JJavaError:
-            if not fs.exists(where):
-                raise
-            stream = fs.open(where)
-            owner = stream.readUTF()
-            stream.close()
-            if owner != writer:
-                raise AlreadyClaimed(f"{self.path}: number {number} belongs to writer {owner}") from None
-            return
-        out.writeUTF(writer)
-        out.close()
-
-    def release(self, number: int) -> None:
-        """Give up the claim of a writer that died before it committed."""
-        where, fs = self._claim_file(number)
-        fs.delete(where, False)
-
-    def add(self, number: int) -> None:
-        row = self.spark.range(number, number + 1, 1, 1).select(F.col("id").alias("number"))
-        row.write.mode("overwrite").parquet(f"{self.path}/at={number}")
-
-
 class SeenStore:
     """Append-only memory of everything reported: ``entries``, ``links`` and ``ranks``.
 
+    Beside them stand ``keys``, by which entries are recognized.  Every batch adds a folder to each
+    part, in buckets of its key, so a pool meets the memory without moving it.  When ``FANOUT``
+    folders of a size have come together they are merged into one of the next size, so a reader has
+    to open a number of folders that grows with the logarithm of the batches.
+
     ``writer`` names who appends (a streaming query passes its checkpoint, so that it may
     repeat its own batches after a restart); by default every store object is its own writer.
     """
 
-    def __init__(self, spark: SparkSession, path: str, writer: str | None = None):
+    PARTS = {"entries": ("stored_key", ENTRY_SCHEMA), "keys": ("dedup_key", KEY_SCHEMA), "links": ("stored_key", LINK_SCHEMA)}
+
+    def __init__(self, spark: SparkSession, path: str, writer: str | None = None, buckets: int = BUCKETS, ttl: float = TTL):
         self.spark, self.path = spark, path.rstrip("/")
         self.writer = writer or uuid.uuid4().hex
-        self.commits = Commits(spark, f"{self.path}/commits")
-        self.rank_commits = Commits(spark, f"{self.path}/rank-commits")
+        self.commits = Commits(spark, self.path, ttl)
+        self.rank_commits = Commits(spark, f"{self.path}/ranks", ttl)
+        self._buckets = buckets
 
-    def _read(self, part: str, schema: str, before: int | None) -> DataFrame:
-        last = self.commits.last(before)
-        if last is None:
-            return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(f"{schema}, batch BIGINT").parquet(f"{self.path}/{part}")
-        return rows.filter(F.col("batch") <= last).drop("batch")
+    # -- reading ------------------------------------------------------------------------
+
+    def _state(self, before: int | None = None) -> dict:
+        state = self.commits.log.newest(before)
+        return state if state and state["parts"] else {"buckets": self._buckets, "parts": {p: [] for p in self.PARTS}}
+
+    def _read(self, part: str, before: int | None = None, folders: list[dict] | None = None) -> DataFrame:
+        state, (key, schema) = self._state(before), self.PARTS[part]
+        chosen = state["parts"][part] if folders is None else folders
+        return read_bucketed(self.spark, self.path, [f["path"] for f in chosen], schema, key, state["buckets"])
 
     def entries(self, before: int | None = None) -> DataFrame:
         """Committed entries; ``before`` shows the state a given batch started from."""
-        return self._read("entries", ENTRY_SCHEMA, before)
+        return self._read("entries", before)
 
     def links(self, before: int | None = None) -> DataFrame:
-        return self._read("links", LINK_SCHEMA, before)
+        return self._read("links", before)
+
+    def folders(self, part: str) -> int:
+        """How many folders a reader of the part opens."""
+        return len(self._state()["parts"][part])
 
     def next_batch(self) -> int:
         last = self.commits.last()
         return 0 if last is None else last + 1
 
+    # -- asking -------------------------------------------------------------------------
+
+    def flag(self, pool: DataFrame, before: int | None = None) -> DataFrame:
+        """``pool`` (one row a key) with ``is_known`` and ``has_entry``.
+
+        Known are keys that an entry is recognized by; an entry of its own has what is stored under
+        the very key.  The filters of the folders are asked first: only keys that one of them may
+        hold are looked up, and only folders that may hold one are read.  Only the pool is moved.
+        """
+        state = self._state(before)
+        folders = state["parts"]["keys"]
+        if not folders:
+            return pool.withColumns({"is_known": F.lit(False), "has_entry": F.lit(False)})
+        filters = read_bucketed(self.spark, self.path, [f["filter"] for f in folders], membership.SCHEMA, "spot", state["buckets"])
+        maybe = checkpointed(membership.ask(
+            pool.select("dedup_key"), "dedup_key", filters, [(f["seed"], f["blocks"]) for f in folders]))
+        hit = {r["seed"] for r in maybe.select("seed").distinct().collect()}  # at most one a folder
+        keys = self._read("keys", before, [f for f in folders if f["seed"] in hit])
+        found = with_keys(keys, maybe.select("dedup_key").distinct(), "dedup_key").groupBy("dedup_key").agg(
+            F.max("is_entry").alias("_entry"))
+        return pool.join(found, "dedup_key", "left").withColumns({
+            "is_known": F.col("_entry").isNotNull(), "has_entry": F.coalesce("_entry", F.lit(False))}).drop("_entry")
+
+    def fresh_links(self, others: DataFrame, before: int | None = None) -> DataFrame:
+        """Alternates (``dedup_key, portal, url``) that their keys lack, as rows to append."""
+        asked = others.select(F.col("dedup_key").alias("stored_key")).distinct()
+        return seen.new_links(with_keys(self.links(before), asked, "stored_key"), others)
+
+    def of_keys(self, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Entries and links of some keys (``stored_key``, distinct), without moving the rest."""
+        return with_keys(self.entries(), keys, "stored_key"), with_keys(self.links(), keys, "stored_key")
+
+    def keys_since(self, batch: int) -> DataFrame:
+        """``stored_key`` of everything that batches after ``batch`` added to (merged folders: and maybe more)."""
+        parts = self._state()["parts"]
+        late = [self._read(p, None, [f for f in parts[p] if f["last"] > batch]).select("stored_key") for p in ("entries", "links")]
+        return late[0].unionByName(late[1]).distinct()
+
+    # -- growing ------------------------------------------------------------------------
+
     def append(self, batch: int, entries: DataFrame, links: DataFrame) -> None:
         """Write one batch; the same batch again replaces itself, another writer's fails."""
-        self.commits.claim(batch, self.writer)
-        if "name_key" not in entries.columns:
-            entries = seen.with_name_key(entries)
-        entries.write.mode("overwrite").parquet(f"{self.path}/entries/batch={batch}")
-        links.write.mode("overwrite").parquet(f"{self.path}/links/batch={batch}")
-        self.commits.add(batch)
-
+        with self.commits.turn(batch, self.writer) as turn:
+            if "name_key" not in entries.columns:
+                entries = seen.with_name_key(entries)
+            state = turn.base()
+            state = state if state and state["parts"] else self._state(-1)
+            new = {part: {"path": f"{part}/{batch:08d}-{turn.fence}-{uuid.uuid4().hex[:8]}", "first": batch, "last": batch, "level": 0}
+                   for part in self.PARTS}
+            self._write("entries", entries, new["entries"], state)
+            stored = self._read("entries", None, [new["entries"]])
+            self._write("keys", seen.recognized_keys(stored), new["keys"], state)
+            self._write("links", links, new["links"], state)
+            turn.publish({p: [*state["parts"][p], new[p]] for p in self.PARTS}, buckets=state["buckets"])
+            if self._merge_due():
+                self._compact(turn)
+
+    def _write(self, part: str, rows: DataFrame, folder: dict, state: dict) -> None:
+        key, schema = self.PARTS[part]
+        columns = self.spark.createDataFrame([], schema).columns
+        write_bucketed(rows.select(*columns), f"{self.path}/{folder['path']}", key, state["buckets"])
+        if part == "keys":
+            folder["filter"] = folder["path"].replace("keys/", "filters/")
+            keys = read_bucketed(self.spark, self.path, [folder["path"]], schema, key, state["buckets"])
+            folder["seed"], folder["blocks"] = membership.new_seed(), membership.blocks_for(keys.count())
+            write_bucketed(membership.build(keys, key, folder["seed"], folder["blocks"]), f"{self.path}/{folder['filter']}",
+                           "spot", state["buckets"])
+
+    def _merge_due(self) -> list[tuple[str, int]]:
+        levels = [(p, f["level"]) for p, folders in self._state()["parts"].items() for f in folders]
+        return sorted({x for x in levels if levels.count(x) >= FANOUT})
+
+    def _compact(self, turn: Turn) -> None:
+        """Merge folders of a size until no size has ``FANOUT`` of them; readers see before or after."""
+        state = self._state()
+        parts = {p: list(folders) for p, folders in state["parts"].items()}
+        while True:
+            due = [(p, level) for p in parts for level in {f["level"] for f in parts[p]}
+                   if sum(f["level"] == level for f in parts[p]) >= FANOUT]
+            if not due:
+                break
+            for part, level in sorted(due):
+                group = [f for f in parts[part] if f["level"] == level]
+                first, last = min(f["first"] for f in group), max(f["last"] for f in group)
+                folder = {"path": f"{part}/{first:08d}-{last:08d}-{turn.fence}-{uuid.uuid4().hex[:8]}", "first": first, "last": last,
+                          "level": level + 1}
+                rows = self._read(part, None, group)
+                if part == "keys":
+                    rows = rows.groupBy("dedup_key").agg(F.max("is_entry").alias("is_entry"))
+                self._write(part, rows, folder, state)
+                parts[part] = sorted([f for f in parts[part] if f["level"] != level] + [folder], key=lambda f: f["first"])
+        turn.publish(parts, buckets=state["buckets"])
+        self.vacuum()
+
+    def vacuum(self, keep: int = KEEP, grace: float = GRACE) -> list[str]:
+        """Remove folders that no state uses any more."""
+        gone = self.commits.log.vacuum(keep, grace)
+        for path in gone:
+            if path.startswith("keys/"):
+                discard(self.spark, f"{self.path}/{path.replace('keys/', 'filters/')}")
+        return gone
+
+    # -- ranks --------------------------------------------------------------------------
 
     def append_ranks(self, scores: DataFrame) -> int:
         """Write scores (columns of ``RANK_SCHEMA``, one row per key) as the latest of their keys."""
         last = self.rank_commits.last()
         batch = 0 if last is None else last + 1
-        self.rank_commits.claim(batch, self.writer)
         names = self.spark.createDataFrame([], RANK_SCHEMA).columns
-        scores.select(*names).write.mode("overwrite").parquet(f"{self.path}/ranks/batch={batch}")
-        self.rank_commits.add(batch)
+        with self.rank_commits.turn(batch, self.writer) as turn:
+            folder = {"path": f"data/{batch:08d}-{turn.fence}-{uuid.uuid4().hex[:8]}", "first": batch, "last": batch, "level": 0}
+            scores.select(*names).withColumn("batch", F.lit(batch).cast("long")).write.parquet(f"{self.path}/ranks/{folder['path']}")
+            folders = [*((turn.base() or {}).get("parts", {}).get("ranks", [])), folder]
+            turn.publish({"ranks": folders})
+            while True:
+                levels = [f["level"] for f in folders]
+                due = sorted({v for v in levels if levels.count(v) >= FANOUT})
+                if not due:
+                    break
+                group = [f for f in folders if f["level"] == due[0]]
+                first, last = min(f["first"] for f in group), max(f["last"] for f in group)
+                merged = {"path": f"data/{first:08d}-{last:08d}-{turn.fence}-{uuid.uuid4().hex[:8]}", "first": first, "last": last,
+                          "level": due[0] + 1}
+                self._latest_ranks(group).write.parquet(f"{self.path}/ranks/{merged['path']}")
+                folders = sorted([f for f in folders if f["level"] != due[0]] + [merged], key=lambda f: f["first"])
+                turn.publish({"ranks": folders})
+                self.rank_commits.log.vacuum()
         return batch
 
+    def _latest_ranks(self, folders: list[dict]) -> DataFrame:
+        rows = self.spark.read.schema(f"{RANK_SCHEMA}, batch BIGINT").parquet(*[f"{self.path}/ranks/{f['path']}" for f in folders])
+        names = [c for c in rows.columns if c not in ("stored_key", "batch")]
+        latest = rows.groupBy("stored_key").agg(F.max_by(F.struct(*names), "batch").alias("r"), F.max("batch").alias("batch"))
+        return latest.select("stored_key", "r.*", "batch")
+
     def ranks(self) -> DataFrame:
         """The latest scores of every key."""
-        last = self.rank_commits.last()
-        empty = self.spark.createDataFrame([], RANK_SCHEMA)
-        if last is None:
-            return empty
-        rows = self.spark.read.schema(f"{RANK_SCHEMA}, batch BIGINT").parquet(f"{self.path}/ranks").filter(F.col("batch") <= last)
-        latest = rows.groupBy("stored_key").agg(F.max_by(F.struct(*empty.columns[1:]), "batch").alias("r"))
-        return latest.select("stored_key", "r.*")
+        state = self.rank_commits.log.newest()
+        folders = (state or {}).get("parts", {}).get("ranks", [])
+        return self._latest_ranks(folders).drop("batch") if folders else self.spark.createDataFrame([], RANK_SCHEMA)
 
     def ranked(self) -> DataFrame:
         """Entries with their rank fields; a merge of entries can't lose them."""
@@ -186,7 +250,7 @@ class SnapshotTable:
 
     def __init__(self, spark: SparkSession, path: str, schema: str):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-        self.commits = Commits(spark, f"{self.path}/commits")
+        self.commits = Commits(spark, self.path)
 
     def read(self) -> DataFrame:
         last = self.commits.last()
@@ -197,13 +261,10 @@ class SnapshotTable:
     def replace(self, rows: DataFrame) -> int:
         last = self.commits.last()
         version = 0 if last is None else last + 1
-        self.commits.claim(version, uuid.uuid4().hex)
-        rows.write.mode("overwrite").parquet(f"{self.path}/data/version={version}")
-        self.commits.add(version)
-        for name in subfolders(self.spark, f"{self.path}/data"):
-            number = name.removeprefix("version=")
-            if number.isdigit() and int(number) <= version - KEEP_VERSIONS:
-                discard(self.spark, f"{self.path}/data/{name}")
+        with self.commits.turn(version, uuid.uuid4().hex) as turn:
+            rows.write.mode("overwrite").parquet(f"{self.path}/data/version={version}")
+            turn.publish({"data": [{"path": f"data/version={version}"}]})
+        self.commits.log.vacuum(KEEP_VERSIONS, 0)
         return version
 
 
@@ -232,8 +293,7 @@ class PoolTable:
             for name in subfolders(self.spark, f"{self.path}/{part}"):
                 day = name.removeprefix("date=")
                 if name.startswith("date=") and date.fromisoformat(day) < oldest:
-                    where, fs = _folder(self.spark, f"{self.path}/{part}/{name}")
-                    fs.delete(where, True)
+                    discard(self.spark, f"{self.path}/{part}/{name}")
                     gone.add(day)
         return sorted(gone)
 

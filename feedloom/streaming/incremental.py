@@ -1,9 +1,10 @@
 """Report each posting once, over arrivals that keep coming.
 
 The state is the seen store, which never forgets; a watermark would make old postings
-new again.  A micro-batch sees only what was committed by earlier batches and writes
-folders named after itself, so a retry after a failure rewrites the same rows.  A store
-belongs to one checkpoint, whose batch numbers it uses.
+new again.  The store lies in buckets of its keys, so a micro-batch shuffles its own rows
+and never the memory.  A micro-batch sees only what was committed by earlier batches and
+writes folders named after itself, so a retry after a failure rewrites the same rows.  A
+store belongs to one checkpoint, whose batch numbers it uses.
 """
 
 from __future__ import annotations
@@ -37,10 +38,11 @@ def new_postings_writer(
         dedup.pick_winners(links).write.parquet(f"{base}/unique")
         unique = spark.read.parquet(f"{base}/unique")
         others = dedup.alternates(links, unique)
-        entries, stored = store.entries(before=number), store.links(before=number)
-        fresh = seen.new_only(unique, seen.known_keys(entries)).drop("link")
-        fresh.write.mode("overwrite").parquet(f"{output}/batch={number}")
-        store.append(number, seen.new_entries(entries, unique, day), seen.new_links(stored, others))
+        store.flag(unique, before=number).write.parquet(f"{base}/flagged")
+        flagged = spark.read.parquet(f"{base}/flagged")
+        flagged.filter("NOT is_known").drop("link", "is_known", "has_entry").write.mode("overwrite").parquet(
+            f"{output}/batch={number}")
+        store.append(number, seen.entry_rows(flagged.filter("NOT has_entry"), day), store.fresh_links(others, before=number))
         discard(spark, base)
 
     return write
