@@ -312,6 +312,8 @@ ORACLES: dict[str, str] = {
         QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, company, ord) <= 10""",
     "company_top3": f"""{_MATCHED}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, company, ord) AS place
         FROM matched WHERE score >= 30) SELECT query_id, CAST(place AS INTEGER) AS place, ord, score FROM r WHERE place <= 3""",
+    "company_counts": f"""{_MATCHED} SELECT query_id, count(*) AS n, max(score) AS best, count(*) FILTER (WHERE score <= 70) AS n_by_words
+        FROM matched WHERE score >= 30 GROUP BY query_id""",
     "company_ranking": f"""{_MATCHED} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, company, ord) AS place, ord, score
         FROM matched WHERE score >= 75""",
     "salary_benchmark": f"""WITH {_BENCH} SELECT company, upper(seg[1]) || seg[2:] AS label, coalesce(CAST(cnt AS VARCHAR), '-') AS count_shown,

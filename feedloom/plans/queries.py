@@ -131,7 +131,7 @@ def rank_writeback(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = SeenStore(spark, workspace(spark, "ranked"))
     text_of = lambda name: F.lit(None).cast("string").alias(name)
     entries = docs.select(
-        F.col("doc_id").cast("string").alias("stored_key"), F.substring("text", 1, 40).alias("title"),
+        F.col("doc_id").cast("string").alias("stored_key"), F.col("text").alias("title"),
         F.col("source").alias("company"), text_of("url"), F.lit(TODAY).alias("first_seen"), text_of("fit"),
         F.lit("new").alias("status"), text_of("portal"))
     store.append(0, entries, spark.createDataFrame([], LINK_SCHEMA))
@@ -364,15 +364,26 @@ def company_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("ord", "company", "city", "score")
 
 
+# Matches a query gets in ``company_match``; ``lookup.match_companies`` gives all of them.
+BEST_MATCHES = 10
+
+
 def company_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten best companies per query."""
-    found = lookup.match_companies(views.company_queries(spark, sf_dir), views.companies(spark, sf_dir))
-    return lookup.top_matches(found, 10, F.col("ord")).select("query_id", "ord", "company", "score")
+    """The best companies per query."""
+    found = lookup.best_companies(
+        views.company_queries(spark, sf_dir), views.companies(spark, sf_dir), BEST_MATCHES, F.col("ord"))
+    return found.select("query_id", "ord", "company", "score")
 
 
 def company_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lookup.best_companies(views.company_queries(spark, sf_dir), views.companies(spark, sf_dir), 3, F.col("ord"))
+    return found.select("query_id", "place", "ord", "score")
+
+
+def company_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many companies each query matches, over all matches."""
     found = lookup.match_companies(views.company_queries(spark, sf_dir), views.companies(spark, sf_dir))
-    return lookup.top_matches(found, 3, F.col("ord")).select("query_id", "place", "ord", "score")
+    return lookup.matches_per_query(found)
 
 
 def company_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -718,7 +729,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         history_upsert, recent_7d, per_portal, top_employers, newest_first, shortlist, request_cap,
         digest_groups, digest_rows, html_escape, source_health,
         normalize_text, normalize_company_text, text_layer_check, sql_functions,
-        company_search, company_match, company_top3, company_ranking, salary_benchmark, salary_dataset,
+        company_search, company_match, company_top3, company_counts, company_ranking, salary_benchmark, salary_dataset,
         sheet_layouts, sheet_reshape, parse_numbers, validate_issues, dataset_import, dup_names, envelope_parse,
         result_files, posting_files, outcome_files, sheet_files, posting_names, outcome_documents, outcome_funnel, gap_sources, skill_gaps, gap_header, followups,
         write_roundtrip, incremental_stream,

@@ -34,8 +34,19 @@ def write_bucketed(rows: DataFrame, path: str, key: str, buckets: int) -> None:
     spark.sql(f"DROP TABLE {name}")
 
 
+def read_folders(spark: SparkSession, base: str, folders: list[str], schema: str) -> DataFrame:
+    """The rows of folders below ``base``."""
+    if not folders:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{base}/{f}" for f in folders])
+
+
 def read_bucketed(spark: SparkSession, base: str, folders: list[str], schema: str, key: str, buckets: int) -> DataFrame:
-    """The rows of folders below ``base``, with their buckets known to Spark."""
+    """The same with their buckets known to Spark, for a join on the key (``with_keys``).
+
+    Not for anything else: where a union of such reads makes an exchange unnecessary, Spark may
+    still decide to read them without their buckets.
+    """
     if not folders:
         return spark.createDataFrame([], schema)
     name = "feedloom_" + hashlib.sha1("\n".join([base, key, str(buckets), schema, *folders]).encode()).hexdigest()
@@ -107,17 +118,19 @@ class KeyedTable:
         buckets = state["buckets"]
         place = F.pmod(F.hash(self.key), F.lit(buckets)).alias("_bucket")
         # Stored first: the rows are read twice, and what they come from may read this table.
-        write_bucketed(incoming.select(*columns), f"{self.path}/{staged}", self.key, buckets)
-        new = read_bucketed(self.spark, self.path, [staged], self.schema, self.key, buckets)
-        held = {f["bucket"]: f for f in state["parts"]["data"]}
+        incoming.select(*columns).write.parquet(f"{self.path}/{staged}")
+        new = read_folders(self.spark, self.path, [staged], self.schema)
+        held: dict[int, list[dict]] = {}
+        for f in state["parts"]["data"]:
+            held.setdefault(f["bucket"], []).append(f)
         met = [r["_bucket"] for r in new.select(place).distinct().collect()]
-        old = self._rows([held[b] for b in met if b in held])
+        old = self._rows([f for b in met for f in held.get(b, [])])
         changed = self._signatures(new).join(
             self._signatures(old).withColumnRenamed("_sign", "_old"), self.key, "left").filter(~F.col("_sign").eqNullSafe(F.col("_old")))
         touched = sorted(r["_bucket"] for r in changed.select(place).distinct().collect())
         if touched:
             some = lambda rows: rows.filter(place.isin(touched))
-            stay = self._rows([held[b] for b in touched if b in held]).join(new.select(self.key).distinct(), self.key, "left_anti")
+            stay = self._rows([f for b in touched for f in held.get(b, [])]).join(new.select(self.key).distinct(), self.key, "left_anti")
             self._replace(stay.select(*columns).unionByName(some(new).select(*columns)), touched, state, note=note)
         elif note is not None and note != state.get("note", {}):
             with self.commits.turn(state["number"] + 1, self.writer) as turn:

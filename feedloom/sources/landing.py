@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.text import title_case
 from feedloom.operators.careers import OUTCOME_STATUSES, STAGES
+from feedloom.operators.dedup import number_in_group
 from feedloom.operators.profiles import PROFILE_SCHEMA, ProfileError, require_valid
 from feedloom.operators.validate import DatasetError, _kind, collect_issues, fail_fast, root_issues
+from feedloom.sources.json_split import elements
 
 ENVELOPES = ["results", "jobs", "data"]
 POSTING_FIELDS = ["title", "company", "url", "location", "profile", "status"]
@@ -159,6 +161,12 @@ def read_seen_document(spark: SparkSession, path: str) -> DataFrame:
     return seen_entries(doc.select(F.explode(seen.try_cast("map<string,variant>")).alias("stored_key", "entry")))
 
 
+def read_large_seen_document(spark: SparkSession, path: str, split_bytes: int | None = None) -> DataFrame:
+    """The same for a store of any size: entries are found in pieces of the document."""
+    found = elements(spark, path, "seen", split_bytes)
+    return seen_entries(found.select(F.col("key").alias("stored_key"), F.col("value").alias("entry")))
+
+
 def seen_entries(rows: DataFrame) -> DataFrame:
     """Typed entries of (stored_key, entry VARIANT)."""
     def text(name: str) -> Column:
@@ -187,6 +195,13 @@ def read_dataset_entries(spark: SparkSession, path: str) -> tuple[DataFrame, Dat
     return doc, entries
 
 
+def read_large_dataset_entries(spark: SparkSession, path: str, split_bytes: int | None = None) -> DataFrame:
+    """Entries (pos, entry) of a data-set document of any size, found in pieces of it."""
+    found = elements(spark, path, "companies", split_bytes)
+    return number_in_group(found.select(F.lit(1).alias("one"), "pos", F.to_json("value").alias("entry")), "one", ["pos"]).select(
+        (F.col("place") + 1).cast("bigint").alias("pos"), F.parse_json("entry").alias("entry"))
+
+
 def read_entry_lines(spark: SparkSession, path: str) -> DataFrame:
     """Entries of a data set kept as JSON lines - the form for large ones.
 

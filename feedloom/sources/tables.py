@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from feedloom.cluster import checkpointed
 from feedloom.operators import seen
 from feedloom.sources import membership
-from feedloom.sources.keyed import BUCKETS, KeyedTable, read_bucketed, with_keys, write_bucketed
+from feedloom.sources.keyed import BUCKETS, KeyedTable, read_bucketed, read_folders, with_keys, write_bucketed
 from feedloom.sources.manifest import GRACE, KEEP, TTL, AlreadyClaimed, Commits, StaleWriter, Turn
 from feedloom.sources.storage import discard, subfolders
 
@@ -73,9 +73,15 @@ class SeenStore:
         return state if state and state["parts"] else {"buckets": self._buckets, "parts": {p: [] for p in self.PARTS}}
 
     def _read(self, part: str, before: int | None = None, folders: list[dict] | None = None) -> DataFrame:
+        chosen = self._state(before)["parts"][part] if folders is None else folders
+        return read_folders(self.spark, self.path, [f["path"] for f in chosen], self.PARTS[part][1])
+
+    def _with_keys(self, part: str, asked: DataFrame, before: int | None = None, folders: list[dict] | None = None) -> DataFrame:
+        """Rows of a part whose key is asked for (distinct keys); the part isn't moved."""
         state, (key, schema) = self._state(before), self.PARTS[part]
         chosen = state["parts"][part] if folders is None else folders
-        return read_bucketed(self.spark, self.path, [f["path"] for f in chosen], schema, key, state["buckets"])
+        return with_keys(read_bucketed(
+            self.spark, self.path, [f["path"] for f in chosen], schema, key, state["buckets"]), asked, key)
 
     def entries(self, before: int | None = None) -> DataFrame:
         """Committed entries; ``before`` shows the state a given batch started from."""
@@ -109,20 +115,20 @@ class SeenStore:
         maybe = checkpointed(membership.ask(
             pool.select("dedup_key"), "dedup_key", filters, [(f["seed"], f["blocks"]) for f in folders]))
         hit = {r["seed"] for r in maybe.select("seed").distinct().collect()}  # at most one a folder
-        keys = self._read("keys", before, [f for f in folders if f["seed"] in hit])
-        found = with_keys(keys, maybe.select("dedup_key").distinct(), "dedup_key").groupBy("dedup_key").agg(
-            F.max("is_entry").alias("_entry"))
+        found = self._with_keys(
+            "keys", maybe.select("dedup_key").distinct(), before, [f for f in folders if f["seed"] in hit]
+        ).groupBy("dedup_key").agg(F.max("is_entry").alias("_entry"))
         return pool.join(found, "dedup_key", "left").withColumns({
             "is_known": F.col("_entry").isNotNull(), "has_entry": F.coalesce("_entry", F.lit(False))}).drop("_entry")
 
     def fresh_links(self, others: DataFrame, before: int | None = None) -> DataFrame:
         """Alternates (``dedup_key, portal, url``) that their keys lack, as rows to append."""
         asked = others.select(F.col("dedup_key").alias("stored_key")).distinct()
-        return seen.new_links(with_keys(self.links(before), asked, "stored_key"), others)
+        return seen.new_links(self._with_keys("links", asked, before), others)
 
     def of_keys(self, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Entries and links of some keys (``stored_key``, distinct), without moving the rest."""
-        return with_keys(self.entries(), keys, "stored_key"), with_keys(self.links(), keys, "stored_key")
+        return self._with_keys("entries", keys), self._with_keys("links", keys)
 
     def keys_since(self, batch: int) -> DataFrame:
         """``stored_key`` of everything that batches after ``batch`` added to (merged folders: and maybe more)."""
@@ -155,7 +161,7 @@ class SeenStore:
         write_bucketed(rows.select(*columns), f"{self.path}/{folder['path']}", key, state["buckets"])
         if part == "keys":
             folder["filter"] = folder["path"].replace("keys/", "filters/")
-            keys = read_bucketed(self.spark, self.path, [folder["path"]], schema, key, state["buckets"])
+            keys = read_folders(self.spark, self.path, [folder["path"]], schema)
             folder["seed"], folder["blocks"] = membership.new_seed(), membership.blocks_for(keys.count())
             write_bucketed(membership.build(keys, key, folder["seed"], folder["blocks"]), f"{self.path}/{folder['filter']}",
                            "spot", state["buckets"])

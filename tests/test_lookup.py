@@ -48,6 +48,44 @@ def test_blocking_loses_nothing_and_repeats_nothing(spark, shuffle):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
 
 
+@pytest.mark.parametrize("k, first, floor", [(1, None, 30), (3, 1, 30), (10, None, 30), (4, 2, 60), (3, None, 75)])
+def test_best_companies_are_the_first_of_all_matches(spark, k, first, floor):
+    rnd = random.Random(k)
+    town = lambda: rnd.choice([None, "Køge", "Aarhus", "København 2"])
+    long = " ".join(f"{w}{i}" for i, w in enumerate(WORDS[:9]))
+    queries = spark.createDataFrame(
+        [(i, q, rnd.choice([None, None, "kobenhavn", "århus"])) for i, q in enumerate([*names_of(rnd, 60), long + " tech novo", "", "x1 ørsted so"])],
+        "query_id int, query string, city string")
+    companies = spark.createDataFrame(
+        [(i, c, town()) for i, c in enumerate([*names_of(rnd, 250), long, long + " bank", "møller moller bank"])], "ord int, company string, city string")
+    got = lookup.best_companies(queries, companies, k, F.col("ord"), min_score=floor, first=first)
+    want = lookup.top_matches(lookup.match_companies(queries, companies, min_score=floor), k, F.col("ord"))
+    as_rows = lambda df: sorted(map(tuple, df.select("query_id", "place", "ord", "company", "city", "score").collect()), key=repr)
+    assert as_rows(got) == as_rows(want)
+
+
+def test_common_words_do_not_multiply_pairs(spark):
+    """All companies share a word with the query; only the heads of the lists meet it."""
+    companies = spark.range(5000).select(F.col("id").cast("int").alias("ord"), F.concat(F.lit("Common Trade "), F.col("id")).alias("company"))
+    queries = spark.createDataFrame([(1, "quite common"), (2, "trade common other")], "query_id int, query string")
+    met = []
+    real = lookup.names.score_parts
+    lookup.names.score_parts = lambda q, n: met.append(1) or real(q, n)
+    try:
+        got = lookup.best_companies(queries, companies, 3, F.col("ord"))
+    finally:
+        lookup.names.score_parts = real
+    rows = sorted(map(tuple, got.select("query_id", "place", "ord", "score").collect()))
+    first = sorted(range(5000), key=lambda i: f"Common Trade {i}")[:3]
+    assert rows == [(1, p, o, 50) for p, o in enumerate(first, 1)] + [(2, p, o, 56) for p, o in enumerate(first, 1)]
+    assert len(met) <= 4  # grams, long names twice, one round of lists
+
+
+def test_counts_of_matches(spark):
+    matches = spark.createDataFrame([(1, 100), (1, 70), (1, 50), (2, 75)], "query_id int, score int")
+    assert sorted(map(tuple, lookup.matches_per_query(matches).collect())) == [(1, 3, 100, 2), (2, 1, 75, 0)]
+
+
 def test_single_search_equals_batch_and_city(spark):
     companies = spark.createDataFrame([(1, "Novo Nordisk A/S", "København"), (2, "Novo Tech", None), (3, "Other", "København")], "ord int, company string, city string")
     found = lookup.ordered(lookup.search_company(companies, "Novo"), F.col("ord")).collect()
