@@ -21,20 +21,27 @@ is not.  An item shorter than a window is one window of its own length.
 The benchmark is the query set: its window hashes go to the tasks in blocks of bounded size,
 and only windows that hit one leave the scan of the documents.
 
-Defined cases: a null text has no tokens; items without tokens are found nowhere; repeated
-documents are each reported, repeated items as well; empty tables give no rows.
+Windows are brought together by row, not by the caller's id, so rows that share an id (or have
+none) can't lend each other a part of an item.
+
+Defined cases: a null text has no tokens; items without tokens are found nowhere; rows with one
+id are each reported, rows equal in every column once, and repeated items once for their id;
+empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from feedloom.llm.common import attach, scratch
 
@@ -42,6 +49,8 @@ WINDOW = 5
 COVERAGE = 0.8
 # Benchmark windows that are sent to the tasks at a time (8 bytes each).
 BLOCK = 2_000_000
+# Characters of text that are made into tokens at a time.
+STRETCH = 1_000_000
 # Units that may follow a number.
 UNITS = frozenset("""
     mm cm m km in inch inches ft foot feet yd yard yards mi mile miles
@@ -112,18 +121,36 @@ class _Vocabulary(dict):
 _KNOWN = _Vocabulary()
 
 
-def canonical(text: str | None) -> tuple[list[str], np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Raw tokens, places of those that are no stops, and their kinds and hashes in the three forms.
+@dataclass
+class Tokens:
+    """Template tokens of a run of texts, one after the other.
 
-    The forms: names kept; names inside a sentence replaced; all capitalised words and number words replaced.
+    ``places`` are the raw tokens that are no stops, ``first`` where each text's places start (and
+    the end of the last), ``forms`` kinds and hashes of the places in the three forms: names kept;
+    names inside a sentence replaced; all capitalised words and number words replaced.  A form
+    without a slot of its own is the first one.
     """
+
+    raw: list[str]
+    places: np.ndarray
+    first: np.ndarray
+    forms: list[tuple[np.ndarray, np.ndarray]]
+
+
+def canonical(texts: list[str | None]) -> Tokens:
     if len(_KNOWN) > _Vocabulary.LIMIT:
         _KNOWN.clear()
-    raw = _TOKEN.findall(text or "")
+    each = [_TOKEN.findall(t) if t else [] for t in texts]
+    ends = np.cumsum([len(r) for r in each])
+    raw = list(chain.from_iterable(each))
     numbers = np.fromiter(map(_KNOWN.__getitem__, raw), np.int64, len(raw))
     kinds, hashes = _KNOWN.kinds[numbers], _KNOWN.hashes[numbers]
-    before = np.concatenate((np.array([_STOP], np.int8), kinds[:-1]))[:len(raw)]
+    before = np.empty_like(kinds)
+    before[1:] = kinds[:-1]
+    starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
+    before[starts[starts < len(raw)]] = _STOP
     places = np.flatnonzero(kinds != _STOP)
+    first = np.searchsorted(places, np.concatenate((starts, [len(raw)])))
     kinds, hashes, before = kinds[places], hashes[places], before[places]
     capitals, counts = (kinds == _CAPITAL) | (kinds == _CAPITAL_COUNT), kinds >= _COUNT
     after_count = (kinds == _UNIT) & (before >= _COUNT)
@@ -140,7 +167,7 @@ def canonical(text: str | None) -> tuple[list[str], np.ndarray, list[tuple[np.nd
     for slots in ([(_CAPITAL, capitals & (before != _STOP))],
                   [(_CAPITAL, capitals & ~counts), (_NUMBER, counts), (_UNIT, after_count)]):
         forms.append(typed(plain, *slots) if any(here.any() for _, here in slots) else plain)
-    return raw, places, forms
+    return Tokens(raw, places, first, forms)
 
 
 def _rolled(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -148,40 +175,66 @@ def _rolled(hashes: np.ndarray, size: int) -> np.ndarray:
     count = len(hashes) - size + 1
     rolled = np.full(count, size, dtype=np.uint64)
     for k in range(size):
-        rolled = (rolled * _MIX) ^ hashes[k:k + count]
+        rolled *= _MIX
+        rolled ^= hashes[k:k + count]
         rolled ^= rolled >> np.uint64(29)
     return rolled
 
 
-def _windows(text: str | None, sizes: list[int], wanted: np.ndarray | None) -> list[dict]:
-    """The windows of a text, or those whose hash is in ``wanted`` (sorted)."""
-    raw, places, forms = canonical(text)
-    out = []
-    for size in sizes:
-        if len(places) < size:
+class Wanted:
+    """A set of hashes; most others are turned away by their first bits."""
+
+    BITS = 22
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.sort(hashes)
+        self.near = np.zeros(1 << self.BITS, bool)
+        self.near[self.hashes >> np.uint64(64 - self.BITS)] = True
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """Where in ``hashes`` the set's are."""
+        near = np.flatnonzero(self.near[hashes >> np.uint64(64 - self.BITS)])
+        at = np.searchsorted(self.hashes, hashes[near])
+        at[at == len(self.hashes)] = 0
+        return near[self.hashes[at] == hashes[near]]
+
+
+def _windows(texts: list[str | None], sizes: list[int] | None, wanted: Wanted | None, window: int = WINDOW) -> list[list[dict]]:
+    """For every text its windows, or those whose hash is in ``wanted``.
+
+    Without ``sizes`` a text's windows have the length ``window``, or its own if it is shorter.
+    """
+    found = canonical(texts)
+    lengths = np.diff(found.first)
+    text_of = np.repeat(np.arange(len(texts)), lengths)
+    out: list[list[dict]] = [[] for _ in texts]
+    for size in sizes if sizes is not None else sorted({min(window, int(n)) for n in lengths if n}):
+        if len(found.places) < size:
             continue
-        done = []
-        for form, (kinds, tokens) in enumerate(forms):
-            if form and tokens is forms[0][1]:
+        inside = text_of[:len(text_of) - size + 1] == text_of[size - 1:]
+        if sizes is None and size < window:
+            inside &= lengths[text_of[:len(inside)]] == size
+        done: list[np.ndarray] = []
+        for form, (kinds, tokens) in enumerate(found.forms):
+            if form and tokens is found.forms[0][1]:
                 continue
             hashes = _rolled(tokens, size)
-            here = np.ones(len(hashes), bool)
+            here = np.flatnonzero(inside) if wanted is None else wanted.places(hashes)
+            here = here[inside[here]]
             for other in done:
-                here &= hashes != other
+                here = here[hashes[here] != other[here]]
             done.append(hashes)
-            if wanted is not None:
-                at = np.searchsorted(wanted, hashes)
-                at[at == len(wanted)] = 0
-                here &= wanted[at] == hashes
-            for i in np.flatnonzero(here).tolist():
+            for i in here.tolist():
                 template, slots = [], []
                 for k in range(i, i + size):
-                    kind, token = int(kinds[k]), raw[places[k]].lower()
+                    kind, token = int(kinds[k]), found.raw[found.places[k]].lower()
                     template.append(_PLACEHOLDERS.get(kind, token))
                     if kind != _WORD:
                         slots.append(f"{kind}:{COUNTS.get(token, token) if kind == _NUMBER else token}")
-                out.append({"pos": i, "n_tokens": len(places), "hash": int(hashes[i].astype(np.int64)),
-                            "template": " ".join(template), "slots": slots, "form": form})
+                text = int(text_of[i])
+                out[text].append({
+                    "pos": i - int(found.first[text]), "n_tokens": int(lengths[text]), "hash": int(hashes[i].astype(np.int64)),
+                    "template": " ".join(template), "slots": slots, "form": form})
     return out
 
 
@@ -190,47 +243,86 @@ def item_windows(items: DataFrame, text: str = "text", window: int = WINDOW) ->
 
     @F.arrow_udf(_WINDOW_TYPE)
     def cut(texts: pa.Array) -> pa.Array:
-        rows = []
-        for t in texts.to_pylist():
-            n = len(canonical(t)[1])
-            rows.append(_windows(t, [min(window, n)], None) if n else [])
-        return pa.array(rows, pa.list_(WINDOWS))
+        return pa.array(_windows(texts.to_pylist(), None, None, window), pa.list_(WINDOWS))
 
     return items.select(F.struct("*").alias("item"), F.explode(cut(F.col(text).cast("string"))).alias("w")).select(
         "item", "w.*")
 
 
+def _stretches(texts: pa.Array) -> Iterator[list[str | None]]:
+    """The texts in runs of about ``STRETCH`` characters."""
+    run, size = [], 0
+    for t in texts:
+        run.append(t.as_py())
+        size += len(run[-1] or "")
+        if size >= STRETCH:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
+def row_identity(every: list[Column]) -> list[Column]:
+    """Two hashes of a whole row: ``d1, d2``."""
+    return [F.xxhash64(F.lit(5), *every).alias("d1"), F.xxhash64(F.lit(6), *every).alias("d2")]
+
+
 def _matching(docs: DataFrame, text: Column, hashes: np.ndarray, sizes: list[int]) -> DataFrame:
-    wanted = docs.sparkSession.sparkContext.broadcast(np.sort(hashes.view(np.uint64)))
+    sent = docs.sparkSession.sparkContext.broadcast(hashes.view(np.uint64))
 
     @F.arrow_udf(_WINDOW_TYPE)
     def hits(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        wanted = Wanted(sent.value)
         for texts in batches:
-            yield pa.array([_windows(t.as_py(), sizes, wanted.value) for t in texts], pa.list_(WINDOWS))
+            rows = [found for run in _stretches(texts) for found in _windows(run, sizes, wanted)]
+            yield pa.array(rows, pa.list_(WINDOWS))
+
+    return docs.withColumn("w", F.explode(hits(text))).select("d1", "d2", "doc", "w.*")
+
 
-    return docs.withColumn("w", F.explode(hits(text))).select("doc", "w.*")
+_ALIGNMENT = ["d1", "d2", "item_key", "start"]
 
 
-def _mixed_up(values: Column) -> Column:
-    """Whether values of a kind are mostly kept, and another one stands for a kept one or in its place.
+def _levels(pairs: DataFrame) -> DataFrame:
+    """For every alignment with slots the form with the most slots that is not mixed up (-1: none is).
 
-    New values may fall together or apart by chance; that alone is no contradiction.
+    Values of a kind are mixed up, if they are mostly kept and another one stands for a kept one or
+    in its place.  New values may fall together or apart by chance; that alone is no contradiction.
     """
-    found = F.lit(False)
-    for prefix in (f"{kind}:" for kind in _PLACEHOLDERS):
-        mine = F.filter(values, lambda v: v["item_slots"].startswith(prefix))  # noqa: B023
-        kept = F.filter(mine, lambda v: v["item_slots"] == v["slots"])
-        changed = F.filter(mine, lambda v: v["item_slots"] != v["slots"])
-        touched = F.concat(changed.getField("item_slots"), changed.getField("slots"))
-        found = found | ((F.size(kept) > F.size(changed)) & F.arrays_overlap(kept.getField("slots"), touched))
-    return found
+    value = F.explode(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))).alias("v")
+    values = (
+        pairs.select(*_ALIGNMENT, "form", value).select(*_ALIGNMENT, "form", "v.a", "v.b").repartition(*_ALIGNMENT)
+        .groupBy(*_ALIGNMENT, "a", "b").agg(F.min("form").alias("f"))
+    )
+    # One row a value: the first form in which it is kept, and in which it takes part in a change.
+    same, none = F.col("a") == F.col("b"), F.lit(None).cast("int")
+    side = lambda v, kept, changed, first: F.struct(
+        v.alias("value"), kept.alias("kept"), changed.alias("changed"), F.lit(first).alias("first"))
+    sides = F.when(same, F.array(side(F.col("a"), F.col("f"), none, 1))).otherwise(
+        F.array(side(F.col("a"), none, F.col("f"), 1), side(F.col("b"), none, F.col("f"), 0)))
+    forms = range(3)
+    upto = lambda c, form: F.sum(F.when((F.col("s.first") == 1) & (F.col(f"s.{c}") <= form), 1).otherwise(0))
+    touched = (
+        values.select(*_ALIGNMENT, F.substring("a", 1, 2).alias("kind"), F.explode(sides).alias("s"))
+        .groupBy(*_ALIGNMENT, "kind", "s.value").agg(
+            F.greatest(F.min("s.kept") + 0 * F.min("s.changed"), F.min("s.changed") + 0 * F.min("s.kept")).alias("clash"),
+            *[upto(c, k).alias(f"{c}_{k}") for c in ("kept", "changed") for k in forms])
+    )
+    kinds = touched.groupBy(*_ALIGNMENT, "kind").agg(
+        F.min("clash").alias("clash"), *[F.sum(f"{c}_{k}").alias(f"{c}_{k}") for c in ("kept", "changed") for k in forms])
+    mixed = [F.max(F.coalesce((F.col(f"kept_{k}") > F.col(f"changed_{k}")) & (F.col("clash") <= k), F.lit(False))).alias(f"mixed_{k}")
+             for k in forms]
+    return kinds.groupBy(*_ALIGNMENT).agg(*mixed).select(
+        *_ALIGNMENT, F.when(~F.col("mixed_2"), 2).when(~F.col("mixed_1"), 1).when(~F.col("mixed_0"), 0).otherwise(-1).alias("level"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, doc: Column, item: Column, text: str = "text",
-                 item_text: str = "text", window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
+                 item_text: str = "text", window: int = WINDOW, coverage: float = COVERAGE, mixed: bool = False) -> DataFrame:
     """Pairs ``doc, item, coverage, n_slots`` (``doc`` and ``item`` as the columns given).
 
     ``coverage`` is the share of the item's tokens that the best place of the document covers.
+    With ``mixed``, pairs whose windows cover an item but whose values are mixed up are there as
+    well, and a column ``consistent`` tells them apart.
     """
     cut = item_windows(items.select(item.alias("item_id"), F.col(item_text).cast("string").alias("item_text")),
                        "item_text", window)
@@ -240,7 +332,8 @@ def contaminated(docs: DataFrame, items: DataFrame, doc: Column, item: Column, t
     distinct = bench.select("hash").distinct()
     sizes = sorted(r["size"] for r in bench.select(F.least("n_tokens", F.lit(window)).alias("size")).distinct().collect())
     blocks = max(1, -(-distinct.count() // BLOCK))
-    texts = docs.select(doc.alias("doc"), F.col(text).cast("string").alias("t"))
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    texts = docs.select(*row_identity(every), doc.alias("doc"), F.col(text).cast("string").alias("t"))
     found = None
     for block in range(blocks):
         part = distinct.filter(F.pmod("hash", F.lit(blocks)) == block).toArrow()["hash"].to_numpy()
@@ -249,52 +342,51 @@ def contaminated(docs: DataFrame, items: DataFrame, doc: Column, item: Column, t
         hits = _matching(texts, F.col("t"), part, sizes)
         found = hits if found is None else found.unionByName(hits)
     if found is None:
-        return texts.crossJoin(F.broadcast(bench.select("item").limit(0))).select(
-            "doc", "item", F.lit(0.0).alias("coverage"), F.lit(0).cast("long").alias("n_slots"))
-    found = scratch(found, "hits")
+        schema = StructType([texts.schema["doc"], bench.schema["item"], StructField("coverage", DoubleType()),
+                             StructField("n_slots", LongType()), *([StructField("consistent", BooleanType())] if mixed else [])])
+        return docs.sparkSession.createDataFrame([], schema)
     mine = bench.select("hash", "template", "item_key", "item", F.col("n_tokens").alias("length"),
                         F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), F.col("form").alias("item_form"))
-    pairs = attach(found, mine, ["hash", "template"])
     # Windows at one offset are one alignment; it is judged alone, and a wrong offset has no say about the right one.
-    alignment = ["doc", "item_key", "item", "length", "start"]
-    aligned = (
-        pairs.select("doc", "item_key", "item", "length", (F.col("pos") - F.col("item_pos")).alias("start"),
-                     F.struct(F.greatest("form", "item_form").alias("form"), "item_pos", "item_slots",
-                              F.arrays_zip("item_slots", "slots").alias("values")).alias("hit"))
-        .groupBy(*alignment).agg(F.collect_set("hit").alias("hits"))
-    )
-    # The form with the most slots that is not mixed up, together with those before it.
-    upto = [F.array_distinct(F.flatten(F.filter("hits", lambda h: h["form"] <= form).getField("values")))  # noqa: B023
-            for form in range(3)]
-    judged = aligned.withColumns({f"values_{k}": v for k, v in enumerate(upto)}).withColumn(
-        "level", F.coalesce(*[F.when(~_mixed_up(F.col(f"values_{k}")), F.lit(k)) for k in (2, 1, 0)], F.lit(-1)))
-    kept = F.filter("hits", lambda h: (h["form"] <= F.col("level")) | (F.size(h["item_slots"]) == 0))
+    pairs = scratch(attach(scratch(found, "hits"), mine, ["hash", "template"]).select(
+        "d1", "d2", "doc", "item_key", "item", "length", (F.col("pos") - F.col("item_pos")).alias("start"),
+        F.greatest("form", "item_form").alias("form"), "item_pos", "item_slots", "slots"), "pairs")
+    levels = scratch(_levels(pairs), "levels")
+    kept = (F.size("item_slots") == 0) | (F.col("form") <= F.coalesce("level", F.lit(2)))
     # A place is a stretch of the item's length; two sets of stretches, so that one holds a copy whole.
     half = F.col("length").cast("double") / 2
     places = F.array(*[F.struct(F.lit(k).alias("set"), F.floor((F.col("start") + half * k) / F.col("length")).alias("at"))
                        for k in (0, 1)])
-    placed = judged.select("doc", "item_key", "item", "length", F.explode(places).alias("place"), kept.alias("hits"))
-    covered = F.size(F.array_distinct(F.flatten(F.transform(
-        F.col("at"), lambda p: F.sequence(p, p + F.least(F.col("length"), F.lit(window)) - 1)))))
-    return (
-        placed.select("doc", "item_key", "item", "length", "place", F.explode("hits").alias("hit"))
-        .groupBy("doc", "item_key", "item", "length", "place").agg(
-            F.collect_set("hit.item_pos").alias("at"),
-            F.size(F.array_distinct(F.flatten(F.collect_set("hit.item_slots")))).alias("n_slots"))
-        .withColumn("coverage", covered / F.col("length"))
-        .filter(F.col("coverage") >= coverage)
-        .groupBy("doc", "item_key", "item").agg(F.max("coverage").alias("coverage"),
-                                                F.max("n_slots").cast("long").alias("n_slots"))
-        .select("doc", "item", "coverage", "n_slots")
-    )
+    whose = ["d1", "d2", "doc", "item_key", "item"]
+    placed = pairs.join(levels, _ALIGNMENT, "left").select(
+        *whose, "length", "item_pos", "item_slots", kept.alias("kept"), F.explode(places).alias("place"))
+    if not mixed:
+        placed = placed.filter("kept")
+    spots = placed.groupBy(*whose, "length", "place").agg(
+        F.collect_set("item_pos").alias("all_at"), F.collect_set(F.when(F.col("kept"), F.col("item_pos"))).alias("at"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("item_slots")))).alias("n_slots"))
+
+    def share(starts: str) -> Column:
+        tokens = F.transform(starts, lambda p: F.sequence(p, p + F.least(F.col("length"), F.lit(window)) - 1))
+        return F.size(F.array_distinct(F.flatten(tokens))) / F.col("length")
+
+    judged = spots.withColumn("share", share("at")).withColumn("all_share", share("all_at")).filter(F.col("all_share") >= coverage)
+    consistent = F.col("share") >= coverage
+    out = judged.groupBy(*whose).agg(
+        F.max("share").alias("share"), F.max("all_share").alias("all_share"),
+        F.max(F.when(consistent, F.col("n_slots"))).alias("n"), F.max("n_slots").alias("all_n"))
+    return out.select(
+        "doc", "item", F.when(consistent, F.col("share")).otherwise(F.col("all_share")).alias("coverage"),
+        F.when(consistent, F.col("n")).otherwise(F.col("all_n")).cast("long").alias("n_slots"),
+        *([consistent.alias("consistent")] if mixed else []))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text",
                   **options) -> DataFrame:
-    """``docs`` without the rows that contain an item."""
+    """``docs`` without the rows that contain an item, with consistent values or mixed up."""
     every = [F.col(f"`{c}`") for c in docs.columns]
-    identity = F.struct(F.xxhash64(F.lit(5), *every).alias("d1"), F.xxhash64(F.lit(6), *every).alias("d2"))
-    bad = scratch(contaminated(docs, items, identity, F.lit(0), text, item_text, **options)
+    identity = F.struct(*row_identity(every))
+    bad = scratch(contaminated(docs, items, identity, F.lit(0), text, item_text, mixed=True, **options)
                   .select("doc.*").distinct(), "leaks")
     rows = docs.select(F.struct("*").alias("row"), identity.alias("doc")).select("row", "doc.*")
     return attach(rows, bad, ["d1", "d2"], "left_anti").select("row.*")

@@ -70,8 +70,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
-    pairs = decontamination.contaminated(docs, items, F.col("doc_id"), F.col("item_id"))
-    return pairs.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "coverage", "n_slots")
+    pairs = decontamination.contaminated(docs, items, F.col("doc_id"), F.col("item_id"), mixed=True)
+    return pairs.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "coverage", "n_slots", "consistent")
 
 
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
