@@ -15,7 +15,9 @@ suffix begins like no other's are done.  For the others:
 * a bucket of more than ``BUCKET`` distinct surroundings is first divided: a window reaches
   either its first or its second half of offsets, and all windows of a half share more bytes.
 
-Every decision compares bytes or two independent 64-bit hashes.
+Every decision compares bytes or two independent 64-bit hashes.  Keys of more than ``HOT`` rows (one
+passage in a third of all documents) are met by broadcasting the counted keys, so that their rows
+stay in the tasks that hold their documents.
 
 Defined cases: a null text is empty; a text shorter than ``length`` loses nothing; equal rows
 lose everything if long enough; an empty table gives no rows.
@@ -31,11 +33,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import scratch
+from feedloom.cluster import fits_broadcast
+from feedloom.llm.common import attach, scratch
 
 LENGTH = 400
 BUCKET = 128
 SHALLOW = 24
+# Keys of more rows are joined without dealing their rows by key alone.
+HOT = 2_000
+SALTS = 64
 _GRAM = 8
 _PIECE = 1 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -291,6 +297,35 @@ def _sorted_repeats(rows: DataFrame, length: int) -> DataFrame:
         sort_buckets, "d1 long, d2 long, start long, stop long")
 
 
+def _hot(keys: DataFrame, on: list[str], size: str) -> DataFrame | None:
+    """Keys of more than ``HOT`` rows, for a broadcast; None where there are too many of them for that."""
+    hot = keys.filter(F.col(size) > HOT).select(*on)
+    return F.broadcast(hot) if fits_broadcast(hot) else None
+
+
+def _meeting(rows: DataFrame, keys: DataFrame, on: list[str], size: str) -> DataFrame:
+    """Stored rows whose key is in ``keys`` (stored, distinct, with the key's number of rows).
+
+    Rows of hot keys stay where they are; the others are dealt by key.
+    """
+    hot = _hot(keys, on, size)
+    if hot is None:
+        return rows.join(keys.select(*on), on)
+    rest = rows.join(hot, on, "left_anti").join(keys.filter(F.col(size) <= HOT).select(*on), on)
+    return rows.join(hot, on).unionByName(rest)
+
+
+def _salted(rows: DataFrame, keys: DataFrame, on: str, size: str) -> DataFrame:
+    """The same for rows that are worked out on the way: hot keys are dealt by a salt as well."""
+    hot = _hot(keys, [on], size)
+    if hot is None:
+        return rows.join(keys.select(on), on)
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("d1", "d2", "pos"), F.lit(SALTS))).otherwise(0).cast("int")
+    salted = rows.join(hot.withColumn("_hot", F.lit(True)), on, "left").withColumn("_salt", salt).drop("_hot")
+    salts = F.sequence(F.lit(0), F.when(F.col(size) > HOT, F.lit(SALTS - 1)).otherwise(0))
+    return salted.join(keys.select(on, F.explode(salts).alias("_salt")), [on, "_salt"]).drop("_salt")
+
+
 def _bytes_of(lo: Column, hi: Column, length: int) -> Column:
     """What all windows that start between ``lo`` and ``hi`` bytes before the anchor share."""
     return F.concat(F.substring(
@@ -301,17 +336,17 @@ def repeat_spans(docs: DataFrame, data: Column, length: int = LENGTH, bucket: in
     """Spans ``d1, d2, start, stop`` whose union is what repeats; ``docs`` has ``d1, d2``."""
     reach, _ = reach_of(length)
     found = _anchor_rows(docs, data, length)
-    shared = scratch(found.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > 1).select("h"), "shared")
-    alive = scratch(found.join(shared, "h"), "anchors")
+    shared = scratch(found.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > 1), "shared")
+    alive = scratch(_salted(found, shared, "h", "m"), "anchors")
     by_context = scratch(
         alive.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d1", "d2", "pos", "left", "right")).alias("one")),
         "contexts")
-    whole = alive.join(by_context.filter(F.col("n") > 1).select("h", "c"), ["h", "c"]).filter(
+    whole = _meeting(alive, by_context.filter(F.col("n") > 1), ["h", "c"], "n").filter(
         F.col("left") + F.col("right") >= length).select(
         "d1", "d2", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right")).alias("stop"))
     mixed = by_context.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.max(F.col("n") == 1).alias("open")).filter(
-        (F.col("m") > 1) & F.col("open")).select("h")
-    wanted = by_context.join(mixed, "h").select("h", "c", "n", "one.*")
+        (F.col("m") > 1) & F.col("open")).select("h", "m")
+    wanted = _meeting(by_context, scratch(mixed, "mixed"), ["h"], "m").select("h", "c", "n", "one.*")
     rows = scratch(
         _surroundings(docs, data, wanted).select(
             "d1", "d2", "pos", "n", "before", "after", F.col("h").alias("bucket"),
@@ -323,8 +358,8 @@ def repeat_spans(docs: DataFrame, data: Column, length: int = LENGTH, bucket: in
         if large.isEmpty():
             spans.append(_sorted_repeats(rows, length))
             break
-        spans.append(_sorted_repeats(rows.join(large, "bucket", "left_anti"), length))
-        rows, settled = _divided(rows.join(large, "bucket", "left_semi"), length)
+        spans.append(_sorted_repeats(attach(rows, large, "bucket", "left_anti"), length))
+        rows, settled = _divided(attach(rows, large, "bucket", "left_semi"), length)
         spans.append(settled)
     out = spans[0]
     for more in spans[1:]:
@@ -354,12 +389,12 @@ def _divided(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
         F.count(F.lit(1)).alias("k"), F.max("n").alias("n"), F.min(F.struct("d1", "d2", "pos", "before", "after")).alias("one"),
         F.min("lo").alias("lo"), F.min("hi").alias("hi"))
     alike = scratch(alike, "alike")
-    settled = split.join(alike.filter(F.col("k") > 1).select("bucket", "all"), ["bucket", "all"]).filter(
+    settled = _meeting(split, alike.filter(F.col("k") > 1), ["bucket", "all"], "k").filter(
         F.col("all.l") + F.col("all.r") >= length).select(
         "d1", "d2", (F.col("pos") - F.col("all.l")).alias("start"), (F.col("pos") + F.col("all.r")).alias("stop"))
-    partners = alike.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > 1).select("bucket")
+    partners = scratch(alike.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > 1).select("bucket"), "partners")
     # A row that stands for several is only there to be compared with.
-    on = alike.join(partners, "bucket", "left_semi").select(
+    on = attach(alike, partners, "bucket", "left_semi").select(
         "one.*", F.when(F.col("k") > 1, 2).otherwise(F.col("n")).cast("long").alias("n"), "bucket", "lo", "hi")
     single = on.filter(F.col("lo") < F.col("hi"))
     return scratch(single.select("d1", "d2", "pos", "n", "before", "after", "bucket", "lo", "hi"), "surroundings"), settled
