@@ -13,21 +13,23 @@ the page that is judged.  Weights are summed as millionths, so reruns agree exac
 
 Defined cases: a page without text, address or markup language lacks that piece of evidence
 and is judged by the others (by the prior of all pages if it has none); addresses without a
-host form no group; repeated rows count each; an empty table gives no rows.
+host form no group; repeated rows count each; an empty table gives no rows; without labelled
+documents every language is null.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import attach, bounded_sample, scratch
+from feedloom.llm.common import attach, scratch
 
 FIT_DOCUMENTS = 1000
 FIT_BYTES = 20_000
@@ -39,19 +41,68 @@ DECLARED_STRENGTH = 5.0
 _UNIT = 1_000_000
 _PIECE = 1 << 20
 
-_HIDDEN = re.compile(r"<!--.*?-->|<(script|style|nav|template|noscript|head)\b.*?</\1\s*>", re.DOTALL | re.IGNORECASE)
-_TAG = re.compile(r"<[^>]*>")
-_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})\b", re.IGNORECASE)
-_META = re.compile(r"<meta\b[^>]*content-language[^>]*?content\s*=\s*[\"']?([A-Za-z]{2,3})\b", re.IGNORECASE)
+# Comments and elements whose content isn't shown; of an unclosed one of the first three nothing
+# after it is, the others' content counts.
+_OPEN = re.compile(r"<(?:(!--)|(script|style|nav|template|noscript|head)\b)", re.IGNORECASE)
+_CLOSE = {"!--": re.compile("-->")} | {
+    n: re.compile(rf"</{n}\s*+>", re.IGNORECASE) for n in ("script", "style", "nav", "template", "noscript", "head")}
+_TO_THE_END = frozenset({"!--", "script", "style"})
+_HTML, _META = re.compile(r"<html\b", re.IGNORECASE), re.compile(r"<meta\b", re.IGNORECASE)
+_LANG = re.compile(r"\blang\s*+=\s*+[\"']?([A-Za-z]{2,3})\b", re.IGNORECASE)
+_CONTENT = re.compile(r"content\s*+=\s*+[\"']?([A-Za-z]{2,3})\b", re.IGNORECASE)
+_ABOUT_LANGUAGE = re.compile("content-language", re.IGNORECASE)
 
 
 def visible_text(page: str | None) -> str:
-    return html.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", page or "")))
+    """What a reader sees, in one pass: a mark that closes nothing is looked for once."""
+    text, out, at, missing = page or "", [], 0, set()
+    while True:
+        start = text.find("<", at)
+        if start < 0:
+            out.append(text[at:])
+            break
+        out.append(text[at:start])
+        m = _OPEN.match(text, start)
+        name = (m[1] or m[2]).lower() if m else None
+        if name and name not in missing:
+            close = _CLOSE[name].search(text, m.end())
+            if close:
+                out.append(" ")
+                at = close.end()
+                continue
+            missing.add(name)
+            if name in _TO_THE_END:
+                break
+        end = text.find(">", start)
+        if end < 0:
+            out.append(text[start:])
+            break
+        out.append(" ")
+        at = end + 1
+    return html.unescape("".join(out))
 
 
 def declared_language(page: str | None) -> str | None:
-    found = _DECLARED.search(page or "") or _META.search(page or "")
-    return found.group(1).lower() if found else None
+    """What the first ``html`` element declares, else the first ``meta`` element about it."""
+    text = page or ""
+    first = _HTML.search(text)
+    if first:
+        found = _LANG.search(text, first.end(), _end_of_tag(text, first.end()))
+        if found:
+            return found[1].lower()
+    at = 0
+    while meta := _META.search(text, at):
+        at = _end_of_tag(text, meta.end())
+        about = _ABOUT_LANGUAGE.search(text, meta.end(), at)
+        found = about and _CONTENT.search(text, about.end(), at)
+        if found:
+            return found[1].lower()
+    return None
+
+
+def _end_of_tag(text: str, at: int) -> int:
+    end = text.find(">", at)
+    return len(text) if end < 0 else end
 
 
 def _letters() -> np.ndarray:
@@ -95,15 +146,43 @@ class Model:
 
 
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", documents: int = FIT_DOCUMENTS) -> Model:
-    """Trigram tables from at most ``documents`` labelled texts per language."""
-    usable = docs.filter(F.col(label).isNotNull() & (F.octet_length(text) <= FIT_BYTES)).select(
-        F.col(label).cast("string").alias("l"), F.col(text).alias("t"))
-    languages = sorted(r["l"] for r in usable.select("l").distinct().collect())
+    """Trigram tables from at most ``documents`` labelled texts per language.
+
+    One scan counts the texts of every language, one more picks by a hash and adds up trigrams in
+    the tasks; only the sums reach the driver.  Texts beyond ``FIT_BYTES`` are picked only where a
+    language has no shorter one.
+    """
+    rows = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(label).cast("string").alias("l"), F.col(text).cast("string").alias("t"),
+        (F.octet_length(text) <= FIT_BYTES).alias("short"))
+    totals = scratch(rows.groupBy("l").agg(F.count_if("short").alias("n_short"), F.count(F.lit(1)).alias("n")), "languages")
+    languages = sorted(r["l"] for r in totals.select("l").collect())
+    if not languages:
+        return Model([], np.zeros((BUCKETS, 0)))
+    digest = F.xxhash64("t")
+    size = F.when(F.col("n_short") > 0, F.col("n_short")).otherwise(F.col("n"))
+    usable = attach(rows, totals, "l").filter(F.col("short") | (F.col("n_short") == 0))
+    few = usable.filter((size <= documents) | (F.shiftrightunsigned(digest, 1).cast("double") < documents / size * float(2 ** 63)))
+    place = F.row_number().over(Window.partitionBy("l").orderBy(digest))
+    picked = few.select("l", "t", place.alias("place")).filter(F.col("place") <= documents).select("l", "t")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for language, value in zip(batch.column(0), batch.column(1), strict=True):
+                found = trigrams(value.as_py())
+                sums[language.as_py()] = sums.get(language.as_py(), 0) + found
+        for language, found in sums.items():
+            used = np.flatnonzero(found)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([language] * len(used), pa.string()), pa.array(used, pa.int64()), pa.array(found[used], pa.int64())],
+                ["l", "bucket", "n"])
+
+    found = picked.mapInArrow(count, "l string, bucket bigint, n bigint").groupBy("l", "bucket").agg(F.sum("n").alias("n")).toArrow()
     sums = np.zeros((len(languages), BUCKETS), np.float64)
-    for k, language in enumerate(languages):
-        sample = bounded_sample(usable.filter(F.col("l") == language), F.xxhash64("t"), documents)
-        for (t,) in sample.select("t").collect():
-            sums[k] += trigrams(t)
+    at = {language: k for k, language in enumerate(languages)}
+    rows_at = np.array([at[v] for v in found["l"].to_pylist()], np.int64)
+    sums[rows_at, found["bucket"].to_numpy()] = found["n"].to_numpy()
     smooth = sums + 0.5
     return Model(languages, np.log(smooth / smooth.sum(axis=1, keepdims=True)).T.copy())
 
@@ -146,7 +225,14 @@ def identify(pages: DataFrame, model: Model, url: str = "url", page: str = "html
     n = len(model.languages)
     names = [c for c in pages.columns if c != page and c.lower() not in ("host", "suffix", "declared", "text_lang", "lang", "prob")]
     if not n:
-        raise ValueError("no labelled documents")
+        host = host_of(F.col(url).cast("string"))
+        declared = F.arrow_udf("string")(lambda values: pa.array([declared_language(v) for v in values.to_pylist()], pa.string()))
+        suffix = F.regexp_extract(host, r"([^.]+)\.?$", 1)
+        nothing = F.lit(None).cast("string")
+        return pages.select(
+            *[F.col(f"`{c}`") for c in names], host.alias("host"), F.when(F.length(suffix) > 0, suffix).alias("suffix"),
+            declared(F.col(page).cast("string")).alias("declared"), nothing.alias("text_lang"), nothing.alias("lang"),
+            F.lit(None).cast("double").alias("prob"))
     rows = scratch(read_pages(pages, model, url, page), "evidence")
     everything = _sums(rows, None, "all", n).first()["all"]
     declared = _sums(rows, "declared", "declared_sums", n)
