@@ -8,7 +8,8 @@ from the filter again, so the state after a deletion is the state without that d
 A scan of the documents asks the filter only.  The filter has no false negatives, and its
 false positives are found beforehand by asking it for every key of the count table that is not
 due, so the result is exact.  Where filter or false positives are too large to send to every
-task, the lines are joined with the counts instead.
+task, lines travel to the shard of their key and ask there; a shard with very many lines is asked
+in several tasks, as many as the counts say.
 
 Defined cases: a null or empty text is one empty line; an empty key is never dropped; rows are
 documents (repeated rows count each); ``\\r`` belongs to the white space around a line; a text
@@ -18,7 +19,7 @@ all of whose lines are dropped becomes empty; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,12 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.cluster import fits_broadcast
-from feedloom.llm.common import scratch
+from feedloom.llm.common import attach, scratch
 
 MIN_DOCS = 10
 MIN_CHARS = 1
 SHARD_KEYS = 50_000
 FILTER_BYTES = 64 << 20
+# Lines that ask one shard in one task, where shards don't go to all tasks.
+SHARD_LINES = 500_000
 SLOTS = 4
 KICKS = 500
 FILTER_SCHEMA = "shard int, n_shards int, buckets long, full boolean, cells binary"
@@ -237,7 +240,7 @@ def drop_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, mi
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", "kept_text")]
     data = F.encode(F.col(text).cast("string"), "UTF-8")
     if size > filter_bytes:
-        return _dropped_by_join(docs, due, data, kept, min_chars)
+        return _dropped_by_shard(docs, counts, filters, data, min_docs, min_chars)
     test = docs.sparkSession.sparkContext.broadcast(filters.toArrow().to_pylist())
 
     @F.arrow_udf("boolean")
@@ -246,7 +249,7 @@ def drop_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, mi
 
     wrong = scratch(counts.filter(F.col("n") < min_docs).select("key").filter(positive("key")), "positives")
     if not fits_broadcast(wrong):
-        return _dropped_by_join(docs, due, data, kept, min_chars)
+        return _dropped_by_shard(docs, counts, filters, data, min_docs, min_chars)
     spared = frozenset(wrong.toArrow()["key"].to_pylist())
 
     @F.arrow_udf(_RESULT)
@@ -269,8 +272,50 @@ def _arrow_result() -> pa.DataType:
     return pa.struct([("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_text", pa.binary())])
 
 
-def _dropped_by_join(docs: DataFrame, due: DataFrame, data: Column, kept: list[Column], min_chars: int) -> DataFrame:
-    """The same result without a filter: lines meet the due keys in a join."""
+def _asked_by_shard(keys: DataFrame, filters: DataFrame, asks: DataFrame, n_shards: int) -> DataFrame:
+    """Rows ``d1, d2, key`` of ``keys`` that the shard of their key holds.
+
+    ``asks`` says for each shard in how many parts its keys are asked.  A part is one run of rows in
+    a task: first the shard, then its keys, however many.
+    """
+    placed = keys.withColumn("shard", _shard(n_shards))
+    placed = attach(placed, asks, "shard").withColumn("part", F.pmod(F.xxhash64("d1", "d2", "key"), F.col("parts")).cast("int")).select(
+        "shard", "part", F.lit(1).alias("line"), "d1", "d2", "key", F.lit(None).cast("binary").alias("cells"))
+    sent = attach(filters, asks, "shard").select(
+        "shard", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("part"), F.lit(0).alias("line"),
+        *[F.lit(None).cast(t).alias(c) for c, t in (("d1", "long"), ("d2", "long"), ("key", "binary"))], "cells")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, table = None, None
+        for batch in batches:
+            shards, lines = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            starts = np.flatnonzero((lines == 0) | (np.diff(shards, prepend=shards[:1]) != 0))
+            edges = sorted({0, *starts.tolist(), batch.num_rows})
+            for at, end in zip(edges[:-1], edges[1:], strict=True):
+                if lines[at] == 0:
+                    shard = shards[at]
+                    table = np.frombuffer(batch.column(6)[at].as_py(), "<u4").reshape(-1, SLOTS)
+                    at += 1
+                if at == end or shards[at] != shard:
+                    continue  # nothing to ask, or no key of this shard is due
+                some = batch.slice(at, end - at)
+                asked = np.frombuffer(b"".join(some.column(5).to_pylist()), np.uint8).reshape(-1, 16)
+                yield some.select([3, 4, 5]).filter(pa.array(_holds(table, asked)))
+
+    both = placed.unionByName(sent).repartition("shard", "part").sortWithinPartitions("shard", "part", "line")
+    return both.mapInArrow(ask, "d1 long, d2 long, key binary")
+
+
+def _holds(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys one shard may hold."""
+    _, mark, bucket = _parts(np.ascontiguousarray(keys))
+    first = bucket.astype(np.int64) & (len(table) - 1)
+    second = _other(first, mark, np.full(len(mark), len(table))).astype(np.int64)
+    return ((table[first] == mark[:, None]) | (table[second] == mark[:, None])).any(axis=1)
+
+
+def _dropped_by_shard(docs: DataFrame, counts: DataFrame, filters: DataFrame, data: Column, min_docs: int, min_chars: int) -> DataFrame:
+    """The same result with lines that travel to the shard of their key."""
     every = [F.col(f"`{c}`") for c in docs.columns]
     identity = [F.xxhash64(F.lit(3), *every).alias("d1"), F.xxhash64(F.lit(4), *every).alias("d2")]
 
@@ -286,8 +331,15 @@ def _dropped_by_join(docs: DataFrame, due: DataFrame, data: Column, kept: list[C
             out.append(_split(t.as_py(), lambda ds, due=due_here: [d in due for d in ds], min_chars))
         return pa.array(out, _arrow_result())
 
-    found = docs.select(*identity, F.explode(keys(data)).alias("key")).distinct().join(due, "key", "left_semi")
-    gone = found.groupBy("d1", "d2").agg(F.collect_list("key").alias("gone"))
+    first = filters.select("n_shards").first()
+    n_shards = first["n_shards"] if first else 1
+    asks = scratch(counts.groupBy(_shard(n_shards).alias("shard")).agg(
+        F.ceil(F.sum("n") / SHARD_LINES).alias("parts"), F.ceil(F.count(F.lit(1)) / SHARD_LINES).alias("key_parts")), "asks")
+    rare = counts.filter(F.col("n") < min_docs).select(F.lit(0).cast("long").alias("d1"), F.lit(0).cast("long").alias("d2"), "key")
+    wrong = scratch(_asked_by_shard(rare, filters, asks.select("shard", F.col("key_parts").alias("parts")), n_shards).select("key"), "positives")
+    lines = docs.select(*identity, F.explode(keys(data)).alias("key"))
+    found = attach(_asked_by_shard(lines, filters, asks.select("shard", "parts"), n_shards), wrong, "key", "left_anti")
+    gone = found.groupBy("d1", "d2").agg(F.collect_set("key").alias("gone"))
     rows = docs.select(F.struct("*").alias("row"), data.alias("data"), *identity).join(gone, ["d1", "d2"], "left")
     names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", "kept_text")]
     return rows.select("row", cut("data", "gone").alias("_r")).select(*[F.col(f"row.`{c}`") for c in names], "_r.*")
