@@ -201,7 +201,9 @@ def fit_sample(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: s
     def encoded(values: pa.Array) -> pa.Array:
         return pa.array([encode(v.as_py()).tobytes() for v in values], pa.binary())
 
-    rows = texts.join(F.broadcast(chosen), "id").select("id", "y", encoded("t").alias("x")).toArrow()
+    # One row an id, however many the table has under it.
+    one = texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min_by("t", F.xxhash64("t")).alias("t"))
+    rows = one.select("id", "y", encoded("t").alias("x")).toArrow()
     rows = sorted(zip(rows["id"].to_pylist(), rows["x"].to_pylist(), rows["y"].to_pylist(), strict=True))
     return [np.frombuffer(x, np.float32).reshape(-1, FEATURES) for _, x, _ in rows], np.array([y for _, _, y in rows], float)
 
