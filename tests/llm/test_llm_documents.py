@@ -318,3 +318,36 @@ def test_digest_columns_of_the_sharding_query(spark):
     df = frame(spark, [(1, text, "en", "s", 1)])
     crc = df.select(F.crc32(F.encode("text", "UTF-8")).alias("c")).first()["c"]
     assert crc == zlib.crc32(text.encode())
+
+
+def test_lines_ask_their_shard_where_the_filter_is_large(spark, monkeypatch):
+    """Small shards and bounds: every filter is asked in its shard, a hot one in several parts."""
+    monkeypatch.setattr(lines, "SHARD_KEYS", 5)
+    monkeypatch.setattr(lines, "SHARD_LINES", 40)
+    texts = [f"hot line\nline {k % 30}\n own {k}\nLINE {k % 7} \n\nhot line" for k in range(120)] + [None, "", "hot line"]
+    rows = [(k, t, None, None, None) for k, t in enumerate(texts)]
+    docs = frame(spark, rows)
+    asked = []
+    real = lines._asked_by_shard
+    monkeypatch.setattr(lines, "_asked_by_shard", lambda *a: asked.append(1) or real(*a))
+    got = lines.drop_lines(docs, filter_bytes=100)
+    assert as_counter(got) == slow_lines(rows, 10) and len(asked) == 2
+    none_due = lines.drop_lines(docs, min_docs=1000, filter_bytes=-1)
+    assert as_counter(none_due) == slow_lines(rows, 1000)
+
+
+def test_shards_of_equal_rows(spark):
+    """A group of rows equal in every column is dealt over the shards, within the tolerance."""
+    rows = [(1, "the same text", "en", "s", 13)] * 6000 + [(k, f"text number {k}", "en", "s", 1) for k in range(2, 2000)] + [(None, None, None, None, None)] * 40
+    got = sharding.shard(frame(spark, rows), tolerance=0.01, interval_rows=200).select("doc_id", "size", "shard", "slot").collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
+    held = Counter()
+    for r in got:
+        held[r["shard"]] += r["size"]
+    total = sum(held.values())
+    assert len(held) == 8 and all(abs(v - total / 8) <= 0.02 * total / 8 + 20 for v in held.values()), held
+    slots = Counter((r["shard"], r["slot"]) for r in got)
+    assert max(slots.values()) == 1
+    for s in range(8):
+        mine = sorted(k for t, k in slots if t == s)
+        assert mine == list(range(len(mine)))

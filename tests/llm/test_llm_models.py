@@ -315,8 +315,8 @@ def test_fusion_against_brute_force(spark):
     assert Counter((r["page_id"], r["lang"], round(r["prob"], 5)) for r in rows_out) == slow_fusion(rows, m)
     assert {r["page_id"]: r["lang"] for r in rows_out}[92] == "aa"  # no letters: the host decides
     assert language.identify(df.limit(0), m).count() == 0
-    with pytest.raises(ValueError):
-        language.identify(df, language.Model([], np.zeros((1, 0))))
+    # Without a model there is no language; the page's own evidence stays.
+    assert {(r["lang"], r["text_lang"]) for r in language.identify(df, language.Model([], np.zeros((1, 0)))).collect()} == {(None, None)}
 
 
 def test_trigram_tables_from_labelled_documents(spark):
@@ -325,3 +325,155 @@ def test_trigram_tables_from_labelled_documents(spark):
     assert m.languages == ["aa", "bb"]
     assert m.evidence("kada bada")[0] == 0 > m.evidence("kada bada")[1] and m.evidence("12 !") == [0.0, 0.0]
     assert language.fit(spark.createDataFrame([], SCHEMA)).languages == []
+
+
+# -- round 3: rows that share an id, values mixed up, masked personal data, hostile texts ---
+
+def test_rows_of_one_id_do_not_lend_each_other_parts(spark):
+    words = QUESTION.split()
+    half = len(words) // 2
+    parts = [" ".join(words[:half + 2]), " ".join(words[half - 2:])]
+    schema = "doc_id long, text string, n int"
+    bench = spark.createDataFrame([(0, QUESTION)], ITEMS)
+    ask = lambda rows: decontamination.contaminated(
+        spark.createDataFrame(rows, schema), bench, F.col("doc_id"), F.col("item_id")).collect()
+    assert ask([(7, parts[0], 1), (7, parts[1], 2), (None, parts[0], 1), (None, parts[1], 2)]) == []
+    got = ask([(7, QUESTION, 1), (7, QUESTION + " again", 2), (None, QUESTION, 1), (3, None, 1)])
+    assert sorted((r["doc"] is None, r["doc"]) for r in got) == [(False, 7), (False, 7), (True, None)]
+    kept = decontamination.decontaminate(spark.createDataFrame([(7, parts[0], 1), (7, parts[1], 2), (7, QUESTION, 3)], schema), bench)
+    assert sorted(r["n"] for r in kept.collect()) == [1, 2]
+
+
+def test_mixed_up_values_are_told_apart(spark):
+    texts = [QUESTION, QUESTION.replace("eats 3", "eats 8"), "an ordinary text", QUESTION.replace("5", "9")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(0, QUESTION)], ITEMS)
+    got = decontamination.contaminated(docs, bench, F.col("doc_id"), F.col("item_id"), mixed=True).collect()
+    assert {r["doc"]: r["consistent"] for r in got} == {0: True, 1: False, 3: True}
+    assert all(r["coverage"] >= 0.8 for r in got)
+    assert [r["doc_id"] for r in decontamination.decontaminate(docs, bench).collect()] == [2]
+
+
+def test_many_texts_at_once_are_read_like_one(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["Tom", "has", "3", "km", ".", "five", "Ann", "apples", "\n", "12", "é"]) for _ in range(rng.randrange(0, 40)))
+             for _ in range(200)] + ["", None, "?", "3"]
+    for sizes in ([5], [2, 5], None):
+        together = decontamination._windows(texts, sizes, None)
+        assert together == [decontamination._windows([t], sizes, None)[0] for t in texts]
+    some = np.array(sorted({w["hash"] for ws in together for w in ws})[::7], np.int64).view(np.uint64)
+    wanted = decontamination.Wanted(some)
+    hits = decontamination._windows(texts, [5], wanted)
+    known = set(some.view(np.int64).tolist())
+    assert hits == [[w for w in ws if w["hash"] in known] for ws in decontamination._windows(texts, [5], None)]
+
+
+def test_empty_benchmark_gives_no_pairs(spark):
+    docs = spark.createDataFrame([(1, "a text")], "doc_id long, text string")
+    none = decontamination.contaminated(docs, spark.createDataFrame([], ITEMS), F.col("doc_id"), F.col("item_id"), mixed=True)
+    assert none.columns == ["doc", "item", "coverage", "n_slots", "consistent"] and none.count() == 0
+
+
+def _private_texts(seed, n):
+    rng = random.Random(seed)
+    def card():
+        digits = [rng.randrange(10) for _ in range(15)]
+        for last in range(10):
+            if pii._luhn("".join(map(str, digits)) + str(last)):
+                return "".join(map(str, digits)) + str(last)
+    makes = [
+        lambda: f"{rng.choice('abcdef')}{rng.randrange(999)}.x@mail{rng.randrange(9)}.example.com",
+        lambda: ".".join(str(rng.randrange(256)) for _ in range(4)),
+        card,
+        lambda: f"+{rng.randrange(1, 99)} {rng.randrange(100, 999)} {rng.randrange(100000, 9999999)}",
+    ]
+    words = "the of and a letter house goes under green water to them with some more".split()
+    out = []
+    for _ in range(n):
+        kind = rng.randrange(5)
+        said = [rng.choice(words) for _ in range(12)]
+        if kind < 4:
+            said.insert(rng.randrange(12), makes[kind]())
+        else:
+            said.insert(rng.randrange(12), rng.choice([str(rng.randrange(10 ** 15, 10 ** 16)), f"order {rng.randrange(10 ** 8)}",
+                                                       f"{rng.randrange(2000)}:{rng.randrange(60)}:{rng.randrange(60)}"]))
+        out.append(" ".join(said))
+    return out
+
+
+def test_masked_spans_are_found_again(spark):
+    """Recall on held-out spans whose decisive mark was removed, and texts without any stay as they are."""
+    docs = spark.createDataFrame(list(enumerate(_private_texts(1, 3000))), "doc_id long, text string")
+    found = pii.scratch(docs.select(F.lit(0).alias("row"), "text"), "t")
+    rows = [row for (t,) in found.select("text").collect() for row in pii.labelled(t)]
+    forest = pii.fit(np.array([x for x, _ in rows], np.float64), np.array([y for _, y in rows], bool))
+    hits, places = np.zeros(4), np.zeros(4)
+    for text in _private_texts(2, 2000):
+        for start, kind, end in pii.base_spans(text):
+            written = pii.masked(text[start:end], kind, start)
+            changed = text[:start] + written + text[end:]
+            proposed = [(k, s, e) for k, s, e in pii.candidates(changed)]
+            x = np.array([pii.features(changed, *c) for c in proposed], np.float64).reshape(-1, pii.FEATURES)
+            spans = pii.all_spans(changed, pii.base_spans(changed), proposed, x, forest)
+            places[kind] += 1
+            hits[kind] += any(s < start + len(written) and start < e for s, _, e in spans)
+    recall = hits / places
+    assert (recall >= 0.9).all(), recall
+
+
+@pytest.mark.parametrize("text", ["1.1.1." * 40_000, "1 " * 100_000, "a@b.c " * 30_000, "+1 234 567 8901 " * 12_000, "a at b dot c " * 15_000])
+def test_spans_of_hostile_texts_take_linear_time(text):
+    import time
+    start = time.perf_counter()
+    found = pii._found(text)
+    pii._judge(found["base"], found["proposed"], pii.Forest(thresholds={0: -1.0, 1: -1.0, 2: -1.0, 3: -1.0}))
+    assert time.perf_counter() - start < 20
+
+
+@pytest.mark.parametrize("part", ["<!--", "<", "<script ", "<head>", "</script ", "<html ", "<meta ", "<meta content-language ", "<a", "-->", "lang=", "&", "<!-- --"])
+def test_pages_are_read_in_linear_time(part):
+    import time
+    page = "<html>" + part * (1_000_000 // len(part))
+    start = time.perf_counter()
+    language.visible_text(page)
+    language.declared_language(page)
+    assert time.perf_counter() - start < 2
+
+
+def test_what_a_page_shows():
+    read = lambda page: language.visible_text(page).split()
+    assert read("a<!-- b -->c<script>d</SCRIPT >e<b>f</b>&amp;") == ["a", "c", "e", "f", "&"]
+    assert read("a<script>b") == ["a"] and read("a<!-- b") == ["a"] and read("a <nav> b <i>c</i>") == ["a", "b", "c"]
+    assert read("1 < 2") == ["1", "<", "2"] and read("") == [] and read(None) == []
+    assert language.declared_language('<HTML class="x" lang="DE-at">') == "de"
+    assert language.declared_language('<html><meta name=a><meta http-equiv="content-language" content="fr">') == "fr"
+    assert language.declared_language("<p lang=it>") is None
+
+
+def test_pages_without_labelled_documents(spark):
+    docs = spark.createDataFrame([(1, "text", None), (2, None, "en")], "doc_id long, text string, lang string")
+    pages = spark.createDataFrame([(1, "https://a.example.de/x", "<html lang=de>guten Tag")], "page_id long, url string, html string")
+    row = language.identify(pages, language.fit(docs)).first()
+    assert (row["page_id"], row["suffix"], row["declared"], row["lang"], row["prob"]) == (1, "de", "de", None, None)
+
+
+def test_languages_with_long_texts_only(spark, monkeypatch):
+    monkeypatch.setattr(language, "FIT_BYTES", 50)
+    docs = spark.createDataFrame([(1, "short words", "en"), (2, "x" * 60, "en"), (3, "lange Worte " * 10, "de")], "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert model.languages == ["de", "en"]
+    want = language.trigrams("lange Worte " * 10) + 0.5
+    assert np.allclose(model.logs[:, 0], np.log(want / want.sum()))
+    want = language.trigrams("short words") + 0.5
+    assert np.allclose(model.logs[:, 1], np.log(want / want.sum()))
+    many = spark.createDataFrame([(k, f"text number {k}", "en") for k in range(200)], "doc_id long, text string, lang string")
+    assert language.fit(many, documents=10).logs.shape[1] == 1
+
+
+def test_one_row_of_a_repeated_id_is_sampled(spark):
+    docs = spark.range(100_000).select(F.lit(3).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text")).unionByName(
+        spark.createDataFrame([(4, "another text")], "doc_id int, text string"))
+    labels = spark.createDataFrame([(3, 1, 0), (4, 0, 0)], LABELS)
+    passages, y = quality.fit_sample(docs, labels)
+    held = {r["doc_id"]: r["h"] for r in docs.select("doc_id", quality.held_out(F.col("doc_id")).alias("h")).distinct().collect()}
+    assert len(passages) == len(y) == sum(not h for h in held.values())
