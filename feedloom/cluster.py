@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,27 +38,48 @@ def build_session(app: str = "feedloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def workspace(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared checkpoint folder of the session.
+# Folders made by ``workspace`` and not removed yet, by application.
+_MADE: dict[str, list[str]] = {}
 
-    Only where none is configured (tests, a laptop) a local temporary one is used.
-    """
-    base = shared_folder(spark)
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+def workspace(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder of the session."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which every executor reaches.
+
+    Only where none is configured (tests, a laptop) a folder in the warehouse is used, which is
+    shared as well.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base:
         return base.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    base = os.path.join(tempfile.gettempdir(), f"feedloom-{spark.sparkContext.applicationId}")
+    base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/feedloom-{spark.sparkContext.applicationId}"
     spark.sparkContext.setCheckpointDir(base)
     return base
 
 
+@contextmanager
+def passing_workspaces(spark: SparkSession) -> Iterator[None]:
+    """Workspaces made in the block are removed at its end.
+
+    For blocks whose results are written elsewhere and don't read their intermediates any more.
+    """
+    made = _MADE.setdefault(spark.sparkContext.applicationId, [])
+    before = len(made)
+    try:
+        yield
+    finally:
+        for path in made[before:]:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        del made[before:]
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialize once on shared storage and cut the lineage."""
     spark = df.sparkSession

@@ -5,6 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# --- fixed values (texts of reports) ---------------------------------------------
+NOT_AN_OBJECT = " must be an object"
+NO_COMPANY = ".company must be a non-empty string"
+BAD_CITY = ".city must be a string when provided"
+BAD_CATEGORIES = ".categories must be an object when provided"
+BAD_CATEGORY = " must be an object with 'count' and/or 'index' (got "
+BAD_COUNT = ".count must be a number (got "
+BAD_INDEX = ".index must be a number or string (got "
+DUPLICATE_NAME = "Duplicate company name '"
+ROOT_NOT_AN_OBJECT = "top-level JSON value must be an object"
+BAD_METADATA = "'metadata' must be an object when provided"
+BAD_COMPANIES = "'companies' must be a list"
+# --- end of fixed values ---------------------------------------------------------
 
 
 class DatasetError(ValueError):
@@ -57,19 +70,19 @@ def entry_issues(entries: DataFrame) -> DataFrame:
         count, index = F.try_variant_get(value, "$.count", "variant"), F.try_variant_get(value, "$.index", "variant")
         ok = _kind(value) == "object"
         return F.array(
-            F.when(~ok, _issue(6, path, F.concat(path, F.lit(" must be an object with 'count' and/or 'index' (got "), _type_name(value), F.lit(")")))),
+            F.when(~ok, _issue(6, path, F.concat(path, F.lit(BAD_CATEGORY), _type_name(value), F.lit(")")))),
             F.when(ok & ~_kind(count).isin("null", "number", "bool"), _issue(
-                7, F.concat(path, F.lit(".count")), F.concat(path, F.lit(".count must be a number (got "), _type_name(count), F.lit(")")))),
+                7, F.concat(path, F.lit(".count")), F.concat(path, F.lit(BAD_COUNT), _type_name(count), F.lit(")")))),
             F.when(ok & ~_kind(index).isin("null", "number", "bool", "str"), _issue(
-                8, F.concat(path, F.lit(".index")), F.concat(path, F.lit(".index must be a number or string (got "), _type_name(index), F.lit(")")))),
+                8, F.concat(path, F.lit(".index")), F.concat(path, F.lit(BAD_INDEX), _type_name(index), F.lit(")")))),
         )
 
     found = F.array_compact(F.concat(
         F.array(
-            F.when(~is_object, _issue(2, at, F.concat(at, F.lit(" must be an object")))),
-            F.when(is_object & blank, _issue(3, F.concat(at, F.lit(".company")), F.concat(at, F.lit(".company must be a non-empty string")))),
-            F.when(is_object & ~F.col("k_city").isin("null", "str"), _issue(4, F.concat(at, F.lit(".city")), F.concat(at, F.lit(".city must be a string when provided")))),
-            F.when(is_object & ~F.col("k_cats").isin("null", "object"), _issue(5, F.concat(at, F.lit(".categories")), F.concat(at, F.lit(".categories must be an object when provided")))),
+            F.when(~is_object, _issue(2, at, F.concat(at, F.lit(NOT_AN_OBJECT)))),
+            F.when(is_object & blank, _issue(3, F.concat(at, F.lit(".company")), F.concat(at, F.lit(NO_COMPANY)))),
+            F.when(is_object & ~F.col("k_city").isin("null", "str"), _issue(4, F.concat(at, F.lit(".city")), F.concat(at, F.lit(BAD_CITY)))),
+            F.when(is_object & ~F.col("k_cats").isin("null", "object"), _issue(5, F.concat(at, F.lit(".categories")), F.concat(at, F.lit(BAD_CATEGORIES)))),
         ),
         F.coalesce(
             F.when(is_object, F.flatten(F.transform(F.map_entries("cats"), category))),
@@ -100,7 +113,7 @@ def collect_issues(entries: DataFrame) -> DataFrame:
     warnings = duplicate_names(named).select(
         "pos", F.lit("warning").alias("severity"), F.lit(9).alias("rule"),
         F.concat(F.lit("companies["), F.col("pos").cast("string"), F.lit("].company")).alias("path"),
-        F.concat(F.lit("Duplicate company name '"), F.col("company"), F.lit("' (companies["), F.col("first_pos").cast("string"),
+        F.concat(F.lit(DUPLICATE_NAME), F.col("company"), F.lit("' (companies["), F.col("first_pos").cast("string"),
                  F.lit("] and companies["), F.col("pos").cast("string"), F.lit("])")).alias("message"),
     )
     return errors.unionByName(warnings)
@@ -112,9 +125,9 @@ def root_issues(document: DataFrame) -> DataFrame:
     meta, companies = F.try_variant_get(doc, "$.metadata", "variant"), F.try_variant_get(doc, "$.companies", "variant")
     is_object = _kind(doc) == "object"
     found = F.array_compact(F.array(
-        F.when(~is_object, _issue(0, F.lit(""), F.lit("top-level JSON value must be an object"))),
-        F.when(is_object & ~_kind(meta).isin("null", "object"), _issue(0, F.lit("metadata"), F.lit("'metadata' must be an object when provided"))),
-        F.when(is_object & (_kind(companies) != "array"), _issue(1, F.lit("companies"), F.lit("'companies' must be a list"))),
+        F.when(~is_object, _issue(0, F.lit(""), F.lit(ROOT_NOT_AN_OBJECT))),
+        F.when(is_object & ~_kind(meta).isin("null", "object"), _issue(0, F.lit("metadata"), F.lit(BAD_METADATA))),
+        F.when(is_object & (_kind(companies) != "array"), _issue(1, F.lit("companies"), F.lit(BAD_COMPANIES))),
     ))
     return document.select(F.lit(0).cast("bigint").alias("pos"), F.explode(found).alias("i")).select("pos", "i.*")
 

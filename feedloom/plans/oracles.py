@@ -7,6 +7,25 @@ aggregates, and matching compares all pairs.
 
 from __future__ import annotations
 
+# --- fixed values (results depend on them) -------------------------------------
+_TITLE_PATTERNS = (
+    (r"[:*_]in(nen)?\b", ""),
+    (r"[(\[]\s*(all\s+gender|all\s+genders|alle\s+geschlechter)\s*[)\]]", " "),
+    (r"[(\[]\s*(mwd|wmd|mfd|fmd|dmw|wdm|fmx|mwi|gn)\s*[)\]]", " "),
+    (r"[(\[]?\s*[mwfdxign]\s*/\s*[mwfdxign]\s*(/\s*[mwfdxign]\s*)?[)\]]?", " "),
+    (r"\(\s*\*\s*\)|\*", " "),
+    (r"[^a-z0-9]+", " "),
+)
+_COMPANY_FORMS = ("gmbh  &&  co..  kg", "gmbh  &&  co  kg", "ag  &&  co..  kg", "ag  &&  co  kg", "co..  kg", "co  kg", "e..v..")
+_COMPANY_WORDS = "'gmbh','mbh','ohg','gbr','kgaa','kg','gag','ag','se','ug','ev','gruppe','group','holding','deutschland','germany'"
+_NAME_PATTERNS = (
+    r"\ba/s\b", r"\baps\b", r"\bi/s\b", r"\bp/s\b", r"\bk/s\b", r"\bivs\b", r"\bamba\b", r"\ba\.m\.b\.a\.\b",
+    r"\(vg\)", r"\(.*?\)", r"\bdanmark\b", r"\bdenmark\b", r"\bscandinavia\b", r"\bnordic\b", r"\bgroup\b",
+    r"\bholding\b", r",\s*.*$",
+)
+_SPELLINGS = (("ø", "o"), ("æ", "ae"), ("å", "aa"), ("ö", "o"), ("ä", "ae"), ("ü", "u"))
+# --- end of fixed values ---------------------------------------------------------
+
 _POSTINGS = """
 postings AS (
   SELECT l_orderkey AS a, l_linenumber AS b, l_partkey AS c, l_suppkey AS d, l_shipdate AS e, l_returnflag AS f,
@@ -79,14 +98,7 @@ _FOLDED = (
 
 
 def _title_norm(x: str) -> str:
-    for pattern, put in (
-        (r"[:*_]in(nen)?\b", ""),
-        (r"[(\[]\s*(all\s+gender|all\s+genders|alle\s+geschlechter)\s*[)\]]", " "),
-        (r"[(\[]\s*(mwd|wmd|mfd|fmd|dmw|wdm|fmx|mwi|gn)\s*[)\]]", " "),
-        (r"[(\[]?\s*[mwfdxign]\s*/\s*[mwfdxign]\s*(/\s*[mwfdxign]\s*)?[)\]]?", " "),
-        (r"\(\s*\*\s*\)|\*", " "),
-        (r"[^a-z0-9]+", " "),
-    ):
+    for pattern, put in _TITLE_PATTERNS:
         x = f"regexp_replace({x}, '{pattern}', '{put}', 'g')"
     return f"trim({x})"
 
@@ -94,26 +106,21 @@ def _title_norm(x: str) -> str:
 def _company_norm(x: str) -> str:
     """Whole-token removal without look-around: separators doubled, then tokens dropped."""
     x = f"regexp_replace(' ' || {x} || ' ', '([^a-z0-9])', '\\1\\1', 'g')"
-    for form in ("gmbh  &&  co..  kg", "gmbh  &&  co  kg", "ag  &&  co..  kg", "ag  &&  co  kg", "co..  kg", "co  kg", "e..v.."):
+    for form in _COMPANY_FORMS:
         x = "regexp_replace({}, '([^a-z0-9]){}([^a-z0-9])', '\\1\\2', 'g')".format(x, form.replace(".", r"\."))
-    words = "'gmbh','mbh','ohg','gbr','kgaa','kg','gag','ag','se','ug','ev','gruppe','group','holding','deutschland','germany'"
-    return f"array_to_string(list_filter(regexp_extract_all({x}, '[a-z0-9]+'), lambda w: w NOT IN ({words})), ' ')"
+    return f"array_to_string(list_filter(regexp_extract_all({x}, '[a-z0-9]+'), lambda w: w NOT IN ({_COMPANY_WORDS})), ' ')"
 
 
 # --- company names --------------------------------------------------------------------
 
 def _noise(x: str) -> str:
-    for pattern in (
-        r"\ba/s\b", r"\baps\b", r"\bi/s\b", r"\bp/s\b", r"\bk/s\b", r"\bivs\b", r"\bamba\b", r"\ba\.m\.b\.a\.\b",
-        r"\(vg\)", r"\(.*?\)", r"\bdanmark\b", r"\bdenmark\b", r"\bscandinavia\b", r"\bnordic\b", r"\bgroup\b",
-        r"\bholding\b", r",\s*.*$",
-    ):
+    for pattern in _NAME_PATTERNS:
         x = f"regexp_replace({x}, '{pattern}', '', 'g')"
     return x
 
 
 def _ang(x: str) -> str:
-    for src, dst in (("ø", "o"), ("æ", "ae"), ("å", "aa"), ("ö", "o"), ("ä", "ae"), ("ü", "u")):
+    for src, dst in _SPELLINGS:
         x = f"replace({x}, '{src}', '{dst}')"
     return x
 

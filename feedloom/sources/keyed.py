@@ -21,6 +21,11 @@ from feedloom.sources.manifest import GRACE, KEEP, TTL, Commits
 BUCKETS = 16
 # States between two removals of files that none uses.
 VACUUM = 8
+# Keys of a bucket that are looked up by hash.
+HASHED_KEYS = 1_000_000
+# Descriptions of folders that stay in the session's catalog; older ones are dropped.
+TABLES = 64
+_TABLES: dict[str, list[str]] = {}
 _BUCKET = re.compile(r"_(\d+)(?:\.c\d+)?\.\w+(?:\.\w+)?$")
 
 
@@ -50,6 +55,12 @@ def read_bucketed(spark: SparkSession, base: str, folders: list[str], schema: st
     if not folders:
         return spark.createDataFrame([], schema)
     name = "feedloom_" + hashlib.sha1("\n".join([base, key, str(buckets), schema, *folders]).encode()).hexdigest()
+    known = _TABLES.setdefault(spark.sparkContext.applicationId, [])
+    if name in known:
+        known.remove(name)
+    known.append(name)
+    while len(known) > TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {known.pop(0)}")
     if not spark.catalog.tableExists(name):
         at = lambda path: "'" + path.replace("\\", "\\\\").replace("'", "\\'") + "'"
         spark.sql(f"CREATE TABLE {name} ({schema}, _folder STRING) USING parquet PARTITIONED BY (_folder) "
@@ -59,9 +70,15 @@ def read_bucketed(spark: SparkSession, base: str, folders: list[str], schema: st
     return spark.table(name).drop("_folder")
 
 
-def with_keys(bucketed: DataFrame, asked: DataFrame, key: str) -> DataFrame:
-    """Rows of a bucketed table whose key is asked for; only ``asked`` (distinct keys) is moved."""
-    return bucketed.join(asked.select(key).hint("shuffle_hash"), key, "left_semi")
+def with_keys(bucketed: DataFrame, asked: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Rows of a bucketed table whose key is asked for; only ``asked`` (stored, distinct keys) is moved.
+
+    Keys that fit a task's memory bucket by bucket are hashed there, and the table just passes by;
+    of more than that the buckets are sorted.
+    """
+    keys = asked.select(key)
+    few = keys.count() <= HASHED_KEYS * buckets
+    return bucketed.join(keys.hint("shuffle_hash") if few else keys.hint("merge"), key, "left_semi")
 
 
 def bucket_of(file: str) -> int:

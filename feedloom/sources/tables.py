@@ -81,7 +81,7 @@ class SeenStore:
         state, (key, schema) = self._state(before), self.PARTS[part]
         chosen = state["parts"][part] if folders is None else folders
         return with_keys(read_bucketed(
-            self.spark, self.path, [f["path"] for f in chosen], schema, key, state["buckets"]), asked, key)
+            self.spark, self.path, [f["path"] for f in chosen], schema, key, state["buckets"]), asked, key, state["buckets"])
 
     def entries(self, before: int | None = None) -> DataFrame:
         """Committed entries; ``before`` shows the state a given batch started from."""
@@ -116,14 +116,14 @@ class SeenStore:
             pool.select("dedup_key"), "dedup_key", filters, [(f["seed"], f["blocks"]) for f in folders]))
         hit = {r["seed"] for r in maybe.select("seed").distinct().collect()}  # at most one a folder
         found = self._with_keys(
-            "keys", maybe.select("dedup_key").distinct(), before, [f for f in folders if f["seed"] in hit]
+            "keys", checkpointed(maybe.select("dedup_key").distinct()), before, [f for f in folders if f["seed"] in hit]
         ).groupBy("dedup_key").agg(F.max("is_entry").alias("_entry"))
         return pool.join(found, "dedup_key", "left").withColumns({
             "is_known": F.col("_entry").isNotNull(), "has_entry": F.coalesce("_entry", F.lit(False))}).drop("_entry")
 
     def fresh_links(self, others: DataFrame, before: int | None = None) -> DataFrame:
         """Alternates (``dedup_key, portal, url``) that their keys lack, as rows to append."""
-        asked = others.select(F.col("dedup_key").alias("stored_key")).distinct()
+        asked = checkpointed(others.select(F.col("dedup_key").alias("stored_key")).distinct())
         return seen.new_links(self._with_keys("links", asked, before), others)
 
     def of_keys(self, keys: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -108,12 +108,12 @@ def test_folders_in_buckets_are_joined_where_they_lie(spark, tmp_path):
     table = read_bucketed(spark, base, ["one", "two", "none"], "k string, v int", "k", 4)
     assert table.count() == read_folders(spark, base, ["one", "two", "none"], "k string, v int").count() == 90
     asked = spark.createDataFrame([("k3",), ("k70",), ("zz",)], "k string")
-    found = with_keys(table, asked, "k")
+    found = with_keys(table, asked, "k", 4)
     assert content(found) == [("k3", 3), ("k70", 70)]
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = with_keys(table, asked, "k")._jdf.queryExecution().sparkPlan().toString()
-        prepared = with_keys(table, asked, "k")._jdf.queryExecution().executedPlan().toString()
+        plan = with_keys(table, asked, "k", 4)._jdf.queryExecution().sparkPlan().toString()
+        prepared = with_keys(table, asked, "k", 4)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "ShuffledHashJoin" in plan
