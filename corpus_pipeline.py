@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.cluster import workspace
+from feedloom.cluster import passing_workspaces, workspace
 from feedloom.llm import decontamination, mixing, quality, sharding, simhash
 
 
@@ -46,10 +46,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written and read again."""
+    """All stages over ``documents``; each result is written and read again, its intermediates are removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = workspace(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with passing_workspaces(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
