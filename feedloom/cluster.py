@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -53,13 +55,15 @@ def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, which every executor reaches.
 
     Only where none is configured (tests, a laptop) a folder in the warehouse is used, which is
-    shared as well.
+    shared as well; in local mode it is removed when Python ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base:
         return base.rstrip("/")
     base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/feedloom-{spark.sparkContext.applicationId}"
     spark.sparkContext.setCheckpointDir(base)
+    if spark.sparkContext.master.startswith("local"):
+        atexit.register(shutil.rmtree, base.removeprefix("file:"), ignore_errors=True)
     return base
 
 

@@ -105,14 +105,21 @@ def new_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.new_only(pool, seen.known_keys(entries)).select("dedup_key", "portal", "title", "company", "url")
 
 
-def already_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The new pool met with a stored memory, which stays where it lies."""
     entries, pool = _memory_and_pool(spark, sf_dir)
-    return seen.already_seen(pool, seen.known_keys(entries)).select("dedup_key", "portal", "title", "company", "url")
+    store = SeenStore(spark, workspace(spark, "memory"))
+    store.append(0, entries, spark.createDataFrame([], LINK_SCHEMA))
+    pool.write.parquet(path := workspace(spark, "pool"))
+    return store.flag(spark.read.parquet(path))
+
+
+def already_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flagged(spark, sf_dir).filter("is_known").select("dedup_key", "portal", "title", "company", "url")
 
 
 def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries, pool = _memory_and_pool(spark, sf_dir)
-    return dedup.pool_stats(seen.flag_known(pool, seen.known_keys(entries)))
+    return dedup.pool_stats(_flagged(spark, sf_dir).drop("has_entry"))
 
 
 def seen_merge(spark: SparkSession, sf_dir: str) -> DataFrame:

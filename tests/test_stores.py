@@ -1,4 +1,5 @@
 """Keyed tables, the seen store's folders and filters, claims that expire, one state for readers."""
+import datetime
 import glob
 import json
 import os
@@ -11,10 +12,11 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.operators import seen
+from feedloom.plans.batch import new_history, run_batch
 from feedloom.sources import membership, storage
 from feedloom.sources.keyed import KeyedTable, bucket_of, read_bucketed, read_folders, with_keys, write_bucketed
 from feedloom.sources.manifest import AlreadyClaimed, Commits, ManifestLog, StaleWriter
-from feedloom.sources.tables import FANOUT, LINK_SCHEMA, RANK_SCHEMA, SeenStore
+from feedloom.sources.tables import FANOUT, LINK_SCHEMA, RANK_SCHEMA, PoolTable, SeenStore
 
 ROW = "k string, v int, w string"
 ENTRY = "stored_key string, title string, company string, url string, first_seen string, fit string, status string, portal string"
@@ -299,6 +301,28 @@ spark.stop()
     assert 0 < large < 1.5 * small + 2_000
 
 
+def test_history_makes_up_for_a_run_that_died_before_its_load(spark, tmp_path):
+    profiles = spark.createDataFrame([("p", None, None)], "id string, exclude_titles array<string>, require_any array<string>")
+    log = spark.createDataFrame([("p", "xing", "ok")], "profile string, portal string, status string")
+    store, pools = SeenStore(spark, str(tmp_path / "seen"), buckets=2), PoolTable(spark, str(tmp_path / "pools"))
+    history = new_history(store, str(tmp_path / "history"))
+
+    def run(day, titles, to=None):
+        got = spark.createDataFrame([(i, "p", "xing", t, "Acme", f"u{i}", None) for i, t in enumerate(titles)],
+                                    "ord int, profile string, portal string, title string, company string, url string, location string")
+        run_batch(got, F.col("ord"), profiles, log, store, pools, to, today=datetime.date(2025, 1, day))
+
+    run(1, ["One"], history)
+    run(2, ["Two"])  # the load never came
+    assert {r["title"] for r in history.read().collect()} == {"One"} and history.note() == {"through": 0}
+    run(3, ["Three"], history)
+    rows = {r["title"]: r["first_seen"] for r in history.read().collect()}
+    assert rows == {"One": "2025-01-01", "Two": "2025-01-02", "Three": "2025-01-03"} and history.note() == {"through": 2}
+    place = history.commits.log.last_place()
+    run(4, ["Three"], history)  # nothing new: only how far the load went is published
+    assert history.note() == {"through": 3} and history.commits.log.last_place() == place + 1
+
+
 def test_sessions_share_a_store(spark, tmp_path):
     path = str(tmp_path / "s")
     SeenStore(spark, path).append(0, entry(spark, "a|b"), spark.createDataFrame([], LINK_SCHEMA))
