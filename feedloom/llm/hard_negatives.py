@@ -27,7 +27,7 @@ this isn't certain is an error.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -81,8 +81,11 @@ class Anchors:
     windows: list[list[tuple[int, int]]]
     keep: int
     same: bool
+    trees: list[tuple[int, list[tuple[int, int, float]]]] | None = None
 
     def __post_init__(self) -> None:
+        if self.trees is not None:
+            return
         groups = [np.flatnonzero(self.labels == v) for v in np.unique(self.labels)] if self.same else [np.arange(len(self.ids))]
         self.trees = [(int(self.labels[g[0]]), [
             (int(g[child]), -1 if parent < 0 else int(g[parent]), distance)
@@ -198,11 +201,12 @@ def _matrix(column: pa.Array, rows: int) -> np.ndarray:
 
 def _best_rows(rows: DataFrame, anchors: Anchors, keys: list[int]) -> DataFrame:
     """``anchor, window, id, score``: the lists of every task, merged."""
-    sent = rows.sparkSession.sparkContext.broadcast((anchors, keys))
+    # Plain values: a broadcast object of this class would ask the workers for the package.
+    sent = rows.sparkSession.sparkContext.broadcast(([getattr(anchors, f.name) for f in fields(Anchors)], keys))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, names = sent.value
-        lists = Lists(block)
+        lists = Lists(Anchors(*block))
         for batch in batches:
             for at in range(0, batch.num_rows, TILE):
                 part = batch.slice(at, TILE)
