@@ -70,14 +70,14 @@ def read_bucketed(spark: SparkSession, base: str, folders: list[str], schema: st
     return spark.table(name).drop("_folder")
 
 
-def with_keys(bucketed: DataFrame, asked: DataFrame, key: str, buckets: int) -> DataFrame:
-    """Rows of a bucketed table whose key is asked for; only ``asked`` (stored, distinct keys) is moved.
+def with_keys(bucketed: DataFrame, asked: DataFrame, key: str, buckets: int, count: int | None = None) -> DataFrame:
+    """Rows of a bucketed table whose key is asked for; only ``asked`` (distinct keys, ``count`` at most) is moved.
 
     Keys that fit a task's memory bucket by bucket are hashed there, and the table just passes by;
     of more than that the buckets are sorted.
     """
     keys = asked.select(key)
-    few = keys.count() <= HASHED_KEYS * buckets
+    few = (keys.count() if count is None else count) <= HASHED_KEYS * buckets
     return bucketed.join(keys.hint("shuffle_hash") if few else keys.hint("merge"), key, "left_semi")
 
 

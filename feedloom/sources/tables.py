@@ -19,7 +19,7 @@ from feedloom.operators import seen
 from feedloom.sources import membership
 from feedloom.sources.keyed import BUCKETS, KeyedTable, read_bucketed, read_folders, with_keys, write_bucketed
 from feedloom.sources.manifest import GRACE, KEEP, TTL, AlreadyClaimed, Commits, StaleWriter, Turn
-from feedloom.sources.storage import discard, subfolders
+from feedloom.sources.storage import discard, files, subfolders
 
 __all__ = [
     "HISTORY_SCHEMA", "LINK_SCHEMA", "AlreadyClaimed", "KeyedTable", "PoolTable", "SeenStore", "SnapshotTable", "StaleWriter",
@@ -76,12 +76,13 @@ class SeenStore:
         chosen = self._state(before)["parts"][part] if folders is None else folders
         return read_folders(self.spark, self.path, [f["path"] for f in chosen], self.PARTS[part][1])
 
-    def _with_keys(self, part: str, asked: DataFrame, before: int | None = None, folders: list[dict] | None = None) -> DataFrame:
+    def _with_keys(self, part: str, asked: DataFrame, before: int | None = None, folders: list[dict] | None = None,
+                   count: int | None = None) -> DataFrame:
         """Rows of a part whose key is asked for (distinct keys); the part isn't moved."""
         state, (key, schema) = self._state(before), self.PARTS[part]
         chosen = state["parts"][part] if folders is None else folders
         return with_keys(read_bucketed(
-            self.spark, self.path, [f["path"] for f in chosen], schema, key, state["buckets"]), asked, key, state["buckets"])
+            self.spark, self.path, [f["path"] for f in chosen], schema, key, state["buckets"]), asked, key, state["buckets"], count)
 
     def entries(self, before: int | None = None) -> DataFrame:
         """Committed entries; ``before`` shows the state a given batch started from."""
@@ -114,15 +115,17 @@ class SeenStore:
         filters = read_bucketed(self.spark, self.path, [f["filter"] for f in folders], membership.SCHEMA, "spot", state["buckets"])
         maybe = checkpointed(membership.ask(
             pool.select("dedup_key"), "dedup_key", filters, [(f["seed"], f["blocks"]) for f in folders]))
-        hit = {r["seed"] for r in maybe.select("seed").distinct().collect()}  # at most one a folder
+        met = maybe.agg(F.count(F.lit(1)).alias("n"), F.collect_set("seed").alias("seeds")).first()  # at most a seed a folder
         found = self._with_keys(
-            "keys", checkpointed(maybe.select("dedup_key").distinct()), before, [f for f in folders if f["seed"] in hit]
+            "keys", maybe.select("dedup_key").distinct(), before, [f for f in folders if f["seed"] in met["seeds"]], met["n"]
         ).groupBy("dedup_key").agg(F.max("is_entry").alias("_entry"))
         return pool.join(found, "dedup_key", "left").withColumns({
             "is_known": F.col("_entry").isNotNull(), "has_entry": F.coalesce("_entry", F.lit(False))}).drop("_entry")
 
     def fresh_links(self, others: DataFrame, before: int | None = None) -> DataFrame:
         """Alternates (``dedup_key, portal, url``) that their keys lack, as rows to append."""
+        if not self._state(before)["parts"]["links"]:
+            return seen.new_links(self.links(before), others)
         asked = checkpointed(others.select(F.col("dedup_key").alias("stored_key")).distinct())
         return seen.new_links(self._with_keys("links", asked, before), others)
 
@@ -149,9 +152,11 @@ class SeenStore:
                    for part in self.PARTS}
             self._write("entries", entries, new["entries"], state)
             stored = self._read("entries", None, [new["entries"]])
-            self._write("keys", seen.recognized_keys(stored), new["keys"], state)
+            if self._holds_rows(new["entries"]):
+                self._write("keys", seen.recognized_keys(stored), new["keys"], state)
             self._write("links", links, new["links"], state)
-            turn.publish({p: [*state["parts"][p], new[p]] for p in self.PARTS}, buckets=state["buckets"])
+            # Folders without rows aren't listed.
+            turn.publish({p: state["parts"][p] + [new[p]] * self._holds_rows(new[p]) for p in self.PARTS}, buckets=state["buckets"])
             if self._merge_due():
                 self._compact(turn)
 
@@ -166,6 +171,9 @@ class SeenStore:
             write_bucketed(membership.build(keys, key, folder["seed"], folder["blocks"]), f"{self.path}/{folder['filter']}",
                            "spot", state["buckets"])
 
+    def _holds_rows(self, folder: dict) -> bool:
+        return any(f.endswith(".parquet") for f in files(self.spark, f"{self.path}/{folder['path']}"))
+
     def _merge_due(self) -> list[tuple[str, int]]:
         levels = [(p, f["level"]) for p, folders in self._state()["parts"].items() for f in folders]
         return sorted({x for x in levels if levels.count(x) >= FANOUT})
