@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from feedloom import cluster
 from feedloom.operators import dedup, report, seen
 from feedloom.plans.batch import merge_pool
 
@@ -144,3 +145,54 @@ def test_upsert_replaces_whole_rows(spark):
     rows = {tuple(r) for r in once.collect()}
     assert rows == {("a", None, None), ("b", "t", "x"), ("c", "n", None)}
     assert {tuple(r) for r in report.upsert(once, new).collect()} == rows
+
+
+def test_links_carry_every_value_once(spark):
+    rows = frame(spark, [("xing", "A", "B", "u1"), ("xing", "A", "B", "u1"), ("indeed", "A", "B", "u2")])
+    links = dedup.collapse_links(dedup.with_key(rows), F.col("ord"))
+    assert links.schema["record"].dataType.names == ["title", "company"]
+    bare = dedup.collapse_links(dedup.with_key(rows, fields=["ord", "portal", "url"]), F.col("ord"))
+    assert "record" not in bare.columns
+    (best,) = dedup.pick_winners(bare).collect()
+    assert (best["dedup_key"], best["ord"], best["portal"], best["url"], best["n_rows"], best["n_alternates"]) == ("b|a", 0, "xing", "u1", 3, 1)
+    # An order that isn't a column of the rows, or only has the name of one.
+    for order in (-F.col("ord"), (-F.col("ord")).alias("ord")):
+        (best,) = dedup.pick_winners(dedup.collapse_links(dedup.with_key(rows.filter("portal = 'xing'")), order)).collect()
+        assert (best["ord"], best["title"], best["n_rows"]) == (1, "A", 2)
+
+
+@pytest.mark.parametrize("most", [0, 3, 40, 10 ** 6])
+def test_large_groups_are_listed_like_small_ones(spark, most):
+    rnd = random.Random(7)
+    rows = [("xing", rnd.choice(["Hot"] * 8 + ["a", "b", "c"]), "Co", f"u{rnd.randint(0, 300)}") for _ in range(500)] + [("xing", "Lone", "Co", "u")]
+    pool = merge_pool(frame(spark, rows), F.col("ord"))
+    got = {(r["dedup_key"], r["chunk_no"]): [a["url"] for a in r["also_on"] or []]
+           for r in dedup.nest_alternates(pool.unique, pool.others, 7, most).collect()}
+    want = {}
+    for title in {r[1] for r in rows}:
+        urls = list(dict.fromkeys(r[3] for r in rows if r[1] == title))[1:]
+        want |= {(f"co|{title.lower()}", at // 7): urls[at:at + 7] for at in range(0, max(len(urls), 1), 7)}
+    assert got == want
+    links = pool.others.select(F.col("dedup_key").alias("k"), "portal", "url", "arrival")
+    listed = {(r["k"], r["chunk_no"]): [a["url"] for a in r["also_on"]] for r in dedup.in_chunks(links, "k", ["arrival"], 7, most).collect()}
+    assert listed == {at: urls for at, urls in want.items() if urls}
+
+
+def test_nesting_moves_alternates_once(spark):
+    pool = merge_pool(frame(spark, [("xing", "A", "B", f"u{i}") for i in range(50)]), F.col("ord"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = dedup.nest_alternates(pool.unique, pool.others)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # The links, the winners' links that they are compared with, and the winners.
+    assert plan.count("Exchange hashpartitioning") == 3 and "rangepartitioning" not in plan
+
+
+def test_scans_of_many_rows_are_dealt_into_small_parts(spark, tmp_path, monkeypatch):
+    spark.range(10_000).selectExpr("id", "id % 7 AS n").coalesce(1).write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(cluster, "TASK_ROWS", 500)
+    dealt = cluster.spread(rows, ["id"])
+    assert dealt.rdd.getNumPartitions() == 20
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, rows.collect()))
