@@ -275,3 +275,15 @@ def test_old_versions_of_a_snapshot_go(spark, tmp_path):
     for k in range(5):
         table.replace(spark.createDataFrame([(k,)], "k int"))
     assert table.read().first()["k"] == 4 and subfolders(spark, str(tmp_path / "t/data")) == ["version=3", "version=4"]
+
+
+def test_outcome_notes_are_landed_by_several_tasks(spark, tmp_path):
+    import re
+
+    from feedloom.plans import queries
+
+    spark.range(40).selectExpr("id AS s_suppkey", "concat('Supplier ', id) AS s_name").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    found = queries.outcome_files(spark, str(tmp_path))
+    parts = {re.search(r"part-(\d+)", f)[1] for f in found.inputFiles()}
+    assert len(found.inputFiles()) == 40 and len(parts) > 1
+    assert {r["application"] for r in found.collect()} == {f"firm_{i}" for i in range(40)}
