@@ -161,8 +161,9 @@ def test_links_carry_every_value_once(spark):
         assert (best["ord"], best["title"], best["n_rows"]) == (1, "A", 2)
 
 
-@pytest.mark.parametrize("most", [0, 3, 40, 10 ** 6])
-def test_large_groups_are_listed_like_small_ones(spark, most):
+@pytest.mark.parametrize("most, few", [(0, 1000), (3, 1000), (3, 1), (40, 1000), (10 ** 6, 1000)])
+def test_large_groups_are_listed_like_small_ones(spark, monkeypatch, most, few):
+    monkeypatch.setattr(dedup, "FEW_LARGE", few)
     rnd = random.Random(7)
     rows = [("xing", rnd.choice(["Hot"] * 8 + ["a", "b", "c"]), "Co", f"u{rnd.randint(0, 300)}") for _ in range(500)] + [("xing", "Lone", "Co", "u")]
     pool = merge_pool(frame(spark, rows), F.col("ord"))
