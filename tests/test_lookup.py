@@ -86,6 +86,60 @@ def test_counts_of_matches(spark):
     assert sorted(map(tuple, lookup.matches_per_query(matches).collect())) == [(1, 3, 100, 2), (2, 1, 75, 0)]
 
 
+def odd_tables(spark, seed):
+    """Queries that ask the same, ids that come several times or are null, cities, long names, empty names."""
+    rnd = random.Random(seed)
+    town = lambda: rnd.choice([None, "", "Køge", "Aarhus", "København 2", "KØBENHAVN 21"])
+    long = " ".join(f"{w}{i}" for i, w in enumerate(WORDS[:9]))
+    texts = [*names_of(rnd, 30), long + " tech novo", long, "", None, "x1 ørsted so", "NOVO tech", "novo  Tech A/S", "tech novo"]
+    ids = [None, None, 1, 1, 1, *range(2, 2 * len(texts))]
+    asked = [(i, rnd.choice(texts), rnd.choice([None, None, "", "kobenhavn", "København 2", "århus"])) for i in ids]
+    queries = spark.createDataFrame(asked, "query_id int, query string, city string")
+    held = [(i, c, town()) for i, c in enumerate([*names_of(rnd, 200), long, long + " bank", "møller moller bank", None, *names_of(rnd, 5) * 3])]
+    return queries, spark.createDataFrame(held, "ord int, company string, city string")
+
+
+def as_rows(df, *columns):
+    return sorted(map(tuple, df.select(*columns).collect()), key=repr)
+
+
+def test_queries_that_ask_the_same_are_matched_once(spark):
+    queries, companies = odd_tables(spark, 8)
+    asked, members = lookup.alike(queries)
+    assert asked.count() < members.count() == queries.select("query_id").distinct().count()
+    same = spark.createDataFrame([(1, "Novo Tech A/S", "Køge"), (2, "novo  TECH", "koge"), (3, "Novo Tech", None), (4, "novo tech", "")],
+                                 "query_id int, query string, city string")
+    assert lookup.alike(same)[0].count() == 2
+    once = lookup.of_all(lookup.match_companies(asked, companies), members)
+    columns = "query_id", "query", "ord", "company", "city", "score"
+    assert as_rows(once, *columns) == as_rows(lookup.match_companies(queries, companies), *columns)
+    ranked = lookup.of_all(lookup.rank_all(lookup.match_companies(asked, companies, min_score=75), ["ord"]), members)
+    assert as_rows(ranked, "query_id", "score", "place") == as_rows(
+        lookup.rank_all(lookup.match_companies(queries, companies, min_score=75).withColumn("query_id", F.coalesce("query_id", F.lit(-1))), ["ord"])
+        .withColumn("query_id", F.expr("nullif(query_id, -1)")), "query_id", "score", "place")
+
+
+def test_names_that_begin_alike_meet_only_inside_one_another(spark):
+    """What is cut of a name depends on the lengths asked for, not on how many queries begin like it."""
+    companies = spark.range(2000).select(F.concat(F.lit("commontrade"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("ang"))
+    few, many = (spark.range(n).select(F.concat(F.lit("commontrade"), F.lpad(F.col("id").cast("string"), 6, "x")).alias("ang")) for n in (10, 1000))
+    cut = [lookup._found_in(companies, "ang", asked, "ang").count() for asked in (few, many)]
+    assert cut == [2000, 2000]
+    found = lookup._found_in(spark.createDataFrame([("banana",), ("an",), ("",)], "o string"), "o",
+                             spark.createDataFrame([("an",), ("ana",), ("banana",), ("b",), ("",), ("nab",)], "i string"), "i")
+    texts = found.join(spark.createDataFrame([("an",), ("ana",), ("banana",), ("b",), ("nab",)], "i string"), F.col("_found") == F.col("i"))
+    assert as_rows(texts, "o", "i") == [("an", "an"), ("banana", "an"), ("banana", "ana"), ("banana", "b"), ("banana", "banana")]
+
+
+@pytest.mark.parametrize("k, first", [(1, 1), (4, 2)])
+def test_best_companies_of_repeated_and_missing_ids(spark, k, first):
+    queries, companies = odd_tables(spark, k)
+    got = lookup.best_companies(queries, companies, k, F.col("ord"), first=first, few_pairs=-1)
+    want = lookup.top_matches(lookup.match_companies(queries, companies), k, F.col("ord"))
+    # The text isn't compared, as queries of one id may tie.
+    assert as_rows(got, "query_id", "place", "ord", "company", "city", "score") == as_rows(want, "query_id", "place", "ord", "company", "city", "score")
+
+
 def test_single_search_equals_batch_and_city(spark):
     companies = spark.createDataFrame([(1, "Novo Nordisk A/S", "København"), (2, "Novo Tech", None), (3, "Other", "København")], "ord int, company string, city string")
     found = lookup.ordered(lookup.search_company(companies, "Novo"), F.col("ord")).collect()
