@@ -131,7 +131,7 @@ def test_names_that_begin_alike_meet_only_inside_one_another(spark):
     assert as_rows(texts, "o", "i") == [("an", "an"), ("banana", "an"), ("banana", "ana"), ("banana", "b"), ("banana", "banana")]
 
 
-@pytest.mark.parametrize("k, first", [(1, 1), (4, 2)])
+@pytest.mark.parametrize("k, first", [(1, 1), (3, None), (4, 2)])
 def test_best_companies_of_repeated_and_missing_ids(spark, k, first):
     queries, companies = odd_tables(spark, k)
     got = lookup.best_companies(queries, companies, k, F.col("ord"), first=first, few_pairs=-1)
