@@ -140,6 +140,36 @@ def test_best_companies_of_repeated_and_missing_ids(spark, k, first):
     assert as_rows(got, "query_id", "place", "ord", "company", "city", "score") == as_rows(want, "query_id", "place", "ord", "company", "city", "score")
 
 
+@pytest.mark.parametrize("few_pairs", [-1, 10 ** 6])
+def test_counts_are_those_of_all_matches(spark, few_pairs):
+    queries, companies = odd_tables(spark, 11)
+    want = lookup.matches_per_query(lookup.match_companies(queries, companies))
+    columns = "query_id", "n", "best", "n_by_words"
+    got = lookup.count_matches(queries, companies, few_pairs=few_pairs)
+    assert as_rows(got, *columns) == as_rows(want, *columns) and got.schema.names == want.schema.names
+    assert [f.dataType for f in got.schema] == [f.dataType for f in want.schema]
+
+
+def test_counting_scores_no_pair_for_a_common_word(spark):
+    companies = spark.range(3000).select(F.concat(F.lit("Common Trade "), F.col("id")).alias("company"))
+    queries = spark.createDataFrame([(1, "quite common"), (2, "trade common other"), (3, "Common Trade 7")], "query_id int, query string")
+    met, real = [], lookup._meet
+
+    def meet(q, n, *args, **kwargs):
+        pairs = real(q, n, *args, **kwargs)
+        met.append(pairs.count())
+        return pairs
+
+    lookup._meet = meet
+    try:
+        got = lookup.count_matches(queries, companies, few_pairs=100)
+        rows = as_rows(got, "query_id", "n", "best", "n_by_words")
+    finally:
+        lookup._meet = real
+    assert rows == [(1, 3000, 50, 3000), (2, 3000, 56, 3000), (3, 3000, 100, 3000 - 111)]
+    assert sum(met) == 111  # Common Trade 7, 70 to 79, 700 to 799
+
+
 def test_single_search_equals_batch_and_city(spark):
     companies = spark.createDataFrame([(1, "Novo Nordisk A/S", "København"), (2, "Novo Tech", None), (3, "Other", "København")], "ord int, company string, city string")
     found = lookup.ordered(lookup.search_company(companies, "Novo"), F.col("ord")).collect()
