@@ -216,6 +216,46 @@ def test_patterns_are_not_multiplied(spark):
     assert count(lookup.search_company(df, "Novo Nordisk")) <= 60
 
 
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_noise_is_removed_once_for_all_parts(spark):
+    """Both parts of a name come from one cleaning; a name with white space at its ends gives the same parts."""
+    odd = ["Red Bolt A/S", " a/s red", "x, y\n", "x, y\n z", "nor(x)dic red", "snapshots ivsx", "a.m.b.a.b", "Bånd Holding\t", "", None, "e \u00e6 12"]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(odd)], "i int, c string")
+    flat = names.with_name_parts(df, "c", "p_")
+    struct = df.select("i", names.name_parts(F.col("c")).alias("s")).select("i", *[F.col(f"s.{p}").alias(f"p_{p}") for p in names.PARTS])
+    columns = ["i", *[f"p_{p}" for p in names.PARTS]]
+    assert sorted(map(tuple, flat.select(columns).collect()), key=str) == sorted(map(tuple, struct.select(columns).collect()), key=str)
+    assert _plan(flat.select("p_words", "p_norm")).count("regexp_extract_all") == 1
+    # Once for the lowered name, and once for names that are trimmed first.
+    assert _plan(flat).count("scandinavia") <= 2 * _plan(flat.select("p_words")).count("scandinavia")
+    assert _plan(flat.select("p_words")).count(r"(?=holding)") == 1
+
+
+def test_a_filter_does_not_repeat_the_score(spark):
+    companies = spark.createDataFrame([("Red Bolt", "x"), ("Blue Bolt", "y")], "company string, city string")
+    queries = spark.createDataFrame([(1, "bolt", "x"), (2, "blue bolt gear", None)], "query_id int, query string, city string")
+    found = lookup.match_companies(queries, companies, min_score=30)
+    assert _plan(found).count("cast(array_intersect") + _plan(found).count("array_intersect(_q_words") <= 1
+    assert sorted(map(tuple, found.select("query_id", "company", "score").collect())) == [
+        (1, "Red Bolt", 85), (2, "Blue Bolt", 86), (2, "Red Bolt", 43)]
+
+
+def test_results_of_few_rows_come_in_few_parts(spark):
+    companies = spark.createDataFrame([(i, f"Bolt {i}") for i in range(20)], "ord int, company string")
+    queries = spark.createDataFrame([(i, "bolt") for i in range(50)], "query_id int, query string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "150")
+    try:
+        best = lookup.best_companies(queries, companies, 3, F.col("ord"))
+        assert best.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert best.count() == 150
+
+
 def test_ambiguous_numbers(spark):
     values = ["1,234.56", "1.234,56", "12.5", "1,234", "", None]
     rows = spark.createDataFrame([(v,) for v in values], "v string").select(cells.is_ambiguous_number(F.col("v"))).collect()
