@@ -37,7 +37,7 @@ def calls(monkeypatch):
     return sizes
 
 
-@pytest.mark.parametrize("make", [batch.unique_postings])
+@pytest.mark.parametrize("make", [batch.unique_postings, batch.nested_postings])
 def test_slices_give_what_one_turn_gives(spark, postings, calls, monkeypatch, make):
     want = sorted_rows(make(postings, F.col("arrival"), FIELDS))
     assert calls == [1000]
@@ -54,7 +54,7 @@ def test_slices_of_nothing(spark, postings, monkeypatch):
     assert batch.unique_postings(postings.filter("arrival < 0"), F.col("arrival"), FIELDS).count() == 0
 
 
-@pytest.mark.parametrize("name", ["per_portal", "seen_merge"])
+@pytest.mark.parametrize("name", ["per_portal", "digest_rows", "seen_merge"])
 def test_large_pools_are_collapsed_in_slices(spark, calls, monkeypatch, name):
     one = sorted_rows(queries.QUERIES[name](spark, "/root/testdata/sf0.001"))
     whole = sum(calls)
